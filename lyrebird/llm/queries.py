@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lyrebird.llm import bpe, chat, mixing, simhash, substrings, token_cache, urls
+from lyrebird.llm import ann, bpe, chat, mixing, outliers, simhash, substrings, token_cache, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
+    "op2_quality_outliers": outliers.op2_quality_outliers,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_token_counts": token_cache.op5_token_counts,
     "op6_url_filter": urls.op6_url_filter,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 SQL = {"op3_mix_sources": mixing.OP3_SQL, "op6_url_filter": urls.OP6_SQL}
