@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lyrebird.llm import ann, bpe, chat, mixing, outliers, simhash, substrings, token_cache, urls
+from lyrebird.llm import ann, bpe, chat, lm, mixing, outliers, simhash, substrings, token_cache, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_token_counts": token_cache.op5_token_counts,
     "op6_url_filter": urls.op6_url_filter,
+    "op7_lm_scores": lm.op7_lm_scores,
     "op8_chat_format": chat.op8_chat_format,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_substring_dedup": substrings.op10_substring_dedup,
