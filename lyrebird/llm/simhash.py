@@ -28,9 +28,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lyrebird.llm.common import components, cut, read
@@ -103,15 +104,32 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of each row."""
+    """doc_id, fp, component_id and `root` of each row; root, a fingerprint, names the component even where no row has a doc_id."""
     prints = cut(fingerprints(docs))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(classes.select("fp")))
     placed = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     # without its known layout, so that the rows of a hot fingerprint can be dealt to several tasks
-    named = cut(named.select("fp", "component_id")).select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(named.select("fp", "component_id", "root")).select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each component one row: with the smallest doc_id, null last; of several such, the smallest fingerprint, then text hash."""
+    found = near_duplicates(docs)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"))
+    none = F.lit(signed(1 << 63))  # stands for a null doc_id
+    kept = cut(best.select(F.coalesce("best.doc_id", none).alias("_id"), F.col("best.fp").alias("_fp")))
+
+    @F.pandas_udf("long")
+    def print_of(text: pd.Series) -> pd.Series:
+        return pd.Series([signed(fingerprint((t or "").encode())) for t in text], dtype="int64")
+
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_fp": print_of(F.col("text").cast("string"))})
+    rows = keyed.join(kept, ["_id", "_fp"], "left_semi")
+    order = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64(*[c for c in docs.columns]))
+    return rows.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
