@@ -68,3 +68,10 @@ def test_empty_and_clashing_columns(docs, no_docs):
     out = substrings.remove_repeats(docs.withColumnRenamed("size", "kept").limit(5))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_words", "n_removed", "kept"]
     assert all(hashlib.sha256(r.kept.encode()) for r in out.collect())
+
+
+def test_hot_windows_are_joined_and_equal_brute_force(docs, corpus, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 2)
+    monkeypatch.setattr(substrings, "MOST_HOT", 1 << 40)
+    rows = substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, rows), key=str) == brute([(d, t) for d, t, *_ in corpus])
