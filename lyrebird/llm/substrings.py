@@ -8,8 +8,9 @@ brings both onto cover positions. Anchors are windows of WINDOW - PERIOD + 1 wor
 positions only, so two equal windows share an anchor at the same shift. Pass one counts anchors
 (a third as many rows as words). The hashes that occur twice go into a bit set of bounded size;
 where it is crowded, more windows are looked at, never fewer. Pass two extends each repeated anchor
-to the windows around it and keeps the smallest doc_id of each window's 96-bit hash; a window of a
-larger doc_id goes. Repeats inside one document are found in the document itself.
+to the windows around it and compares them by 96-bit hashes: a window goes when a smaller doc_id has
+it. Windows with an anchor that is hot in the whole corpus are pre-aggregated and then joined, so
+none of them gathers in one task. Repeats inside one document are found in the document itself.
 
 Null texts have no words. Rows with a null doc_id come before all others. Rows with the same doc_id
 are texts of equal rank: none is earlier than the other. Other columns pass through; columns named
@@ -22,9 +23,10 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lyrebird.llm.common import cut, may_hold, pack_filter, read
@@ -34,6 +36,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Words whose hashes a worker remembers at most.
 REMEMBERED = 300_000
+#: An anchor is hot when it occurs more than HOT times and makes more than 1 / MOST_HOT of all repeated anchors.
+HOT, MOST_HOT = 1000, 1 << 16
 FIRST = -(1 << 63)  # stands for a null doc_id
 BASE_1, BASE_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -97,6 +101,14 @@ class Batch:
             return place, none, none
         return place, rolled(self.hashes, WINDOW, BASE_1)[place], rolled(self.hashes, WINDOW, BASE_2)[place]
 
+    def hold(self, hot: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which windows hold a hot anchor anywhere, on cover positions or not, so that equal windows agree."""
+        if not len(hot) or not len(place):
+            return np.zeros(len(place), dtype=bool)
+        every = rolled(self.hashes, ANCHOR, BASE_1)
+        found = np.append(0, np.cumsum(hot[np.minimum(np.searchsorted(hot, every), len(hot) - 1)] == every))
+        return found[place + PERIOD] > found[place]
+
     def first_here(self, place: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Which windows are the first of their words in their own text."""
         order = np.lexsort((place, h2, h1, self.row[place]))
@@ -110,10 +122,10 @@ def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int]:
-    """(doc, tag, places) of the windows that occur in an earlier document, and the anchor filter.
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int, tuple]:
+    """(doc, tag, places) of the windows that occur in an earlier document; the filters of anchors and of shared doc_ids.
 
-    doc: doc_id with null as FIRST; tag: a hash of the text, which tells rows of one doc_id apart.
+    doc: doc_id with null as FIRST; tag: a hash of the text where other rows may have that doc_id, else 0.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
@@ -125,32 +137,50 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int]:
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
     counted = texts.select("text").mapInArrow(anchors, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    bits, log_bits = pack_filter(cut(counted.where("n > 1").select("h")), "h")
+    repeated = cut(counted.where("n > 1"))
+    bits, log_bits = pack_filter(repeated, "h")
+    limit = max(HOT, (repeated.agg(F.sum("n").alias("n")).first().n or 0) // MOST_HOT)
+    hot = np.sort(repeated.where(F.col("n") > limit).select("h").toArrow().column(0).to_numpy().view(np.uint64))  # MOST_HOT at most
+    shared = texts.select("doc").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("doc").alias("key"))
+    shared_bits, shared_log = pack_filter(cut(shared), "key")
     shipped = spark.sparkContext.broadcast(bits)  # at most MAX_FILTER_BITS
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own = _Hashes(), np.frombuffer(shipped.value, dtype=np.uint8)
-        for batch in batches:
-            words = Batch(_texts(batch.column(2)), hashes)
-            place, h1, h2 = words.windows(own, log_bits)
-            first = words.first_here(place, h1, h2)
-            place, row = place[first], words.row[place[first]]
-            columns = [h1[first].view(np.int64), (h2[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], words.at[place].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc", "tag", "place"])
-
-    seen = texts.mapInArrow(windows, "h1 long, h2 int, doc long, tag int, place int")
-    earliest = seen.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    # without its known layout, so that a hot window's rows can be dealt to several tasks by the join
-    earliest = cut(earliest).select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), F.col("h2").bitwiseXOR(F.lit(0)).alias("h2"), "first")
-    later = seen.join(earliest, ["h1", "h2"]).where("doc > first")
+    aside = spark.sparkContext.broadcast((hot, shared_bits))
+
+    def windows(of_hot: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, own = _Hashes(), np.frombuffer(shipped.value, dtype=np.uint8)
+            hot, shared = aside.value
+            shared = np.frombuffer(shared, dtype=np.uint8)
+            for batch in batches:
+                words = Batch(_texts(batch.column(2)), hashes)
+                place, h1, h2 = words.windows(own, log_bits)
+                take = words.first_here(place, h1, h2) & (words.hold(hot, place) == of_hot)
+                place, row = place[take], words.row[place[take]]
+                tag = np.where(may_hold(shared, shared_log, batch.column(3).to_numpy().view(np.uint64)), batch.column(1).to_numpy(), 0)
+                columns = [h1[take].view(np.int64), (h2[take] >> np.uint64(32)).astype(np.uint32).view(np.int32), batch.column(0).to_numpy()[row], (tag[row].astype(np.int64) << 32) | words.at[place]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc", "tag_place"])
+
+        return run
+
+    keyed = texts.select("doc", "tag", "text", F.xxhash64("doc").alias("key"))
+    kinds = "h1 long, h2 int, doc long, tag_place long"
+    cold = keyed.mapInArrow(windows(False), kinds)
+    cold = cold.withColumn("first", F.min("doc").over(Window.partitionBy("h1", "h2"))).where("doc > first").select("doc", "tag_place")
+    # windows with a hot anchor: their first documents are pre-aggregated, and the join can deal a hot window's rows to several tasks
+    warm = keyed.mapInArrow(windows(True), kinds)
+    if len(hot):
+        first = cut(warm.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        first = first.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), F.col("h2").bitwiseXOR(F.lit(0)).alias("h2"), "first")
+        cold = cold.union(warm.join(first, ["h1", "h2"]).where("doc > first").select("doc", "tag_place"))
+    placed = cold.select("doc", F.shiftright("tag_place", 32).cast("int").alias("tag"), F.col("tag_place").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
     # a document's list is as long as the document at most
-    return later.groupBy("doc", "tag").agg(F.collect_list("place").alias("places")), shipped, log_bits
+    return placed.groupBy("doc", "tag").agg(F.collect_list("place").alias("places")), shipped, log_bits, (aside, shared_log)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs plus n_words, n_removed and `kept`, the words left, joined by one space."""
     outputs = {"n_words": "long", "n_removed": "long", "kept": "string"}
-    repeated, shipped, log_bits = repeated_windows(docs)
+    repeated, shipped, log_bits, (aside, shared_log) = repeated_windows(docs)
     repeated = cut(repeated)
     # texts without a repeat in another document need no join: a second filter, over rows, tells most of them
     keys = repeated.select(F.xxhash64("doc", "tag").alias("key"))
@@ -158,15 +188,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows_shipped = spark.sparkContext.broadcast(rows_bits)
 
-    @F.pandas_udf("boolean")
-    def marked(key):  # a pandas series of hashes
-        import pandas as pd
+    @F.pandas_udf("int")
+    def tag_of(doc: pd.Series, tag: pd.Series) -> pd.Series:
+        shared = may_hold(np.frombuffer(aside.value[1], dtype=np.uint8), shared_log, doc.to_numpy().view(np.uint64))
+        return tag.where(shared, 0)
 
+    @F.pandas_udf("boolean")
+    def marked(key: pd.Series) -> pd.Series:
         return pd.Series(may_hold(np.frombuffer(rows_shipped.value, dtype=np.uint8), rows_log, key.to_numpy().view(np.uint64)))
 
     kept = [c for c in docs.columns if c not in outputs]
     base = docs.select(*[F.col(f"`{c}`") for c in kept])
     keyed = base.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), "_tag": F.hash("text")})
+    keyed = keyed.withColumn("_tag", tag_of(F.xxhash64("_doc"), F.col("_tag")))
     keyed = keyed.withColumn("_marked", marked(F.xxhash64("_doc", "_tag")))
     joined = keyed.where("_marked").join(repeated, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left").select(*[F.col(f"`{c}`") for c in kept], "places")
     plain = keyed.where("not _marked").select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("array<int>").alias("places"))
