@@ -35,7 +35,7 @@ NUMBER = "[零一二两三四五六七八九十百千万]"
 UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
 #: Spans that may hold a number, with a Latin letter before and a unit or letter after.
 SPAN = re.compile(
-    rf"(?P<head>[a-zA-Z]\s*)?(?P<body>(?:[几零幺一二两三四五六七八九十百千万点比]|[零一二三四五六七八九十] |(?<=[一二两三四五六七八九十])[年月日号分]|分之)+"
+    rf"(?P<head>[a-zA-Z]\s*)?(?P<body>(?:[几零幺一二两三四五六七八九十百千万点比]|[零一二三四五六七八九十] |分之|(?<=[一二两三四五六七八九十])[年月日号分])+"
     rf"(?:(?<=[一二两三四五六七八九十])(?:{UNIT}|[a-zA-Z年月日号])|(?<=[百千万])(?:{UNIT}))?)"
 )
 
@@ -145,6 +145,8 @@ def written(text: str) -> str:
 
     def one(span: re.Match) -> str:
         begin = max(span.start("body") - 2, 0)
+        if len(span["body"]) == 1 and not span["head"]:  # one character alone is no number
+            return span[0]
         if any(begin <= text.find(idiom) < span.end("body") for idiom in IDIOMS):
             return span[0]
         return (span["head"] or "") + _written(span["body"])
