@@ -176,3 +176,16 @@ def test_small_helpers(spark):
         runs.ratio(F.lit(1.0), F.lit(0.0)).alias("z"), tokens.common_prefix(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1), F.lit(3), F.lit(4))).alias("c"), V.cosine(F.array(F.lit(0.0)), F.array(F.lit(0.0))).alias("one"), T.dictionary_token(F.lit("abcd"), F.array(F.lit("a"), F.lit("abc"))).alias("w"),
     ).first()
     assert row.b == "7.6B" and row.k == "1000K" and row.t == "Some Model v1.2 7b" and row.d == "Auto Detect" and row.p == "AA==" and row.z == 0 and row.c == 1 and row.one == 1 and row.w == "abc"
+
+
+def test_resampled_tones_and_features(spark):
+    from lyrebird.functions import audio
+    from lyrebird.plans.audio import resample_small
+
+    rows = resample_small(spark, "").where("id = 1 and i between 1000 and 15000").orderBy("i").collect()
+    expected = np.sin(np.arange(1000, 15001) * 2 * 2 * np.pi * 110 / 16000)
+    assert np.abs(np.array([r.v for r in rows]) - expected).max() < 0.01
+    features = audio.log_mel_of(np.sin(np.arange(16000) * 2 * np.pi * 1000 / 16000))
+    assert features.shape == (128, 100) and features.min() >= features.max() - 2
+    centre = audio.mel_filters()[25].argmax()  # the bin of 1000 Hz
+    assert abs(int(features[:, 50].argmax()) - int(centre)) <= 1
