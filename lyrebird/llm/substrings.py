@@ -9,8 +9,8 @@ positions only, so two equal windows share an anchor at the same shift. Pass one
 (a third as many rows as words). The hashes that occur twice go into a bit set of bounded size;
 where it is crowded, more windows are looked at, never fewer. Pass two extends each repeated anchor
 to the windows around it and compares them by 96-bit hashes: a window goes when a smaller doc_id has
-it. Windows with an anchor that is hot in the whole corpus are pre-aggregated and then joined, so
-none of them gathers in one task. Repeats inside one document are found in the document itself.
+it. Windows with an anchor that is hot in the whole corpus are pre-aggregated and salted, so none of
+them gathers in one task. Repeats inside one document are found in the document itself.
 
 Null texts have no words. Rows with a null doc_id come before all others. Rows with the same doc_id
 are texts of equal rank: none is earlier than the other. Other columns pass through; columns named
@@ -38,6 +38,7 @@ ANCHOR = WINDOW - PERIOD + 1
 REMEMBERED = 300_000
 #: An anchor is hot when it occurs more than HOT times and makes more than 1 / MOST_HOT of all repeated anchors.
 HOT, MOST_HOT = 1000, 1 << 16
+SALTS = 32
 FIRST = -(1 << 63)  # stands for a null doc_id
 BASE_1, BASE_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -166,12 +167,13 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int, tuple]:
     kinds = "h1 long, h2 int, doc long, tag_place long"
     cold = keyed.mapInArrow(windows(False), kinds)
     cold = cold.withColumn("first", F.min("doc").over(Window.partitionBy("h1", "h2"))).where("doc > first").select("doc", "tag_place")
-    # windows with a hot anchor: their first documents are pre-aggregated, and the join can deal a hot window's rows to several tasks
-    warm = keyed.mapInArrow(windows(True), kinds)
+    # windows with a hot anchor are salted: the smallest doc_id of each, found with map-side sums, stands among the rows of each salt
+    warm = keyed.mapInArrow(windows(True), kinds).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
     if len(hot):
-        first = cut(warm.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-        first = first.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), F.col("h2").bitwiseXOR(F.lit(0)).alias("h2"), "first")
-        cold = cold.union(warm.join(first, ["h1", "h2"]).where("doc > first").select("doc", "tag_place"))
+        first = warm.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        first = first.select("h1", "h2", "doc", F.lit(None).cast("long").alias("tag_place"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        warm = warm.union(first).withColumn("first", F.min("doc").over(Window.partitionBy("h1", "h2", "salt"))).where("doc > first")
+        cold = cold.union(warm.select("doc", "tag_place"))
     placed = cold.select("doc", F.shiftright("tag_place", 32).cast("int").alias("tag"), F.col("tag_place").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
     # a document's list is as long as the document at most
     return placed.groupBy("doc", "tag").agg(F.collect_list("place").alias("places")), shipped, log_bits, (aside, shared_log)
