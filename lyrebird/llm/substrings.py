@@ -20,7 +20,7 @@ like an output are replaced. Tables without rows give none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import cut, may_hold, pack_filter, read
+from lyrebird.llm.common import cut, may_hold, pack_filter, read, written
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -51,6 +51,14 @@ class _Hashes(dict):
         return value
 
 
+ON_COVER = np.isin(np.arange(PERIOD), COVER)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(29))
+
+
 def rolled(values: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     """A hash of each run of `width` values, built by doubling; shorter than values by width - 1."""
     if len(values) < width:
@@ -66,9 +74,7 @@ def rolled(values: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
             break
         held = held[: len(held) - length] * power + held[length:]
         length, power = 2 * length, power * power
-    out = out[: len(values) - width + 1]
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return out ^ (out >> np.uint64(29))
+    return mixed(out[: len(values) - width + 1])
 
 
 class Batch:
@@ -79,35 +85,51 @@ class Batch:
         self.lengths = np.fromiter(map(len, self.words), dtype=np.int64, count=len(texts))
         self.starts = np.cumsum(self.lengths) - self.lengths
         get = hashes.__getitem__
-        self.hashes = np.fromiter((get(w) for ws in self.words for w in ws), dtype=np.uint64, count=int(self.lengths.sum()))
+        self.hashes = np.fromiter(map(get, chain.from_iterable(self.words)), dtype=np.uint64, count=int(self.lengths.sum()))
         self.row = np.repeat(np.arange(len(texts)), self.lengths)
         self.at = np.arange(len(self.hashes)) - self.starts[self.row]
         self.left = self.lengths[self.row] - self.at  # words from here to the end of the text
 
+        self.short = rolled(self.hashes, ANCHOR, BASE_1)  # from each place
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of anchors and their hashes."""
-        where = np.flatnonzero(np.isin(self.at % PERIOD, COVER) & (self.left >= ANCHOR))
-        return where, rolled(self.hashes, ANCHOR, BASE_1)[where] if len(where) else np.zeros(0, dtype=np.uint64)
+        where = np.flatnonzero(ON_COVER[self.at % PERIOD] & (self.left >= ANCHOR))
+        return where, self.short[where] if len(where) else np.zeros(0, dtype=np.uint64)
 
-    def windows(self, bits: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the windows with an anchor that the filter may hold, and two hashes of each."""
-        where, anchor = self.anchors()
-        hit = where[may_hold(bits, log_bits, anchor)]
+    def around(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the windows that hold one of these anchors, and two hashes of each."""
         edge = np.zeros(len(self.hashes) + 1, dtype=np.int32)
         np.add.at(edge, np.maximum(hit - (PERIOD - 1), hit - self.at[hit]), 1)
         np.add.at(edge, hit + 1, -1)
         place = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (self.left >= WINDOW))
-        if not len(place):
-            none = np.zeros(0, dtype=np.uint64)
-            return place, none, none
-        return place, rolled(self.hashes, WINDOW, BASE_1)[place], rolled(self.hashes, WINDOW, BASE_2)[place]
+        h1, h2 = np.zeros(len(place), dtype=np.uint64), np.zeros(len(place), dtype=np.uint64)
+        for j in range(WINDOW):
+            word = self.hashes[place + j]
+            h1, h2 = h1 * BASE_1 + word, h2 * BASE_2 + word
+        return place, mixed(h1), mixed(h2)
+
+    def windows(self, bits: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows with an anchor that the filter may hold."""
+        where, anchor = self.anchors()
+        return self.around(where[may_hold(bits, log_bits, anchor)])
+
+    def repeated_here(self) -> np.ndarray:
+        """Places of the windows whose words stand earlier in their own text; such windows share an anchor there."""
+        where, anchor = self.anchors()
+        order = np.lexsort((anchor, self.row[where]))
+        same = (anchor[order][1:] == anchor[order][:-1]) & (self.row[where][order][1:] == self.row[where][order][:-1])
+        twice = np.zeros(len(where), dtype=bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        place, h1, h2 = self.around(where[twice])
+        return place[~self.first_here(place, h1, h2)]
 
     def hold(self, hot: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Which windows hold a hot anchor anywhere, on cover positions or not, so that equal windows agree."""
         if not len(hot) or not len(place):
             return np.zeros(len(place), dtype=bool)
-        every = rolled(self.hashes, ANCHOR, BASE_1)
-        found = np.append(0, np.cumsum(hot[np.minimum(np.searchsorted(hot, every), len(hot) - 1)] == every))
+        found = np.append(0, np.cumsum(hot[np.minimum(np.searchsorted(hot, self.short), len(hot) - 1)] == self.short))
         return found[place + PERIOD] > found[place]
 
     def first_here(self, place: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -123,8 +145,8 @@ def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int, tuple]:
-    """(doc, tag, places) of the windows that occur in an earlier document; the filters of anchors and of shared doc_ids.
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int]:
+    """(doc, tag, places) of the windows that occur in an earlier document; and the filter of shared doc_ids.
 
     doc: doc_id with null as FIRST; tag: a hash of the text where other rows may have that doc_id, else 0.
     """
@@ -138,7 +160,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int, tuple]:
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
     counted = texts.select("text").mapInArrow(anchors, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    repeated = cut(counted.where("n > 1"))
+    repeated = written(counted.where("n > 1"))
     bits, log_bits = pack_filter(repeated, "h")
     limit = max(HOT, (repeated.agg(F.sum("n").alias("n")).first().n or 0) // MOST_HOT)
     hot = np.sort(repeated.where(F.col("n") > limit).select("h").toArrow().column(0).to_numpy().view(np.uint64))  # MOST_HOT at most
@@ -147,7 +169,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int, tuple]:
     shipped = spark.sparkContext.broadcast(bits)  # at most MAX_FILTER_BITS
     aside = spark.sparkContext.broadcast((hot, shared_bits))
 
-    def windows(of_hot: bool):
+    def windows(hot_only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, own = _Hashes(), np.frombuffer(shipped.value, dtype=np.uint8)
             hot, shared = aside.value
@@ -155,35 +177,38 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int, tuple]:
             for batch in batches:
                 words = Batch(_texts(batch.column(2)), hashes)
                 place, h1, h2 = words.windows(own, log_bits)
-                take = words.first_here(place, h1, h2) & (words.hold(hot, place) == of_hot)
+                is_hot = words.hold(hot, place)
+                take = words.first_here(place, h1, h2) & (is_hot if hot_only else True)
                 place, row = place[take], words.row[place[take]]
-                tag = np.where(may_hold(shared, shared_log, batch.column(3).to_numpy().view(np.uint64)), batch.column(1).to_numpy(), 0)
-                columns = [h1[take].view(np.int64), (h2[take] >> np.uint64(32)).astype(np.uint32).view(np.int32), batch.column(0).to_numpy()[row], (tag[row].astype(np.int64) << 32) | words.at[place]]
+                key = batch.column(3).to_numpy().view(np.uint64)
+                tag = np.where(may_hold(shared, shared_log, key), batch.column(1).to_numpy(), 0)
+                salt = np.where(is_hot[take] & ~hot_only, (key[row] % np.uint64(SALTS)).astype(np.int64), 0)
+                low = (h2[take] >> np.uint64(32)).astype(np.int64)
+                columns = [h1[take].view(np.int64), low | (salt << 32), batch.column(0).to_numpy()[row], (tag[row].astype(np.int64) << 32) | words.at[place]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc", "tag_place"])
 
         return run
 
+    # h2 holds 32 bits of the second hash and above them the salt, 0 unless the window has a hot anchor
     keyed = texts.select("doc", "tag", "text", F.xxhash64("doc").alias("key"))
-    kinds = "h1 long, h2 int, doc long, tag_place long"
-    cold = keyed.mapInArrow(windows(False), kinds)
-    cold = cold.withColumn("first", F.min("doc").over(Window.partitionBy("h1", "h2"))).where("doc > first").select("doc", "tag_place")
-    # windows with a hot anchor are salted: the smallest doc_id of each, found with map-side sums, stands among the rows of each salt
-    warm = keyed.mapInArrow(windows(True), kinds).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+    kinds = "h1 long, h2 long, doc long, tag_place long"
+    seen = keyed.mapInArrow(windows(False), kinds)
     if len(hot):
-        first = warm.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        first = first.select("h1", "h2", "doc", F.lit(None).cast("long").alias("tag_place"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        warm = warm.union(first).withColumn("first", F.min("doc").over(Window.partitionBy("h1", "h2", "salt"))).where("doc > first")
-        cold = cold.union(warm.select("doc", "tag_place"))
+        # the smallest doc_id of each hot window, found with map-side sums, stands among the rows of each salt
+        first = keyed.mapInArrow(windows(True), kinds).groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        seen = seen.union(first.withColumn("salt", salts).select("h1", F.col("h2") + F.shiftleft("salt", 32), "doc", F.lit(None).cast("long")))
+    cold = seen.withColumn("first", F.min("doc").over(Window.partitionBy("h1", "h2"))).where("doc > first").select("doc", "tag_place")
     placed = cold.select("doc", F.shiftright("tag_place", 32).cast("int").alias("tag"), F.col("tag_place").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
     # a document's list is as long as the document at most
-    return placed.groupBy("doc", "tag").agg(F.collect_list("place").alias("places")), shipped, log_bits, (aside, shared_log)
+    return placed.groupBy("doc", "tag").agg(F.collect_list("place").alias("places")), aside, shared_log
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs plus n_words, n_removed and `kept`, the words left, joined by one space."""
     outputs = {"n_words": "long", "n_removed": "long", "kept": "string"}
-    repeated, shipped, log_bits, (aside, shared_log) = repeated_windows(docs)
-    repeated = cut(repeated)
+    repeated, aside, shared_log = repeated_windows(docs)
+    repeated = written(repeated)
     # texts without a repeat in another document need no join: a second filter, over rows, tells most of them
     keys = repeated.select(F.xxhash64("doc", "tag").alias("key"))
     rows_bits, rows_log = pack_filter(keys, "key")
@@ -209,11 +234,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text_at = kept.index("text")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own = _Hashes(), np.frombuffer(shipped.value, dtype=np.uint8)
+        hashes = _Hashes()
         for batch in batches:
             words = Batch(_texts(batch.column(text_at)), hashes)
-            place, h1, h2 = words.windows(own, log_bits)
-            gone = [place[~words.first_here(place, h1, h2)]]
+            gone = [words.repeated_here()]
             lists = batch.column(len(kept))
             counts = lists.value_lengths().fill_null(0).to_numpy()
             gone.append(lists.flatten().to_numpy().astype(np.int64) + np.repeat(words.starts, counts))
