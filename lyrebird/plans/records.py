@@ -75,7 +75,7 @@ def override_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(override, card, "c_mktsegment").alias("value"))
 
 
-@query("retries", "SELECT s_suppkey, least(s_suppkey % 6, 3)::INT AS attempt, round(0.2 + 0.3 * least(s_suppkey % 6, 3), 6) AS temperature, s_suppkey % 6 <= 3 AS ok FROM supplier")
+@query("retries", "SELECT s_suppkey, least(s_suppkey % 6, 3)::INT AS attempt, round((0.2 + 0.3 * least(s_suppkey % 6, 3))::DOUBLE, 6) AS temperature, s_suppkey % 6 <= 3 AS ok FROM supplier")
 def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to four attempts, each 0.3 hotter: the first that succeeds, else the last. s_suppkey % 6 says which would."""
     tried = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt")).withColumn("ok", F.col("attempt") >= F.col("s_suppkey") % 6)
