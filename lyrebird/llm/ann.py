@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lyrebird.llm.common import cut, read
 
 K = 20
-TABLES, PROBES = 8, 16
+TABLES, PROBES = 8, 24
 #: Rows that a bucket should hold; with more rows, more axes are joined to a bucket.
 PER_BUCKET = 4096
 ROW_CHUNK, QUERY_CHUNK = 4096, 1024
