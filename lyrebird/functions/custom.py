@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 
 def map_custom(fn: Callable[..., pd.Series], *inputs: Column) -> Column:
     """fn over one, two or three columns of doubles, a batch at a time."""
+
+    @F.pandas_udf("double")
+    def one(a: pd.Series) -> pd.Series:
+        return fn(a)
+
+    @F.pandas_udf("double")
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return fn(a, b)
+
+    @F.pandas_udf("double")
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return fn(a, b, c)
+
     if not 1 <= len(inputs) <= 3:
         raise ValueError("one to three inputs")
-    one = F.pandas_udf(lambda a: fn(a), "double", F.PandasUDFType.SCALAR) if len(inputs) == 1 else None
-    two = F.pandas_udf(lambda a, b: fn(a, b), "double", F.PandasUDFType.SCALAR) if len(inputs) == 2 else None
-    three = F.pandas_udf(lambda a, b, c: fn(a, b, c), "double", F.PandasUDFType.SCALAR) if len(inputs) == 3 else None
-    return (one or two or three)(*inputs)
+    return (one, two, three)[len(inputs) - 1](*inputs)
 
 
 def gelu_exact(x: Column) -> Column:

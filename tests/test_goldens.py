@@ -189,3 +189,13 @@ def test_resampled_tones_and_features(spark):
     assert features.shape == (128, 100) and features.min() >= features.max() - 2
     centre = audio.mel_filters()[25].argmax()  # the bin of 1000 Hz
     assert abs(int(features[:, 50].argmax()) - int(centre)) <= 1
+
+
+def test_custom_functions(spark):
+    from lyrebird.functions.custom import gelu_exact, map_custom
+
+    x = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double")
+    row = x.select(map_custom(lambda a: a + 1, F.col("a")), map_custom(lambda a, b: a * b, F.col("a"), F.col("b")), map_custom(lambda a, b, c: a + b + c, F.col("a"), F.col("b"), F.col("c")), gelu_exact(F.col("a"))).first()
+    assert tuple(row)[:3] == (2.0, 2.0, 6.0) and row[3] == pytest.approx(0.8413447)
+    with pytest.raises(ValueError, match="one to three"):
+        map_custom(lambda: 0)
