@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import cut, read
+from lyrebird.llm.common import cut, read, small_batches
 
 K = 20
 TABLES, PROBES = 8, 24
@@ -161,7 +161,7 @@ def score_blocks(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows (vec_id, embedding) of each row where is_query holds."""
-    spark = vectors.sparkSession
+    spark = small_batches(vectors).sparkSession
     sound = F.col("vec_id").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), is_query.alias("is_query")).where(sound)
     about = clean.withColumn("norm2", F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)).groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids"), F.max("norm2").alias("most"), F.min("norm2").alias("least"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import read
+from lyrebird.llm.common import read, small_batches
 
 #: Pre-tokens whose ids a worker remembers at most.
 REMEMBERED = 200_000
@@ -93,7 +93,7 @@ def encode(docs: DataFrame, vocabulary: list[bytes], pattern: str, text: str = "
     """docs without the text column, plus the ids of its whole text as binary."""
     shipped = docs.sparkSession.sparkContext.broadcast(model_proto(vocabulary))  # as large as the vocabulary file
     kept = [c for c in docs.columns if c not in (text, out)]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(text))
+    base = small_batches(docs).select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shipped.value, pattern)
@@ -116,7 +116,7 @@ def decode(encoded: DataFrame, vocabulary: list[bytes], ids: str = "ids", out: s
             texts = [b"".join(map(piece, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.binary())], [*kept, out])
 
-    base = encoded.select(*[F.col(f"`{c}`") for c in kept])
+    base = small_batches(encoded).select(*[F.col(f"`{c}`") for c in kept])
     return base.mapInArrow(run, base.withColumn(out, F.lit(None).cast("binary")).schema)
 
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import read
+from lyrebird.llm.common import read, small_batches
 
 OPEN, MIDDLE, CLOSE = b"<turn ", b">", b"</turn>\n"
 LEARNED_ROLE = "assistant"
@@ -91,7 +91,7 @@ def format_batch(conv: pa.Array, role: pa.Array, text: pa.Array, part: int, seq:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """The pieces (PIECES) of all conversations; loss spans are byte offsets into the piece's UTF-8."""
-    clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    clean = small_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
     ordered = clean.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

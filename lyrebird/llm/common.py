@@ -21,9 +21,14 @@ BATCH_ROWS = 512
 MAX_FILTER_BITS = 1 << 28
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches kept small for long texts; operators call this themselves."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, with Arrow batches kept small for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import cut, read
+from lyrebird.llm.common import cut, read, small_batches
 from lyrebird.llm.substrings import BASE_1, Batch, _Hashes, rolled
 
 SYMBOLS = b"#*$%&|<>"
@@ -92,7 +92,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     def _statistics(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(count_statistics([None if t is None else t.encode() for t in text], _Hashes()))
 
-    counted = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in outputs]).withColumn("_s", _statistics(F.col("text").cast("string")))
+    counted = small_batches(docs).select(*[F.col(f"`{c}`") for c in docs.columns if c not in outputs]).withColumn("_s", _statistics(F.col("text").cast("string")))
     counted = counted.select("*", *[F.coalesce(F.col(f"_s.{s}"), F.lit(0)).cast("long").alias(s) for s in STATISTICS]).drop("_s")
     n = F.greatest(F.col("n_words"), F.lit(1))
     vector = F.array(

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import cut, may_hold, pack_filter, read, written
+from lyrebird.llm.common import cut, may_hold, pack_filter, read, small_batches, written
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -151,7 +151,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int]:
     doc: doc_id with null as FIRST; tag: a hash of the text where other rows may have that doc_id, else 0.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()

@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import read, shared_folder
+from lyrebird.llm.common import read, shared_folder, small_batches
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 
@@ -91,7 +91,7 @@ def stored(spark: SparkSession, cache: str, tokens: Tokens) -> DataFrame:
 
 def count_tokens(docs: DataFrame, tokens: Tokens, cache: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each row, and the cache brought up to date."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     content = content_of(F.col("text"), tokens)
     keyed = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(content, 256).alias("digest"))
     missing = (

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import lower_ascii, read
+from lyrebird.llm.common import lower_ascii, read, small_batches
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Sampled keys for each slice; they go to the driver, which keeps one boundary of so many.
@@ -61,7 +61,7 @@ class _Open:
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page_id, host, path, rule and verdict of each page, for rules (verdict, host, path)."""
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), lower_ascii(F.regexp_extract(url, URL, 1)).alias("host"), F.regexp_extract(url, URL, 2).alias("path"))
     keyed = parsed.withColumn("key", reversed_host(F.col("host")))
