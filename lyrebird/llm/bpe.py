@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lyrebird.llm.common import read, small_batches
 
 #: Pre-tokens whose ids a worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_alphabet() -> list[str]:

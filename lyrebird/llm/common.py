@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of one Arrow batch that goes to Python, so that a batch of long texts stays small.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 #: Bits of a membership filter at most: 32 MB, whatever the input holds.
 MAX_FILTER_BITS = 1 << 28
 

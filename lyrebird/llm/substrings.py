@@ -35,7 +35,7 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Words whose hashes a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: An anchor is hot when it occurs more than HOT times and makes more than 1 / MOST_HOT of all repeated anchors.
 HOT, MOST_HOT = 1000, 1 << 16
 SALTS = 32
