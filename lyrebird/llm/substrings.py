@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from itertools import chain, compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -205,54 +204,72 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs plus n_words, n_removed and `kept`, the words left, joined by one space."""
+    """docs plus n_words, n_removed and `kept`, the words left, joined by one space.
+
+    Each task needs one Python worker: rows that the join may miss are cleaned where they are read,
+    the others are dealt by the join first.
+    """
     outputs = {"n_words": "long", "n_removed": "long", "kept": "string"}
     repeated, aside, shared_log = repeated_windows(docs)
     repeated = written(repeated)
     # texts without a repeat in another document need no join: a second filter, over rows, tells most of them
     keys = repeated.select(F.xxhash64("doc", "tag").alias("key"))
     rows_bits, rows_log = pack_filter(keys, "key")
-    spark = docs.sparkSession
-    rows_shipped = spark.sparkContext.broadcast(rows_bits)
-
-    @F.pandas_udf("int")
-    def tag_of(doc: pd.Series, tag: pd.Series) -> pd.Series:
-        shared = may_hold(np.frombuffer(aside.value[1], dtype=np.uint8), shared_log, doc.to_numpy().view(np.uint64))
-        return tag.where(shared, 0)
-
-    @F.pandas_udf("boolean")
-    def marked(key: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(np.frombuffer(rows_shipped.value, dtype=np.uint8), rows_log, key.to_numpy().view(np.uint64)))
-
-    kept = [c for c in docs.columns if c not in outputs]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept])
-    keyed = base.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), "_tag": F.hash("text")})
-    keyed = keyed.withColumn("_tag", tag_of(F.xxhash64("_doc"), F.col("_tag")))
-    keyed = keyed.withColumn("_marked", marked(F.xxhash64("_doc", "_tag")))
-    joined = keyed.where("_marked").join(repeated, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left").select(*[F.col(f"`{c}`") for c in kept], "places")
-    plain = keyed.where("not _marked").select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("array<int>").alias("places"))
-    text_at = kept.index("text")
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows_shipped = docs.sparkSession.sparkContext.broadcast(rows_bits)
+
+    names = [c for c in docs.columns if c not in outputs]
+    own = [f"c{i}" for i in range(len(names))]  # so that no column of docs is mistaken for one of those below
+    text_at = names.index("text")
+    doc, tag = F.coalesce(F.col("`doc_id`").cast("long"), F.lit(FIRST)), F.hash("`text`")
+    base = small_batches(docs).select(*[F.col(f"`{c}`").alias(x) for c, x in zip(names, own, strict=True)], doc.alias("doc"), tag.alias("tag"))
+    keyed = base.select("*", F.xxhash64("doc").alias("by_doc"), F.xxhash64("doc", F.lit(0)).alias("untagged"), F.xxhash64("doc", "tag").alias("tagged"))
+
+    def hashed(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).to_numpy().view(np.uint64)
+
+    def judged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The tag under which `repeated` would list each row, and whether it may."""
+        shared = may_hold(np.frombuffer(aside.value[1], dtype=np.uint8), shared_log, hashed(batch, "by_doc"))
+        key = np.where(shared, hashed(batch, "tagged"), hashed(batch, "untagged"))
+        return np.where(shared, batch.column("tag").to_numpy(), 0).astype(np.int32), may_hold(np.frombuffer(rows_shipped.value, dtype=np.uint8), rows_log, key)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags, may = judged(batch)
+            columns = [batch.column(c) for c in [*own, "doc"]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(tags)], [*own, "doc", "tag"]).filter(pa.array(may))
+
+    def cleaned(batch: pa.RecordBatch, places: pa.Array | None, hashes: _Hashes) -> pa.RecordBatch:
+        words = Batch(_texts(batch.column(text_at)), hashes)
+        gone = words.repeated_here()
+        if places is not None:
+            counts = places.value_lengths().fill_null(0).to_numpy()
+            gone = np.concatenate([gone, places.flatten().to_numpy().astype(np.int64) + np.repeat(words.starts, counts)])
+        edge = np.zeros(len(words.hashes) + 1, dtype=np.int32)
+        np.add.at(edge, gone, 1)
+        np.add.at(edge, gone + WINDOW, -1)
+        stay = np.cumsum(edge[:-1]) == 0
+        removed = np.bincount(words.row[~stay], minlength=len(words.words))
+        texts = []
+        for ws, n, start in zip(words.words, removed.tolist(), words.starts.tolist(), strict=True):
+            texts.append(b" ".join(compress(ws, stay[start : start + len(ws)].tolist()) if n else ws).decode())
+        columns = [batch.column(c) for c in own]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(words.lengths), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string())], [*names, *outputs])
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            _, may = judged(batch)
+            yield cleaned(batch.filter(pa.array(~may)), None, hashes)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            words = Batch(_texts(batch.column(text_at)), hashes)
-            gone = [words.repeated_here()]
-            lists = batch.column(len(kept))
-            counts = lists.value_lengths().fill_null(0).to_numpy()
-            gone.append(lists.flatten().to_numpy().astype(np.int64) + np.repeat(words.starts, counts))
-            edge = np.zeros(len(words.hashes) + 1, dtype=np.int32)
-            np.add.at(edge, np.concatenate(gone), 1)
-            np.add.at(edge, np.concatenate(gone) + WINDOW, -1)
-            stay = np.cumsum(edge[:-1]) == 0
-            removed = np.bincount(words.row[~stay], minlength=len(words.words))
-            texts = []
-            for ws, n, start in zip(words.words, removed.tolist(), words.starts.tolist(), strict=True):
-                texts.append(b" ".join(compress(ws, stay[start : start + len(ws)].tolist()) if n else ws).decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(words.lengths), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string())], [*kept, *outputs])
-
-    schema = base.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in outputs.items()]).schema
-    return joined.union(plain).mapInArrow(remove, schema)
+            yield cleaned(batch, batch.column("places"), hashes)
+
+    schema = docs.select(*[F.col(f"`{c}`") for c in names], *[F.lit(None).cast(kind).alias(name) for name, kind in outputs.items()]).schema
+    dealt = keyed.mapInArrow(listed, base.schema).join(repeated, ["doc", "tag"], "left").select(*own, "places")
+    return dealt.mapInArrow(joined, schema).union(keyed.mapInArrow(here, schema))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
