@@ -105,25 +105,44 @@ def encode(docs: DataFrame, vocabulary: list[bytes], pattern: str, text: str = "
     return base.mapInArrow(run, schema)
 
 
+def spell_out(ids: bytes | None, vocabulary: list[bytes]) -> bytes:
+    """The bytes that ids, as `Encoder.encode` gives them, stand for."""
+    return b"".join(map(vocabulary.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+
+
 def decode(encoded: DataFrame, vocabulary: list[bytes], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded plus the bytes that its ids stand for; null ids decode to nothing."""
     shipped = encoded.sparkSession.sparkContext.broadcast(vocabulary)
     kept = [c for c in encoded.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shipped.value.__getitem__
         for batch in batches:
-            texts = [b"".join(map(piece, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column(kept.index(ids)).to_pylist()]
+            texts = [spell_out(x, shipped.value) for x in batch.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.binary())], [*kept, out])
 
     base = small_batches(encoded).select(*[F.col(f"`{c}`") for c in kept])
     return base.mapInArrow(run, base.withColumn(out, F.lit(None).cast("binary")).schema)
 
 
+def round_trip(docs: DataFrame, vocabulary: list[bytes], pattern: str) -> DataFrame:
+    """doc_id, ids and decoded of every row: `encode`, then `decode` from the ids, by one Python worker a task."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model_proto(vocabulary), vocabulary))  # as large as the vocabulary file
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        proto, pieces = shipped.value
+        encoder = Encoder(proto, pattern)
+        for batch in batches:
+            ids = [encoder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            decoded = [spell_out(x, pieces) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    base = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
+    return base.mapInArrow(run, base.select("doc_id", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("decoded")).schema)
+
+
 def digests(docs: DataFrame, vocabulary: list[bytes], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids."""
-    coded = decode(encode(docs.select("doc_id", "text"), vocabulary, pattern), vocabulary)
-    return coded.select(
+    return round_trip(docs, vocabulary, pattern).select(
         "doc_id",
         F.expr("length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
