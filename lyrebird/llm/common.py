@@ -32,6 +32,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with every column but the needed ones under a name of our own, so that none is mistaken for ours; the names."""
+    names = {c: c if c in needed else f"own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(own) for c, own in names.items()]), names
+
+
+def named_back(df: DataFrame, names: dict[str, str], *outputs: str) -> DataFrame:
+    """The columns of `apart` under their first names, those named like an output replaced, and the outputs."""
+    return df.select(*[F.col(own).alias(c) for c, own in names.items() if c not in outputs], *outputs)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where the setting is absent."""
     context = spark.sparkContext

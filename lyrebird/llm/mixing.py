@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import cut, n_words, read
+from lyrebird.llm.common import apart, cut, n_words, named_back, read
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -72,7 +72,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs plus size, source_size, target and copies: how often the mix repeats the row."""
+    """docs plus size, source_size, target and copies: how often the mix repeats the row. Columns of docs named so are replaced."""
+    docs, names = apart(docs, "doc_id", "text", "source")
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.withColumns({"size": n_words(F.col("text")), "mark": mark})
     prefix = F.substring("mark", 1, PREFIX)
@@ -95,19 +96,20 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     if known.count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
     joined = sized.join(known, F.col("source").eqNullSafe(F.col("its_source"))).withColumn("prefix", prefix)
-    names = [*docs.columns, "size", "source_size", "target"]
-    clear = joined.where("prefix <> edge").select(*names, (F.col("whole") + (F.col("prefix") < F.col("edge")).cast("long")).alias("copies"))
+    carried = [*docs.columns, "size", "source_size", "target"]
+    clear = joined.where("prefix <> edge").select(*carried, (F.col("whole") + (F.col("prefix") < F.col("edge")).cast("long")).alias("copies"))
     # the rows of the boundary prefix are put in order: one prefix in 4096 of each source
     order = Window.partitionBy("source").orderBy("mark", "doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0
     close = joined.where("prefix = edge").withColumn("extra", (middle <= F.col("rest")).cast("long"))
-    return clear.union(close.select(*names, (F.col("whole") + F.col("extra")).alias("copies")))
+    return named_back(clear.union(close.select(*carried, (F.col("whole") + F.col("extra")).alias("copies"))), names, "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus itself: each row of docs as often as the plan says."""
-    planned = plan(docs, **settings).where("copies > 0")
-    return planned.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    own, names = apart(docs, "doc_id", "text", "source")
+    planned = plan(own, **settings).where("copies > 0")
+    return named_back(planned.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), names)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

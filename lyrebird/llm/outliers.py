@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import cut, read, small_batches
+from lyrebird.llm.common import apart, cut, named_back, read, small_batches
 from lyrebird.llm.substrings import BASE_1, Batch, _Hashes, rolled
 
 SYMBOLS = b"#*$%&|<>"
@@ -227,7 +227,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     stats = cut(statistics(docs.select("text", "lang", "source")).select("grp", "lang", "base_failed", "vector"))
     groups = groups_of(stats)
     model = fit(stats, groups)
-    return verdicts(statistics(docs), groups, model).where("kept").select(*docs.columns)
+    own, names = apart(docs, "text", "lang", "source")
+    return named_back(verdicts(statistics(own), groups, model).where("kept"), names)
 
 
 def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

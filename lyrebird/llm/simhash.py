@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import components, cut, read, small_batches
+from lyrebird.llm.common import apart, components, cut, named_back, read, small_batches
 
 SHINGLE = 3
 SEED = 42
@@ -126,10 +126,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def print_of(text: pd.Series) -> pd.Series:
         return pd.Series([signed(fingerprint((t or "").encode())) for t in text], dtype="int64")
 
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_fp": print_of(F.col("text").cast("string"))})
+    own, names = apart(docs, "doc_id", "text")
+    keyed = own.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_fp": print_of(F.col("text").cast("string"))})
     rows = keyed.join(kept, ["_id", "_fp"], "left_semi")
-    order = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    return rows.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    order = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64(*own.columns))
+    return named_back(rows.withColumn("_row", F.row_number().over(order)).where("_row = 1"), names)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
