@@ -20,7 +20,8 @@ like an output are replaced. Tables without rows give none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, compress
+from functools import cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,6 @@ from lyrebird.llm.common import cut, may_hold, pack_filter, read, small_batches,
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Words whose hashes a worker remembers at most.
-REMEMBERED = 150_000
 #: An anchor is hot when it occurs more than HOT times and makes more than 1 / MOST_HOT of all repeated anchors.
 HOT, MOST_HOT = 1000, 1 << 16
 SALTS = 32
@@ -42,12 +41,56 @@ FIRST = -(1 << 63)  # stands for a null doc_id
 BASE_1, BASE_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+#: Words are hashed in stretches of this many bytes, cut between words.
+STRETCH = 1 << 20
+LETTERS = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+IS_WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
+@cache
+def powers(base: int) -> np.ndarray:
+    """Powers of a base, kept once a worker."""
+    return np.multiply.accumulate(np.append(np.uint64(1), np.full(STRETCH - 1, base, dtype=np.uint64)))
+
+
+class _Hashes:
+    """Hashes of the words of a text: a polynomial of its letters for short words, XXH64 for those over LONG bytes."""
+
+    LONG = 64
+    BASE = 0xB5C0FBCFEC4D3B2D
+
+    def __init__(self):
+        self.up, self.down = powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64))
+
+    def of(self, text: bytes) -> np.ndarray:
+        """One hash for each word, whatever stands around it."""
+        found, at = [], 0
+        while at < len(text):
+            end = at + STRETCH
+            if end < len(text):
+                # back to the last white space, or where there is none, on to the next
+                piece = np.frombuffer(text, dtype=np.uint8, count=STRETCH, offset=at)
+                last = np.flatnonzero(IS_WHITE[piece])
+                if len(last):
+                    end = at + int(last[-1]) + 1
+                else:
+                    word = text[at:].split(None, 1)[0]
+                    found.append(np.array([xxhash.xxh64_intdigest(word)], dtype=np.uint64))
+                    at += len(word)
+                    continue
+            found.append(self._stretch(text[at:end]))
+            at = end
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+    def _stretch(self, text: bytes) -> np.ndarray:
+        letters = np.frombuffer(text, dtype=np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], IS_WHITE[letters], [True]])))
+        start, end = edges[::2], edges[1::2]
+        sums = np.append(np.uint64(0), np.cumsum(LETTERS[letters] * self.up[: len(letters)]))
+        hashes = mixed((sums[end] - sums[start]) * self.down[start])
+        for i in np.flatnonzero(end - start > self.LONG).tolist():
+            hashes[i] = xxhash.xxh64_intdigest(text[start[i] : end[i]])
+        return hashes
 
 
 ON_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -83,8 +126,7 @@ class Batch:
         self.words = [t.split() if t else [] for t in texts]
         self.lengths = np.fromiter(map(len, self.words), dtype=np.int64, count=len(texts))
         self.starts = np.cumsum(self.lengths) - self.lengths
-        get = hashes.__getitem__
-        self.hashes = np.fromiter(map(get, chain.from_iterable(self.words)), dtype=np.uint64, count=int(self.lengths.sum()))
+        self.hashes = hashes.of(b" ".join(t for t in texts if t))
         self.row = np.repeat(np.arange(len(texts)), self.lengths)
         self.at = np.arange(len(self.hashes)) - self.starts[self.row]
         self.left = self.lengths[self.row] - self.at  # words from here to the end of the text

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -55,6 +56,20 @@ def test_rolled_hash_depends_on_the_run_alone():
     assert len(substrings.rolled(values[:3], 8, substrings.BASE_1)) == 0
 
 
+def test_word_hashes_depend_on_the_word_alone(monkeypatch):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcé", k=rng.randint(1, 90))) for _ in range(500)]
+    text = "".join(w + rng.choice([" ", "\n", "\t ", "\x0b", "\x0c", "\r\n"]) for w in rng.choices(vocabulary, k=5000)).encode() + b"z" * 3000 + b" end"
+    whole = substrings._Hashes().of(text).tolist()
+    monkeypatch.setattr(substrings, "STRETCH", 256)  # words stand at other places of their stretches, one is longer than a stretch
+    assert substrings._Hashes().of(text).tolist() == whole
+    known = {}
+    for word, value in zip(text.split(), whole, strict=True):
+        assert known.setdefault(word, value) == value
+    assert len(set(known.values())) == len(known)
+    assert len(substrings._Hashes().of(b"")) == len(substrings._Hashes().of(b" \n ")) == 0
+
+
 def test_crowded_filter_loses_nothing(docs, corpus, monkeypatch):
     from lyrebird.llm import common
 
