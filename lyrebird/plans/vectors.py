@@ -18,7 +18,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long(rows: DataFrame, a: Column, digits: int = 6) -> DataFrame:
-    return rows.select("vec_id", F.posexplode(a).alias("i", "v")).select("vec_id", "i", F.round("v", digits).alias("v"))
+    rounded = F.round("v", digits)
+    signed = F.when((rounded == 0) & (F.col("v") < 0), F.lit(-0.0)).otherwise(rounded)  # rounding keeps the sign of zero, as in SQL engines by IEEE 754
+    return rows.select("vec_id", F.posexplode(a).alias("i", "v")).select("vec_id", "i", signed.alias("v"))
 
 
 def long_sql(expression: str, digits: int = 6) -> str:
