@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lyrebird.plans import catalog
@@ -22,7 +23,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
     if hasattr(value, "item"):
         value = value.item()
