@@ -2,7 +2,7 @@
 
 A unit vector is turned by pseudo-rotations, three rounds of random signs and a fast Hadamard
 transform, and falls to the nearest signed axis. `hashes` such axes make a bucket of one of `tables`
-tables. A query looks into the `probes` buckets of each table whose axes lie nearest to it, and all
+tables; it is one axis at every size, as fixed probes into finer buckets would lose neighbours. A query looks into the `probes` buckets of each table whose axes lie nearest to it, and all
 candidates found are scored exactly on the original vectors, in double precision.
 
 The measure is the largest inner product. Where norms differ, data vectors x become
@@ -31,8 +31,6 @@ from lyrebird.llm.common import cut, read, small_batches
 
 K = 20
 TABLES, PROBES = 8, 24
-#: Rows that a bucket should hold; with more rows, more axes are joined to a bucket.
-PER_BUCKET = 4096
 ROW_CHUNK, QUERY_CHUNK = 4096, 1024
 #: Buckets up to which their sizes are broadcast.
 BROADCAST_BUCKETS = 50_000
@@ -104,6 +102,16 @@ def best_of(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tu
     return query[rank < k], row[rank < k], score[rank < k]
 
 
+def kth_best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each row of `scores` over distinct ids, so that one id's repeats take one place."""
+    if len(np.unique(ids)) < len(ids):
+        order = np.argsort(ids, kind="stable")
+        edges = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+        scores = np.maximum.reduceat(scores[:, order], edges, axis=1)
+    n = scores.shape[1]
+    return np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -1e308)
+
+
 def score_blocks(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): of each bucket's rows (bucket, id, vec) the k best for its queries, chunk by chunk."""
     n_rows = data.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -143,7 +151,7 @@ def score_blocks(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 ri, rv = ids[middle:b], vectors[middle:b]
                 fast = qv @ rv.T
                 fast[qi[:, None] == ri[None, :]] = -np.inf
-                least = np.partition(fast, len(ri) - k, axis=1)[:, len(ri) - k] if len(ri) > k else np.full(len(qi), -1e308)
+                least = kth_best(fast, ri, k)
                 at_q, at_r = np.nonzero((fast >= (least - SLACK * (1 + np.abs(least)))[:, None]) & (fast > -np.inf))
                 held.append((qi[at_q], ri[at_r], (qv[at_q] * rv[at_r]).sum(axis=1)))
                 n += len(at_q)
@@ -159,7 +167,7 @@ def score_blocks(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return units.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, hashes: int = 1) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows (vec_id, embedding) of each row where is_query holds."""
     spark = small_batches(vectors).sparkSession
     sound = F.col("vec_id").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
@@ -172,8 +180,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABL
     d, largest = facts.d, float(np.sqrt(facts.most))
     uneven = facts.most - facts.least > 1e-4 * facts.most
     width = 1 << max(1, int(np.ceil(np.log2(d + uneven))))
-    if hashes is None:
-        hashes = max(1, int(np.ceil(np.log(max(facts.n / PER_BUCKET, 1)) / np.log(2 * width))))
     clean = clean.where(F.size("vec") == d)
 
     def place(of_queries: bool):

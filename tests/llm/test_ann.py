@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,28 @@ def test_rotation_keeps_lengths_and_buckets_are_probed():
     assert np.allclose((x @ x.T), (y @ y.T))
     for hashes in (1, 2):
         assert (ann.buckets(x, 3, hashes)[:, None] == ann.probed(x, 3, hashes, 8)).any(axis=1).all()
+
+
+def test_recall_of_a_table_past_the_former_switch_to_two_hashes(spark):
+    n, d = 135_000, 16  # one more axis was joined from 131,072 rows of 16 dimensions on
+    x = np.random.default_rng(8).normal(size=(n, d)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.range(n).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x[b.column(0).to_numpy()]), pa.list_(pa.float32()))], ["vec_id", "embedding"]) for b in batches), "vec_id long, embedding array<float>")
+    ours = found(ann.nearest(rows, F.col("vec_id") % 3000 == 0))
+    wide, hit = x.astype(np.float64), 0
+    for q in range(0, n, 3000):
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        hit += len({i for i, _ in ours[q]} & set(np.argpartition(-score, 19)[:20].tolist()))
+    assert len(ours) == 45 and hit >= 0.98 * 20 * 45, hit / (20 * 45)
+
+
+def test_repeats_of_one_id_take_one_place(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    rows = [(0, base.tolist())] + [(1, (base * (1 + 0.001 * i)).tolist()) for i in range(30)]
+    rows += [(i, (base * 0.9 + rng.normal(size=8) * 0.05).tolist()) for i in range(2, 50)]
+    exact = brute(rows)
+    one = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>").coalesce(1)
+    ours = found(ann.nearest(one, F.col("vec_id") % 20 == 0))
+    assert {q: [i for i, _ in v] for q, v in ours.items()} == {q: [i for i, _ in v] for q, v in exact.items()}
