@@ -86,3 +86,26 @@ def test_keep_good_and_edge_tables(docs, no_docs, texts):
     assert outliers.keep_good(no_docs).count() == 0
     kept = outliers.keep_good(docs.withColumnRenamed("size", "vector"))
     assert kept.columns == ["doc_id", "text", "lang", "source", "vector"] and kept.where("text is null").count() == 0
+
+
+def test_repeats_go_from_a_clean_source(spark):
+    rng = np.random.default_rng(6)
+
+    def lines(n, size=10):
+        return [" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(size)) for _ in range(n)]
+
+    rows = [(i, "\n".join(lines(int(rng.integers(8, 30))))) for i in range(300)]
+    for i in range(300, 306):  # ten short lines said twice and four long ones: 42% of the lines and of the words
+        short = lines(10, 5)
+        rows.append((i, "\n".join([*short, *lines(4, 35), *short])))
+    for i in range(306, 310):  # a clean one: a line said twice among ten
+        own = lines(10)
+        rows.append((i, "\n".join([*own, own[3]])))
+    docs = spark.createDataFrame([(i, t, "en", "clean") for i, t in rows], "doc_id long, text string, lang string, source string")
+    stats = outliers.statistics(docs).cache()
+    groups = outliers.groups_of(stats)
+    judged = outliers.verdicts(stats, groups, outliers.fit(stats, groups)).collect()
+    planted = [r for r in judged if 300 <= r.doc_id < 306]
+    for r in planted:
+        assert not r.base_failed and 0.4 <= r.n_dup_lines / r.n_lines <= 0.45 and 0.4 <= r.n_repeat_words / r.n_words <= 0.45
+    assert [r.doc_id for r in judged if not r.kept] == sorted(r.doc_id for r in planted)
