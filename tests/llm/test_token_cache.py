@@ -49,3 +49,29 @@ def test_sentencepiece_and_empty(spark, docs, no_docs, corpus, tokens, tmp_path)
     found = sorted(((r.doc_id, r.n_tokens) for r in token_cache.count_tokens(docs, pieces, str(tmp_path / "p")).collect()), key=str)
     assert found == sorted(((d, len(model.encode(t or ""))) for d, t, *_ in corpus), key=str)
     assert token_cache.count_tokens(no_docs, tokens, str(tmp_path / "e")).count() == 0
+
+
+def test_words_add_up_to_texts(tokens, monkeypatch):
+    count = tokens.counter()
+    texts = ["", "don't <|endoftext|>x it's", "ΑΣ Σ. ΣΑ e\u0301 \u0301a", "12 3 4five <|end", "Ｆull ｗidth\u3000x", "a b " * 50 + "c", "\u00a0 \u0085x y"]
+    texts = [token_cache.content_of(t.encode(), True).decode() for t in texts]
+    assert token_cache.WordCounts(count)(texts) == count(texts)
+    monkeypatch.setattr(token_cache, "STRETCH", 9)
+    monkeypatch.setattr(token_cache, "REMEMBERED", 3)
+    assert token_cache.WordCounts(count)(texts) == count(texts)
+
+
+def test_a_full_cache_shuffles_digests_only(spark, docs, tokens, tmp_path, monkeypatch):
+    cache = str(tmp_path / "full")
+    first = sorted(map(tuple, token_cache.count_tokens(docs, tokens, cache).collect()), key=str)
+
+    def refused(*_):
+        raise AssertionError("texts are read again")
+
+    monkeypatch.setattr(token_cache, "contents", refused)
+    assert sorted(map(tuple, token_cache.count_tokens(docs, tokens, cache).collect()), key=str) == first
+
+
+def test_columns_named_like_outputs_are_ignored(spark, tokens, tmp_path):
+    rows = spark.createDataFrame([(None, "a b", 7, "x", "y"), (None, "a b", 7, "x", "y"), (1, None, 8, "x", "y")], "doc_id long, text string, n_tokens int, digest string, content string")
+    assert sorted(map(tuple, token_cache.count_tokens(rows, tokens, str(tmp_path / "n")).collect()), key=str) == [(1, 0, 0), (None, 3, 2), (None, 3, 2)]
