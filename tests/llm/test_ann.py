@@ -96,3 +96,49 @@ def test_repeats_of_one_id_take_one_place(spark):
     one = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>").coalesce(1)
     ours = found(ann.nearest(one, F.col("vec_id") % 20 == 0))
     assert {q: [i for i, _ in v] for q, v in ours.items()} == {q: [i for i, _ in v] for q, v in exact.items()}
+
+
+def test_ranks_count_the_nearer_buckets():
+    rng = np.random.default_rng(6)
+    x, y = ann.unit_vectors(rng.normal(size=(30, 8)), 8, None), ann.unit_vectors(rng.normal(size=(30, 8)), 8, None)
+    for hashes in (1, 2, 3):
+        rank = ann.ranks(x, y, hashes, 2)
+        for i in range(30):
+            found = [ann.buckets(y[i : i + 1], t, hashes)[0] in ann.probed(x[i : i + 1], t, hashes, int(rank[i]) + 1)[0] for t in range(2)]
+            assert any(found)
+            assert rank[i] == 0 or not any(ann.buckets(y[i : i + 1], t, hashes)[0] in ann.probed(x[i : i + 1], t, hashes, int(rank[i]))[0] for t in range(2))
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random"])
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_recall_with_measured_probes(spark, monkeypatch, kind, hashes):
+    """50,000 vectors of 16 dimensions, each number of axes; prints the share of the rows that the probed buckets hold."""
+    n, d = 50_000, 16
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, d))
+    if kind == "clustered":
+        x = rng.normal(size=(200, d))[rng.integers(0, 200, n)] + 0.4 * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    monkeypatch.setattr(ann, "TABLES", {hashes: ann.TABLES[hashes]})
+    measured, plan = [], ann.cheapest
+    monkeypatch.setattr(ann, "cheapest", lambda *a: measured.append(plan(*a)) or measured[-1])
+    rows = spark.range(n).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x[b.column(0).to_numpy()]), pa.list_(pa.float32()))], ["vec_id", "embedding"]) for b in batches), "vec_id long, embedding array<float>")
+    ours = found(ann.nearest(rows, F.col("vec_id") % 200 == 0))
+    wide, hit = x.astype(np.float64), 0
+    for q in range(0, n, 200):
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        hit += len({i for i, _ in ours[q]} & set(np.argpartition(-score, 19)[:20].tolist()))
+    _, tables, probes = measured[0]
+    share = tables * probes / (2 * d) ** hashes
+    print(f"{kind}, {hashes} axes: recall {hit / (20 * len(ours)):.3f}, share {share:.3f}")
+    assert len(ours) == 250 and hit >= 0.95 * 20 * 250
+    assert hashes == 1 or share < 0.5
+
+
+def test_huge_components_do_not_overflow_the_norm(spark):
+    rows = [(i, [1e200 * (1 + i % 7), 1e200 * (1 + i % 5), 1e199 * i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ours = found(ann.nearest(df, F.col("vec_id") % 20 == 0))
+    assert sorted(ours) == [0, 20, 40] and all(len(v) == 20 for v in ours.values())
+    assert np.isfinite(ann.unit_vectors(np.array([r[1] for r in rows]), 4, 1e201)).all()
