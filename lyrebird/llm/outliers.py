@@ -1,10 +1,12 @@
 """Quality rules: robust multivariate outliers for each language and source.
 
-Every text becomes a vector of transformed statistics (VECTOR). For each language and source the
-minimum-covariance-determinant estimate gives a centre and a scatter: from a start at the medians,
-concentration steps keep the share SHARE of the documents that lie nearest by Mahalanobis distance
-and take their mean and covariance, until nothing moves or STEPS are done. The covariance is made
-consistent for normal data, and FLOOR, the least spread that counts as one, is added to each
+Every text becomes a vector of transformed statistics. For each language and source the minimum-
+covariance-determinant estimate gives a centre and a scatter. Concentration steps keep the share SHARE
+of the documents that lie nearest by Mahalanobis distance and take their mean and covariance. They run
+from STARTS starts, the medians and seeded subsets of SUBSET documents; after FIRST_STEPS the
+KEPT_TRIALS with the lowest determinants go on until nothing moves, and the lowest of these is taken
+and reweighted: mean and covariance of all documents within its chi-square quantile WITHIN. Covariances
+are made consistent for normal data, and FLOOR, the least spread that counts as one, is added to each
 coordinate, so a statistic that is zero almost everywhere can't reject by itself for a trifle.
 Documents farther than the chi-square quantile at 1 - TAIL are rejected.
 
@@ -14,7 +16,7 @@ is summed where it lies and the nearest share ends at a bin's edge. Only a group
 one task. Groups with fewer than LEAST documents are estimated together with such groups of their
 language, and languages with fewer, together; where even these are fewer, nothing is rejected.
 
-Null texts have no words and fail the base rules. Null languages and sources are values like others.
+Null texts have no words and fail the base rules; very long ones are counted whole, in one row. Null languages and sources are values like others.
 Rows are kept one for one; columns named like an output are replaced. Empty tables give no rows.
 """
 
@@ -36,7 +38,11 @@ SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 LEAST_WORDS = 50
 SHARE = 0.75
-STEPS = 10
+#: Starts of each group: the medians, and subsets of about so many rows; steps of all starts, how many are kept then, their steps at most.
+STARTS, SUBSET = 8, 30
+FIRST_STEPS, KEPT_TRIALS, STEPS = 2, 2, 8
+#: Chi-square quantile within which rows make the reweighted estimate.
+WITHIN = 0.975
 TAIL = 1e-8
 LEAST = 60
 #: Least spread of each coordinate, on the transformed scale. Where a source has neither repeated lines nor repeated
@@ -156,11 +162,40 @@ def bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
 
 
-MODEL = "fit string, centre array<double>, inverse array<double>"
+MODEL = "fit string, trial int, centre array<double>, inverse array<double>, log_det double"
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+SUMS = [*[f"s{i}" for i in range(P)], *[f"m{i}_{j}" for i, j in PAIRS]]
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """MODEL from medians and quartile ranges, found in fine bins of each coordinate."""
+def sums_of(vector: Column) -> list[Column]:
+    x = [vector[i] for i in range(P)]
+    return [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i, j in PAIRS]]
+
+
+def estimated(moments: DataFrame) -> DataFrame:
+    """MODEL from sums of rows (fit, trial, share, n, SUMS); share: that of a group's rows in the sums, for which the scatter is corrected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, inverses, log_dets = [], [], []
+            for row in batch.to_pylist():
+                n = row["n"]
+                mean = np.array([row[f"s{i}"] for i in range(P)]) / n
+                scatter = np.zeros((P, P))
+                for i, j in PAIRS:
+                    scatter[i, j] = scatter[j, i] = row[f"m{i}_{j}"] / n - mean[i] * mean[j]
+                scatter = scatter * consistency(min(row["share"], 0.999)) + np.diag(np.square(FLOOR))
+                centres.append(mean.tolist())
+                inverses.append(np.linalg.inv(scatter).ravel().tolist())
+                log_dets.append(float(np.linalg.slogdet(scatter)[1]))
+            lists = [pa.array(x, pa.list_(pa.float64())) for x in (centres, inverses)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, pa.array(log_dets, pa.float64())], ["fit", "trial", "centre", "inverse", "log_det"])
+
+    return moments.select("fit", "trial", "share", "n", *SUMS).mapInArrow(run, MODEL)
+
+
+def median_start(rows: DataFrame) -> DataFrame:
+    """MODEL, trial 0, from medians and quartile ranges, found in fine bins of each coordinate."""
     bins = rows.select("fit", F.posexplode("vector").alias("j", "x")).groupBy("fit", "j", F.floor(F.col("x") * FINE).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("fit", "j").orderBy("bin")
     share = F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("fit", "j"))
@@ -169,49 +204,59 @@ def start(rows: DataFrame) -> DataFrame:
     spread = F.pow((F.col("high") - F.col("low")) / FINE / 1.349, 2) + F.pow(F.element_at(floors, F.col("j") + 1), 2)
     ordered = at.groupBy("fit").agg(F.sort_array(F.collect_list(F.struct("j", ((F.col("mid") + 0.5) / FINE).alias("centre"), (1 / spread).alias("weight")))).alias("c"))  # P entries
     diagonal = F.flatten(F.transform("c", lambda x, i: F.transform(F.sequence(F.lit(0), F.lit(P - 1)), lambda j: F.when(i == j, x["weight"]).otherwise(0.0))))
-    return ordered.select("fit", F.col("c.centre").alias("centre"), diagonal.alias("inverse"))
+    return ordered.select("fit", F.lit(0).alias("trial"), F.col("c.centre").alias("centre"), diagonal.alias("inverse"), F.lit(0.0).alias("log_det"))
 
 
-def concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """MODEL of the nearest SHARE of each group's rows under a model: one concentration step."""
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    x = [F.col("vector")[i] for i in range(P)]
+def subset_starts(rows: DataFrame) -> DataFrame:
+    """MODEL, trials from 1, of about SUBSET rows of each group, picked by a hash of vector and trial."""
+    sizes = cut(rows.groupBy("fit").agg(F.count(F.lit(1)).alias("size")))
+    trials = F.filter(F.sequence(F.lit(1), F.lit(STARTS - 1)), lambda t: F.pmod(F.xxhash64("vector", t), F.col("size")) < SUBSET)
+    picked = rows.join(bounded(sizes), "fit").select("fit", "vector", F.explode(trials).alias("trial"))
+    return estimated(picked.groupBy("fit", "trial").agg(*sums_of(F.col("vector"))).withColumn("share", F.lit(1.0)))
+
+
+def with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
     distance = squared_distance(F.col("vector"), F.col("centre"), F.col("inverse"))
-    binned = rows.join(bounded(model), "fit").withColumn("bin", F.floor(F.log2(1 + F.greatest(distance, F.lit(0.0))) * BINS))
-    sums = binned.groupBy("fit", "bin").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i, j in pairs])
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("fit").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    near = sums.withColumns({"before": before, "all": F.sum("n").over(Window.partitionBy("fit"))}).where(F.col("before") < SHARE * F.col("all"))
-    moments = near.groupBy("fit").agg(F.max("all").alias("all"), *[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(P)], *[f"m{i}_{j}" for i, j in pairs])])
+    return rows.join(bounded(model), "fit").select("fit", "trial", "vector", F.greatest(distance, F.lit(0.0)).alias("distance"))
+
+
+def concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """MODEL of the nearest SHARE of each group's rows under each of its trials: one concentration step."""
+    binned = with_distance(rows, model).withColumn("bin", F.floor(F.log2(1 + F.col("distance")) * BINS))
+    sums = binned.groupBy("fit", "trial", "bin").agg(*sums_of(F.col("vector")))
+    own = Window.partitionBy("fit", "trial")
+    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    near = sums.withColumns({"before": before, "all": F.sum("n").over(own)}).where(F.col("before") < SHARE * F.col("all"))
+    return estimated(near.groupBy("fit", "trial").agg(F.max("all").alias("all"), *[F.sum(c).alias(c) for c in ("n", *SUMS)]).withColumn("share", F.col("n") / F.col("all")))
+
+
+def lowest(model: DataFrame, trials: int) -> DataFrame:
+    """Of each group the trials with the lowest determinants."""
+    order = Window.partitionBy("fit").orderBy("log_det", "trial")
+    return model.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= trials).drop("rank")
 
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            centres, inverses = [], []
-            for row in batch.to_pylist():
-                n = row["n"]
-                mean = np.array([row[f"s{i}"] for i in range(P)]) / n
-                scatter = np.zeros((P, P))
-                for i, j in pairs:
-                    scatter[i, j] = scatter[j, i] = row[f"m{i}_{j}"] / n - mean[i] * mean[j]
-                scatter = scatter * consistency(min(n / row["all"], 0.999)) + np.diag(np.square(FLOOR))
-                centres.append(mean.tolist())
-                inverses.append(np.linalg.inv(scatter).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], ["fit", "centre", "inverse"])
 
-    return moments.mapInArrow(estimate, MODEL)
+def reweighted(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """MODEL of the rows within the chi-square quantile WITHIN of a model."""
+    near = with_distance(rows, model).where(F.col("distance") <= chi_square_quantile(WITHIN, P))
+    return estimated(near.groupBy("fit", "trial").agg(*sums_of(F.col("vector"))).withColumn("share", F.lit(WITHIN)))
 
 
 def fit(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """MODEL of each group of documents that pass the base rules."""
     rows = cut(stats.where(~F.col("base_failed")).join(bounded(groups), "grp").where("fit is not null").select("fit", "vector"))
-    model = cut(start(rows))
+    model = cut(median_start(rows).union(subset_starts(rows)))
+    for _ in range(FIRST_STEPS):
+        model = cut(concentrated(rows, model))
+    model = cut(lowest(model, KEPT_TRIALS))
     for _ in range(STEPS):
         new = cut(concentrated(rows, model))
         gap = F.aggregate(F.zip_with("centre", "was", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: F.greatest(s, v))
-        moved = new.join(model.select("fit", F.col("centre").alias("was")), "fit").agg(F.max(gap).alias("gap")).first().gap
+        moved = new.join(model.select("fit", "trial", F.col("centre").alias("was")), ["fit", "trial"]).agg(F.max(gap).alias("gap")).first().gap
         model = new
         if moved is None or moved < 1e-6:
             break
-    return model
+    return cut(reweighted(rows, cut(lowest(model, 1))))
 
 
 def verdicts(stats: DataFrame, groups: DataFrame, model: DataFrame) -> DataFrame:
