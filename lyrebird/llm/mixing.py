@@ -10,7 +10,8 @@ lies within the rest, so a source misses its target by less than one document, a
 A hot source is never gathered: sums are taken for each source and hash prefix first, and only the
 one prefix that holds the boundary is put in order.
 
-Null texts and texts without words have size 0 and take 0 words; a null source is a source of its
+Null texts and texts without words have size 0 and take 0 words, but are repeated like others of their
+source, within the cap; a very long text may miss its source's target by half its size; a null source is a source of its
 own; repeated rows are documents of their own (equal rows may stand for each other). Empty tables
 give no rows. Where all sizes are 0, all targets are 0.
 """
@@ -96,12 +97,14 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     if known.count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
     joined = sized.join(known, F.col("source").eqNullSafe(F.col("its_source"))).withColumn("prefix", prefix)
+    # a source at a whole multiple has no part to fill; one without words is taken once
+    open_rest = (F.col("rest") > 0) | (F.col("source_size") == 0)
     carried = [*docs.columns, "size", "source_size", "target"]
-    clear = joined.where("prefix <> edge").select(*carried, (F.col("whole") + (F.col("prefix") < F.col("edge")).cast("long")).alias("copies"))
+    clear = joined.where("prefix <> edge").select(*carried, (F.col("whole") + ((F.col("prefix") < F.col("edge")) & open_rest).cast("long")).alias("copies"))
     # the rows of the boundary prefix are put in order: one prefix in 4096 of each source
     order = Window.partitionBy("source").orderBy("mark", "doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0
-    close = joined.where("prefix = edge").withColumn("extra", (middle <= F.col("rest")).cast("long"))
+    close = joined.where("prefix = edge").withColumn("extra", ((middle <= F.col("rest")) & open_rest).cast("long"))
     return named_back(clear.union(close.select(*carried, (F.col("whole") + F.col("extra")).alias("copies"))), names, "size", "source_size", "target", "copies")
 
 

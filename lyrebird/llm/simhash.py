@@ -5,16 +5,15 @@ A fingerprint has 64 bits; a bit is set when it is set in more than half of the
 MOST_BITS bits are linked, and linked texts form components.
 
 All texts with one fingerprint are one class, so the search runs over distinct fingerprints. Each
-gets a table of its Hamming distances to PIVOTS reference fingerprints. Among the references are the
-zero fingerprint and the 64 with one bit set: d(x, e_i) - d(x, 0) = 1 - 2 x_i, so the coordinates of
-one quarter of the bits depend on that quarter alone. Two changed bits touch two quarters at most,
-hence any linked pair agrees in all coordinates of two quarters, and meets in one of six cells. In a
-cell, a pair is discarded when a coordinate of the other references differs by more than MOST_BITS
-(the triangle inequality), and the survivors are verified.
-
-A cell with more than CELL members would make too many pairs. Its members get further references:
-each is listed under all fingerprints within one bit of it, 65 in all. Two fingerprints are within
-two bits of each other exactly if they share such a reference, and a reference has 65 members at
+gets a table of its Hamming distances to reference fingerprints: zero, the 64 with one bit set, and
+PIVOTS random ones. The coordinates of single bits, less that of zero, make the keys of cells: two
+changed bits change two of them, hence any linked pair agrees in those of two quarters at least, and
+meets in one of six cells. In a cell, a pair is discarded when a coordinate of a random reference
+differs by more than MOST_BITS (the triangle inequality), and the survivors are verified.
+
+A cell with more than CELL members would make too many pairs. Its members get references of their own:
+each is listed under all fingerprints at distance one or less, 65 in all. By the triangle inequality's
+other side, two fingerprints are within two bits of each other exactly if they share such a reference, and a reference has 65 members at
 most, each linked to the smallest. Nothing is dropped.
 
 With a similarity given, texts are linked by the exact Jaccard similarity of their sets of word
@@ -25,7 +24,8 @@ of the others, and whatever is left is verified on the shingles. Each band's mem
 them first. Pairs inside one component tell nothing more; all others are compared, none is capped.
 
 Null and empty texts have fingerprint zero and are linked like any other. A component's id is its
-smallest doc_id that isn't null. Rows are kept one for one. Empty tables give no rows.
+smallest doc_id that isn't null. Very long texts are hashed whole, in one row. Rows are kept one for
+one, repeated rows included; `one_of_each` passes other columns through. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -52,15 +52,14 @@ CELL = 16
 #: MinHash values of a text: BANDS times ROWS, which finds any similarity from LEAST_SIMILARITY on.
 BANDS, ROWS = 32, 4
 LEAST_SIMILARITY = 0.75
-QUARTERS = [0xFFFF << (16 * i) for i in range(4)]
 
 
 def signed(bits: int) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
-#: The references beside zero and the single bits.
-REFERENCES = [signed(random.Random(7).getrandbits(64) ^ random.Random(i).getrandbits(64)) for i in range(PIVOTS)]
+#: Zero, the single bits, and random fingerprints.
+REFERENCES = [0, *[signed(1 << i) for i in range(64)], *[signed(random.Random(7).getrandbits(64) ^ random.Random(i).getrandbits(64)) for i in range(PIVOTS)]]
 
 _FACTORS, _SHIFTS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
 
@@ -98,17 +97,32 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def placed(distinct: DataFrame) -> DataFrame:
+    """(fp, table, which, key): each distinct fingerprint in six cells, with its distances to the random references.
+
+    A cell's key comes from the coordinates of two quarters: distances to the references with one bit set, less that to zero.
+    """
+    coordinates = F.array(*[distance(F.col("fp"), F.lit(r)).cast("byte") for r in REFERENCES])
+    own = distinct.select("fp", coordinates.alias("all"))
+    own = own.select("fp", F.slice("all", 66, PIVOTS).alias("table"), F.transform(F.slice("all", 2, 64), lambda c: c - F.col("all")[0]).alias("over"))
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.xxhash64(F.slice("over", 16 * a + 1, 16), F.slice("over", 16 * b + 1, 16)).alias("key")) for k, (a, b) in enumerate(combinations(range(4), 2))]))
+    return own.select("fp", "table", cells.alias("cell")).select("fp", "table", "cell.which", "cell.key")
+
+
+def met(members: DataFrame) -> DataFrame:
+    """(a, b, gap) of the pairs in cells of `placed`; gap: the largest difference of their tables."""
+    left, right = (members.select("which", "key", F.col("fp").alias(n), F.col("table").alias(f"table_{n}")) for n in "ab")
+    gap = F.array_max(F.zip_with("table_a", "table_b", lambda x, y: F.abs(x - y)))
+    return left.join(right, ["which", "key"]).where("a < b").select("a", "b", gap.alias("gap"))
+
+
 def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     """(a, b): enough pairs of the distinct fingerprints `fp` within MOST_BITS to connect all that are linked."""
-    table = F.array(*[distance(F.col("fp"), F.lit(r)).cast("byte") for r in REFERENCES])
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.col("fp").bitwiseAND(signed(a | b)).alias("key")) for k, (a, b) in enumerate(combinations(QUARTERS, 2))]))
-    members = distinct.select("fp", table.alias("table"), cells.alias("cell")).select("fp", "table", "cell.which", "cell.key")
+    members = placed(distinct)
     sizes = cut(members.groupBy("which", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     crowded = sizes.where(F.col("size") > cell).select("which", "key")
     sparse = members.join(sizes.where(F.col("size") <= cell), ["which", "key"])
-    left, right = (sparse.select("which", "key", F.col("fp").alias(n), F.col("table").alias(f"table_{n}")) for n in "ab")
-    apart = F.array_max(F.zip_with("table_a", "table_b", lambda x, y: F.abs(x - y)))
-    pairs = left.join(right, ["which", "key"]).where("a < b").where(apart <= MOST_BITS).where(distance(F.col("a"), F.col("b")) <= MOST_BITS).select("a", "b")
+    pairs = met(sparse).where(F.col("gap") <= MOST_BITS).where(distance(F.col("a"), F.col("b")) <= MOST_BITS).select("a", "b")
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
     listed = members.join(crowded, ["which", "key"]).select("fp").distinct().select("fp", F.explode(near).alias("reference"))
     shared = listed.groupBy("reference").agg(F.collect_set("fp").alias("members")).where("size(members) > 1")

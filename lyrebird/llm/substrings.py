@@ -12,7 +12,7 @@ to the windows around it and compares them by 96-bit hashes: a window goes when
 it. Windows with an anchor that is hot in the whole corpus are pre-aggregated and salted, so none of
 them gathers in one task. Repeats inside one document are found in the document itself.
 
-Null texts have no words. Rows with a null doc_id come before all others. Rows with the same doc_id
+Null texts have no words; very long ones are hashed in stretches but stay one row. Rows with a null doc_id come before all others. Rows with the same doc_id
 are texts of equal rank: none is earlier than the other. Other columns pass through; columns named
 like an output are replaced. Tables without rows give none.
 """
@@ -189,10 +189,10 @@ def _texts(column: pa.Array) -> list[bytes | None]:
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int]:
     """(doc, tag, places) of the windows that occur in an earlier document; and the filter of shared doc_ids.
 
-    doc: doc_id with null as FIRST; tag: a hash of the text where other rows may have that doc_id, else 0.
+    doc: doc_id with null as FIRST; tag: a 64-bit hash of the text where other rows may have that doc_id, else 0.
     """
     spark = docs.sparkSession
-    texts = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -225,22 +225,21 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object, int]:
                 tag = np.where(may_hold(shared, shared_log, key), batch.column(1).to_numpy(), 0)
                 salt = np.where(is_hot[take] & ~hot_only, (key[row] % np.uint64(SALTS)).astype(np.int64), 0)
                 low = (h2[take] >> np.uint64(32)).astype(np.int64)
-                columns = [h1[take].view(np.int64), low | (salt << 32), batch.column(0).to_numpy()[row], (tag[row].astype(np.int64) << 32) | words.at[place]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc", "tag_place"])
+                columns = [h1[take].view(np.int64), low | (salt << 32), batch.column(0).to_numpy()[row], tag[row], words.at[place].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc", "tag", "place"])
 
         return run
 
     # h2 holds 32 bits of the second hash and above them the salt, 0 unless the window has a hot anchor
     keyed = texts.select("doc", "tag", "text", F.xxhash64("doc").alias("key"))
-    kinds = "h1 long, h2 long, doc long, tag_place long"
+    kinds = "h1 long, h2 long, doc long, tag long, place int"
     seen = keyed.mapInArrow(windows(False), kinds)
     if len(hot):
         # the smallest doc_id of each hot window, found with map-side sums, stands among the rows of each salt
         first = keyed.mapInArrow(windows(True), kinds).groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        seen = seen.union(first.withColumn("salt", salts).select("h1", F.col("h2") + F.shiftleft("salt", 32), "doc", F.lit(None).cast("long")))
-    cold = seen.withColumn("first", F.min("doc").over(Window.partitionBy("h1", "h2"))).where("doc > first").select("doc", "tag_place")
-    placed = cold.select("doc", F.shiftright("tag_place", 32).cast("int").alias("tag"), F.col("tag_place").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
+        seen = seen.union(first.withColumn("salt", salts).select("h1", F.col("h2") + F.shiftleft("salt", 32), "doc", F.lit(None).cast("long"), F.lit(None).cast("int")))
+    placed = seen.withColumn("first", F.min("doc").over(Window.partitionBy("h1", "h2"))).where("doc > first").select("doc", "tag", "place")
     # a document's list is as long as the document at most
     return placed.groupBy("doc", "tag").agg(F.collect_list("place").alias("places")), aside, shared_log
 
@@ -262,9 +261,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in outputs]
     own = [f"c{i}" for i in range(len(names))]  # so that no column of docs is mistaken for one of those below
     text_at = names.index("text")
-    doc, tag = F.coalesce(F.col("`doc_id`").cast("long"), F.lit(FIRST)), F.hash("`text`")
+    doc, tag = F.coalesce(F.col("`doc_id`").cast("long"), F.lit(FIRST)), F.xxhash64("`text`")
     base = small_batches(docs).select(*[F.col(f"`{c}`").alias(x) for c, x in zip(names, own, strict=True)], doc.alias("doc"), tag.alias("tag"))
-    keyed = base.select("*", F.xxhash64("doc").alias("by_doc"), F.xxhash64("doc", F.lit(0)).alias("untagged"), F.xxhash64("doc", "tag").alias("tagged"))
+    keyed = base.select("*", F.xxhash64("doc").alias("by_doc"), F.xxhash64("doc", F.lit(0).cast("long")).alias("untagged"), F.xxhash64("doc", "tag").alias("tagged"))
 
     def hashed(batch: pa.RecordBatch, name: str) -> np.ndarray:
         return batch.column(name).to_numpy().view(np.uint64)
@@ -273,7 +272,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         """The tag under which `repeated` would list each row, and whether it may."""
         shared = may_hold(np.frombuffer(aside.value[1], dtype=np.uint8), shared_log, hashed(batch, "by_doc"))
         key = np.where(shared, hashed(batch, "tagged"), hashed(batch, "untagged"))
-        return np.where(shared, batch.column("tag").to_numpy(), 0).astype(np.int32), may_hold(np.frombuffer(rows_shipped.value, dtype=np.uint8), rows_log, key)
+        return np.where(shared, batch.column("tag").to_numpy(), 0), may_hold(np.frombuffer(rows_shipped.value, dtype=np.uint8), rows_log, key)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

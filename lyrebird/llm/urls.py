@@ -10,7 +10,7 @@ A rule fits where the page's path begins with the rule's path. Of the open rules
 longest text (host and path) wins, then the longer host, then block. A page that no rule fits is
 allowed. The sample places boundaries only; no verdict depends on it.
 
-A null URL or one without `://` has empty host and path and no rule. Rules with a null or empty host
+A null URL or one without `://` has empty host and path and no rule; very long ones stay whole. Other columns are ignored. Rules with a null or empty host
 or an unknown verdict are refused. Rows are kept one for one. Empty tables give no rows.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lyrebird.llm.common import lower_ascii, read, small_batches
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Sampled keys for each slice; they go to the driver, which keeps one boundary of so many.
-SAMPLED = 100
+#: Sampled keys for each slice, and of all slices at most; they go to the driver, which keeps the boundaries between slices.
+SAMPLED, MOST_SAMPLED = 100, 100_000
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LAST = chr(0x10FFFF)
 
@@ -67,9 +67,9 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = parsed.withColumn("key", reversed_host(F.col("host")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed.count()
-    sample = keyed.select("key", "path", F.coalesce("page_id", F.lit(-1)).alias("id")).sample(min(1.0, SAMPLED * n / max(rows, 1)), 11).collect()
+    sample = keyed.select("key", "path", F.coalesce("page_id", F.lit(-1)).alias("id")).sample(min(1.0, min(SAMPLED * n, MOST_SAMPLED) / max(rows, 1)), 11).collect()
     sample = sorted(map(tuple, sample))
-    bounds = sample[SAMPLED::SAMPLED] if len(sample) > n * SAMPLED // 2 else sample[max(1, len(sample) // n) :: max(1, len(sample) // n)]
+    bounds = [sample[len(sample) * i // n] for i in range(1, n)] if len(sample) >= n else sample
     columns = "slice int, key string, is_page int, path string, page_id long, host string, rule string, verdict string"
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -109,7 +109,7 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "host", "path", "rule", "verdict"])
 
     events = keyed.select("page_id", "host", "path", "key").mapInArrow(place_pages, columns).union(parse_rules(rules).mapInArrow(place_rules, columns))
-    swept = events.repartition(n, "slice").sortWithinPartitions("slice", "key", "is_page", "path", "page_id")
+    swept = events.repartitionById(n, "slice").sortWithinPartitions("slice", "key", "is_page", "path", "page_id")
     return swept.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")
 
 

@@ -58,3 +58,9 @@ def test_mix_repeats_rows_and_empty(docs, no_docs, spark):
     assert mixing.mix(no_docs).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.copies) for r in mixing.plan(blank).collect()] == [(0, 0.0, 1)] * 2
+
+
+def test_texts_without_words_stay_within_the_cap(spark):
+    rows = [(i, "w " * 900, "a") for i in range(20)] + [(100 + i, "" if i % 2 else "one word", "b") for i in range(40)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= mixing.MAX_EPOCHS

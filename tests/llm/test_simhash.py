@@ -102,3 +102,15 @@ def test_long_text_votes():
     rng = np.random.default_rng(0)
     text = " ".join(rng.choice(["aa", "b", "ccc", "é"], 9001))
     assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+def test_the_table_discards_pairs_that_are_far_apart(spark):
+    """Fingerprints that agree in two quarters; prints how many pairs the random references' coordinates discard."""
+    rng = random.Random(3)
+    half = rng.getrandbits(32)
+    prints = [simhash.signed(rng.getrandbits(32) << 32 | half) for _ in range(400)]
+    pairs = simhash.met(simhash.placed(spark.createDataFrame([(p,) for p in prints], "fp long"))).collect()
+    kept = [r for r in pairs if r.gap <= simhash.MOST_BITS]
+    near = {(r.a, r.b) for r in pairs if ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= simhash.MOST_BITS}
+    print(f"{len(pairs)} pairs met, {len(pairs) - len(kept)} discarded by the table")
+    assert len(pairs) >= 400 * 399 // 2 and near <= {(r.a, r.b) for r in kept} and len(kept) < len(pairs) // 100

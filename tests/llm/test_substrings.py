@@ -90,3 +90,15 @@ def test_hot_windows_are_joined_and_equal_brute_force(docs, corpus, monkeypatch)
     monkeypatch.setattr(substrings, "MOST_HOT", 1 << 40)
     rows = substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert sorted(map(tuple, rows), key=str) == brute([(d, t) for d, t, *_ in corpus])
+
+
+def test_texts_with_one_short_hash_and_no_doc_id_are_told_apart(spark):
+    """The two endings have one 32-bit hash; only the second text repeats a passage."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, "t164454"), (None, "t241681"), (None, passage), (5, passage + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert docs.where("text like 't%'").select(F.hash("text").alias("h")).distinct().count() == 1
+    found = sorted(((r.doc_id, r.n_removed, r.kept) for r in substrings.remove_repeats(docs).collect()), key=str)
+    assert found == sorted([(None, 0, "t164454"), (None, 0, "t241681"), (None, 0, passage), (5, 30, "tail")], key=str)
