@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lyrebird.operators.ranks import later_half
+
 
 def compare_builds(runs: DataFrame, keys: list[str], build: str, base: str, other: str, metric: str) -> DataFrame:
     """Mean of a metric for two builds, for each key that both ran; null keys never match.
@@ -21,11 +23,9 @@ def latest_build(runs: DataFrame, build: str, time: str) -> DataFrame:
     return runs.agg(F.max_by(build, F.struct(time, build)).alias("latest_build"), F.max(time).alias("latest_time"))
 
 
-def profile_shares(events: DataFrame, op: str, duration: str, order: list[Column], least_percent: float = 0.1) -> DataFrame:
-    """Mean duration, calls and share of each op, without the first half of each op's events (the warm-up run)."""
-    by_op = Window.partitionBy(op)
-    ranked = events.select(op, duration, F.row_number().over(by_op.orderBy(*order)).alias("rn"), F.count(F.lit(1)).over(by_op).alias("n"))
-    kept = ranked.where(F.col("rn") > F.floor(F.col("n") / 2))
+def profile_shares(events: DataFrame, op: str, duration: str, order: list[Column], bin_of: Column, least_percent: float = 0.1) -> DataFrame:
+    """Mean duration, calls and share of each op, without the first half of each op's events (the warm-up run); `bin_of` cuts the order into bins."""
+    kept = later_half(events, op, bin_of, order)
     sums = kept.groupBy(op).agg(F.avg(duration).alias("mean_value"), F.count(F.lit(1)).alias("calls"), F.sum(duration).alias("total"))
     share = 100 * F.col("total") / F.sum("total").over(Window.partitionBy())  # over a row an op
     return sums.withColumn("share_percent", share).where(F.col("share_percent") >= least_percent)

@@ -30,6 +30,14 @@ def masked_softmax(scores: DataFrame, keep: Column) -> DataFrame:
     return scores.withColumn("s", seen).withColumn("w", weight).withColumn("v", F.col("w") / F.sum("w").over(by)).select("i", "j", "v")
 
 
+def sequence_weights(rows: DataFrame, scale: float) -> DataFrame:
+    """(i, j, v): causal attention weights of the positions (seq, pos, a) of bounded sequences, each position with those up to it."""
+    before = rows.select("seq", F.col("pos").alias("j"), F.col("a").alias("b"))
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    scores = rows.join(before, "seq").where("j <= pos").select(F.col("pos").alias("i"), "j", (product * scale).alias("v"))
+    return masked_softmax(scores, F.lit(True))
+
+
 def attention(q: DataFrame, k: DataFrame, v: DataFrame, scale: float, keep: Column) -> DataFrame:
     """softmax(scale * q k^T, masked) v, all as entries."""
     scores = matmul(q, transpose(k)).withColumn("v", F.col("v") * scale)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lyrebird.operators.ranks import numbered
+
 
 def ngrams(tokens: DataFrame, key: str, order: str, token: str, least: int, most: int) -> DataFrame:
     """(n, gram, next): each run of n tokens of a sequence and the token after it."""
@@ -14,6 +16,16 @@ def ngrams(tokens: DataFrame, key: str, order: str, token: str, least: int, most
     return wide.select("next", F.explode(grams).alias("g")).where("g.gram is not null").select("g.n", "g.gram", "next")
 
 
+def array_ngrams(rows: DataFrame, tokens: str, least: int, most: int) -> DataFrame:
+    """`ngrams` of sequences that are arrays: built inside the array and exploded once."""
+    t = F.col(tokens)
+
+    def of(n: int) -> Column:
+        return F.transform(F.slice(t, n + 1, F.greatest(F.size(t) - n, F.lit(0))), lambda x, i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i + 1, F.lit(n)), " ").alias("gram"), x.alias("next")))
+
+    return rows.select(F.explode(F.concat(*map(of, range(least, most + 1)))).alias("g")).select("g.n", "g.gram", "g.next")
+
+
 def count_ngrams(grams: DataFrame) -> DataFrame:
     return grams.groupBy("n", "gram", "next").agg(F.count(F.lit(1)).alias("times"))
 
@@ -43,9 +55,18 @@ def common_prefix(a: Column, b: Column) -> Column:
 def best_slot(requests: DataFrame, slots: DataFrame, least: float) -> DataFrame:
     """For requests (req, tokens) the slot (slot, cached) with the longest common prefix, where it covers the share `least` of the request.
 
-    Slots that share no first token can't match, so the join is on it.
+    A slot that matches shares the first `least` of the request's tokens, so slots are listed under their
+    prefixes of 1, 2, 4, ... tokens, and a request looks under the longest such prefix that it needs.
+    Slots with equal tokens are one class, with its two smallest slots; a request never gets its own.
     """
-    joined = requests.withColumn("h", F.col("tokens")[0]).join(slots.withColumn("h", F.col("cached")[0]), "h")
+    grouped = slots.groupBy("cached").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
+    after = slots.join(grouped.where("first < last").select("cached", "first"), "cached").where("slot > first").groupBy("cached").agg(F.min("slot").alias("second"))
+    classes = grouped.join(after, "cached", "left").select("cached", "first", "second")
+    powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.size("cached"))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    listed = classes.where(F.size("cached") > 0).select("*", F.explode(powers).alias("k")).withColumn("h", F.xxhash64("k", F.slice("cached", F.lit(1), F.col("k"))))
+    needed = F.least(F.size("tokens"), F.floor(F.size("tokens") * least).cast("int") + 1)
+    asked = requests.where(F.size("tokens") > 0).withColumn("k", F.pow(F.lit(2), F.floor(F.log2(needed))).cast("int")).withColumn("h", F.xxhash64("k", F.slice("tokens", F.lit(1), F.col("k"))))
+    joined = asked.select("req", "tokens", "h").join(listed.select("cached", "first", "second", "h"), "h").withColumn("slot", F.when(F.col("first") != F.col("req"), F.col("first")).otherwise(F.col("second"))).where("slot is not null")
     scored = joined.withColumn("share", common_prefix(F.col("tokens"), F.col("cached")) / F.size("tokens")).where(F.col("share") > least)
     return scored.groupBy("req").agg(F.max_by("slot", F.struct(F.col("share"), (-F.col("slot")).alias("s"))).alias("slot"), F.max("share").alias("share"))
 
@@ -78,9 +99,9 @@ def divide_positions(cells: DataFrame, seq: int, by: int) -> DataFrame:
     return cells.withColumn("pos", F.when(F.col("seq") == seq, F.floor(F.col("pos") / by)).otherwise(F.col("pos")))
 
 
-def split_simple(tokens: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
-    """Batches of n tokens in order, within each group."""
-    return tokens.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / n))
+def split_simple(tokens: DataFrame, key: str, order: list[str], n: int, bin_of: Column) -> DataFrame:
+    """Batches of n tokens in order, within each group; `bin_of` cuts the order into bins."""
+    return numbered(tokens, [key], bin_of, order).withColumn("batch", F.floor((F.col("rn") - 1) / n)).drop("rn")
 
 
 def split_equal(tokens: DataFrame, key: str, seq: str, order: str, n: int) -> DataFrame:

@@ -59,11 +59,11 @@ def pad_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("conv_id", "n", F.size(F.filter("padded", lambda v: v == 0)).cast("long").alias("zeros"))
 
 
-@query("scatter_back", "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) l ON o_orderkey = l_orderkey WHERE o_orderkey < 2000")
+@query("scatter_back", "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) l ON o_orderkey = l_orderkey")
 def scatter_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results go back to their samples; a sample without one keeps a null."""
     results = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
-    samples = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    samples = table(spark, sf_dir, "orders")
     return samples.join(results, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "l_linenumber")
 
 

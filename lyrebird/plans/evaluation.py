@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lyrebird.operators import evaluation as E
+from lyrebird.operators import ranks
 from lyrebird.plans.catalog import query
 from lyrebird.plans.sampling import LONG, SOFT, logits
 from lyrebird.session import table
@@ -60,8 +61,8 @@ def kl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("percentile_report", "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def percentile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"))
-    return found.select("event_type", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+    found = ranks.quantiles(table(spark, sf_dir, "events"), "event_type", "value", 0.05, [0.05, 0.5, 0.95])
+    return found.groupBy("event_type").agg(*[F.round(F.max(F.when(F.col("share") == p, F.col("quantile"))), 6).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
 
 
 @query("ratio_statistics", "SELECT l_returnflag, round(covar_pop(ln(l_extendedprice), ln(l_quantity)) / (count(*) - 1), 12) AS covariance, round(corr(ln(l_extendedprice), ln(l_quantity)), 6) AS correlation, round(avg(ln(l_extendedprice)) - avg(ln(l_quantity)), 6) AS log_ratio FROM lineitem GROUP BY 1")

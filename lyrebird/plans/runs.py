@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lyrebird.operators import ranks
 from lyrebird.operators import runs as R
 from lyrebird.plans.catalog import query
 from lyrebird.session import table
@@ -17,7 +18,7 @@ from lyrebird.session import table
     SELECT event_type, round(m, 6) AS mean_value, calls, round(total, 4) AS total, round(share, 6) AS share_percent FROM p WHERE share >= 0.1""",
 )
 def profile_op_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = R.profile_shares(table(spark, sf_dir, "events"), "event_type", "value", [F.col("ts"), F.col("event_id")])
+    shares = R.profile_shares(table(spark, sf_dir, "events"), "event_type", "value", [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"))
     return shares.select("event_type", F.round("mean_value", 6).alias("mean_value"), "calls", F.round("total", 4).alias("total"), F.round("share_percent", 6).alias("share_percent"))
 
 
@@ -125,9 +126,7 @@ def accumulated_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("positional_join", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events), p AS (SELECT x.i, x.value AS a, y.value AS b FROM a x JOIN a y USING (i) WHERE x.event_type = 'click' AND y.event_type = 'view') SELECT i, a, b, abs(a - b) > 50 AS differs FROM p")
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files joined line by line: each row's number in its own file is the key."""
-    from pyspark.sql import Window
-
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
-    numbered = events.select("event_type", "value", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long").alias("i"))
+    numbered = ranks.numbered(events, ["event_type"], F.date_trunc("hour", "ts"), ["ts", "event_id"], "i")
     a, b = (numbered.where(F.col("event_type") == t).select("i", F.col("value").alias(n)) for t, n in (("click", "a"), ("view", "b")))
     return a.join(b, "i").withColumn("differs", F.abs(F.col("a") - F.col("b")) > 50)

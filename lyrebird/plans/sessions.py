@@ -18,7 +18,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.ngrams(words(spark, sf_dir), "doc_id", "pos", "word", 1, 2)
+    return K.array_ngrams(table(spark, sf_dir, "documents").select(F.split("text", " ").alias("t")), "t", 1, 2)
 
 
 @query("ngram_counts", f"WITH {GRAMS} SELECT n, gram, nxt AS next, times FROM c")
@@ -41,21 +41,18 @@ def ngram_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next word of each document: by its last two words, else by the last."""
     found = K.drafts(K.count_ngrams(grams(spark, sf_dir)), [1, 1], [0, 0])
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    ends = words(spark, sf_dir).withColumn("b2", F.lag("word").over(order)).groupBy("doc_id").agg(F.max_by(F.struct("word", "b2"), "pos").alias("e"))
-    asked = ends.select("doc_id", F.col("e.word").alias("one"), F.concat(F.col("e.b2"), F.lit(" "), F.col("e.word")).alias("two"))
+    ends = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("t"))
+    asked = ends.where("t is not null").select("doc_id", F.element_at("t", -1).alias("one"), F.concat(F.try_element_at("t", F.lit(-2)), F.lit(" "), F.element_at("t", -1)).alias("two"))
     one, two = (found.where(F.col("n") == n).select(F.col("gram").alias(c), F.col("draft").alias(f"draft_{c}")) for n, c in ((1, "one"), (2, "two")))
     return asked.join(two, "two", "left").join(one, "one", "left").select("doc_id", F.coalesce("draft_two", "draft_one").alias("draft"))
 
 
-@query("lcp_slot_match", "WITH d AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents WHERE doc_id < 300), p AS (SELECT x.doc_id AS req, y.doc_id AS slot, len(x.t) AS n, coalesce((SELECT min(i) FROM range(1, least(len(x.t), len(y.t)) + 1) r(i) WHERE x.t[i] <> y.t[i]) - 1, least(len(x.t), len(y.t))) AS lcp FROM d x JOIN d y ON x.t[1] = y.t[1] AND x.doc_id <> y.doc_id), s AS (SELECT *, lcp / n AS share FROM p WHERE lcp / n > 0.1) SELECT req, arg_max(slot, {'s': share, 'x': -slot}) AS slot, round(max(share), 6) AS share FROM s GROUP BY req")
+@query("lcp_slot_match", "WITH d AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), p AS (SELECT x.doc_id AS req, y.doc_id AS slot, len(x.t) AS n, coalesce((SELECT min(i) FROM range(1, least(len(x.t), len(y.t)) + 1) r(i) WHERE x.t[i] <> y.t[i]) - 1, least(len(x.t), len(y.t))) AS lcp FROM d x JOIN d y ON x.t[1] = y.t[1] AND x.doc_id <> y.doc_id), s AS (SELECT *, lcp / n AS share FROM p WHERE lcp / n > 0.1) SELECT req, arg_max(slot, {'s': share, 'x': -slot}) AS slot, round(max(share), 6) AS share FROM s GROUP BY req")
 def lcp_slot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests against slots that hold other documents; the statement names the first 300 documents as both."""
-    split = table(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", F.split("text", " ").alias("t"))
-    requests, slots = split.select(F.col("doc_id").alias("req"), F.col("t").alias("tokens")), split.select(F.col("doc_id").alias("slot"), F.col("t").alias("cached"))
-    joined = requests.withColumn("h", F.col("tokens")[0]).join(slots.withColumn("h", F.col("cached")[0]), "h").where("req <> slot")
-    scored = joined.withColumn("share", K.common_prefix(F.col("tokens"), F.col("cached")) / F.size("tokens")).where("share > 0.1")
-    return scored.groupBy("req").agg(F.max_by("slot", F.struct(F.col("share"), (-F.col("slot")).alias("s"))).alias("slot"), F.round(F.max("share"), 6).alias("share"))
+    """Each document as a request against slots that hold the others."""
+    split = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("t"))
+    found = K.best_slot(split.select(F.col("doc_id").alias("req"), F.col("t").alias("tokens")), split.select(F.col("doc_id").alias("slot"), F.col("t").alias("cached")), 0.1)
+    return found.select("req", "slot", F.round("share", 6).alias("share"))
 
 
 @query("speculative_accept", "WITH p AS (SELECT l_orderkey AS seq, l_linenumber AS pos, l_quantity::INT % 3 AS draft, l_suppkey % 3 AS sampled FROM lineitem), s AS (SELECT *, min(pos) FILTER (WHERE draft <> sampled) OVER (PARTITION BY seq) AS stop FROM p) SELECT seq, pos, sampled FROM s WHERE stop IS NULL OR pos <= stop")
@@ -64,7 +61,7 @@ def speculative_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.accept_draft(pairs, "seq", "pos", "draft", "sampled").select("seq", "pos", "sampled")
 
 
-CELLS = "c AS (SELECT user_id % 5 AS seq, event_id AS pos FROM events WHERE event_id < 2000)"
+CELLS = "c AS (SELECT user_id % 5 AS seq, event_id AS pos FROM events)"
 
 
 @query(
@@ -73,7 +70,7 @@ CELLS = "c AS (SELECT user_id % 5 AS seq, event_id AS pos FROM events WHERE even
 )
 def kv_seq_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells after a removal, a copy, a shift and a division, with the extremes of each sequence."""
-    cells = table(spark, sf_dir, "events").where("event_id < 2000").select((F.col("user_id") % 5).alias("seq"), F.col("event_id").alias("pos"))
+    cells = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("seq"), F.col("event_id").alias("pos"))
     cells = K.remove_positions(cells, F.lit(1), 100, 500)
     cells = K.copy_sequence(cells, 2, 9)
     cells = K.shift_positions(cells, 3, 0, 1000, -200)
@@ -83,7 +80,7 @@ def kv_seq_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ubatch_split_simple", "SELECT role, conv_id, turn, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, text) - 1) // 16 AS batch FROM conversations")
 def ubatch_split_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.split_simple(table(spark, sf_dir, "conversations"), "role", ["conv_id", "turn", "text"], 16).select("role", "conv_id", "turn", "batch")
+    return K.split_simple(table(spark, sf_dir, "conversations"), "role", ["conv_id", "turn", "text"], 16, F.floor(F.col("conv_id") / 100)).select("role", "conv_id", "turn", "batch")
 
 
 @query("ubatch_split_equal", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS batch FROM conversations")

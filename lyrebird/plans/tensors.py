@@ -78,25 +78,30 @@ def matmul_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.matmul(a, means).select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query("transpose", f"WITH {E} SELECT j::INT AS i, i AS j, round(v, 6) AS v FROM e WHERE i < 100")
+@query("transpose", f"WITH {E} SELECT j::INT AS i, i AS j, round(v, 6) AS v FROM e")
 def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.transpose(X.entries(vectors(spark, sf_dir).where("vec_id < 100"), "vec_id", "a")).select("i", "j", F.round("v", 6).alias("v"))
+    return X.transpose(X.entries(vectors(spark, sf_dir), "vec_id", "a")).select("i", "j", F.round("v", 6).alias("v"))
 
 
-SMALL = f"{E}, s AS (SELECT x.i AS i, y.i AS j, sum(x.v * y.v) / 8 AS s FROM e x JOIN e y ON x.j = y.j WHERE x.i < 24 AND y.i < 24 GROUP BY ALL), m AS (SELECT i, j, s, exp(s - max(s) OVER (PARTITION BY i)) AS w FROM s WHERE j <= i), p AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS v FROM m)"
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("seq"), F.col("vec_id").alias("pos"), "a")
+
+
+SMALL = f"{E}, s AS (SELECT x.i AS i, y.i AS j, sum(x.v * y.v) / 8 AS s FROM e x JOIN e y ON x.j = y.j WHERE x.i // 16 = y.i // 16 GROUP BY ALL), m AS (SELECT i, j, s, exp(s - max(s) OVER (PARTITION BY i)) AS w FROM s WHERE j <= i), p AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS v FROM m)"
 
 
 @query("causal_mask_softmax", f"WITH {SMALL} SELECT i, j, round(v, 6) AS v FROM p")
 def causal_mask_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = X.entries(vectors(spark, sf_dir).where("vec_id < 24"), "vec_id", "a")
-    scores = X.matmul(a, X.transpose(a).select(F.col("i").cast("long").alias("i"), "j", "v")).withColumn("v", F.col("v") / 8)
-    return X.masked_softmax(scores, F.col("j") <= F.col("i")).where("j <= i").select("i", "j", F.round("v", 6).alias("v"))
+    """Attention weights within sequences of 16 positions: vec_id // 16 is the sequence."""
+    return X.sequence_weights(sequences(spark, sf_dir), 1 / 8).select("i", "j", F.round("v", 6).alias("v"))
 
 
 @query("attention_small", f"WITH {SMALL} SELECT p.i, e.j::INT AS j, round(sum(p.v * e.v), 6) AS v FROM p JOIN e ON e.i = p.j GROUP BY p.i, e.j")
 def attention_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = X.entries(vectors(spark, sf_dir).where("vec_id < 24"), "vec_id", "a")
-    return X.attention(a, a.withColumn("j", F.col("j").cast("long")), a, 1 / 8, F.col("j") <= F.col("i")).select("i", "j", F.round("v", 6).alias("v"))
+    rows = sequences(spark, sf_dir)
+    values = rows.select(F.col("pos").alias("j"), F.posexplode("a").alias("d", "x"))
+    mixed = X.sequence_weights(rows, 1 / 8).join(values, "j").groupBy("i", "d").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    return mixed.select("i", F.col("d").alias("j"), F.round("v", 6).alias("v"))
 
 
 @query("get_rows", "SELECT p_partkey AS pos, vec_id, round(embedding[1]::DOUBLE, 6) AS v FROM part JOIN embeddings ON vec_id = p_size")
@@ -132,9 +137,9 @@ def conv_transpose_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.conv_transpose(X.entries(vectors(spark, sf_dir), "vec_id", "a"), [0.5, 1.0, -0.25], 2).select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query("triangle", f"WITH {E} SELECT i, j::INT AS j, round(CASE WHEN j <= i THEN v ELSE 0 END, 6) AS v FROM e WHERE i < 64")
+@query("triangle", f"WITH {E} SELECT i, j::INT AS j, round(CASE WHEN j <= i THEN v ELSE 0 END, 6) AS v FROM e")
 def triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.triangle(X.entries(vectors(spark, sf_dir).where("vec_id < 64"), "vec_id", "a")).select("i", "j", F.round("v", 6).alias("v"))
+    return X.triangle(X.entries(vectors(spark, sf_dir), "vec_id", "a")).select("i", "j", F.round("v", 6).alias("v"))
 
 
 @query("cross_entropy", f"WITH {E}, s AS (SELECT i, j, v - max(v) OVER (PARTITION BY i) AS s FROM e), p AS (SELECT i, j, s - ln(sum(exp(s)) OVER (PARTITION BY i)) AS lp FROM s), l AS (SELECT i, -sum(CASE WHEN j = i % 64 THEN lp ELSE 0 END) AS loss FROM p GROUP BY i) SELECT round(avg(loss), 6) AS loss FROM l")

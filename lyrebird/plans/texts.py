@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lyrebird.functions import text as T
+from lyrebird.operators import ranks
 from lyrebird.plans.catalog import query
 from lyrebird.session import table
 
@@ -71,14 +72,13 @@ def align_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.alignment_prompt(T.tokens(F.col("text"), F.col("lang"))).alias("prompt"))
 
 
-RUNS = """s AS (SELECT doc_id, text || repeat(text[1], 30) || 'end' AS t FROM documents WHERE length(text) < 3000), c AS (SELECT doc_id, unnest(range(1, length(t) + 1)) AS i, t FROM s), d AS (SELECT doc_id, i, substring(t, i, 1) AS ch FROM c),
+RUNS = """s AS (SELECT doc_id, string_split(text || repeat(text[1], 30) || 'end', '') AS t FROM documents), d AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS ch FROM s),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS island FROM d), r AS (SELECT doc_id, ch, min(i) AS i, count(*) AS n FROM g GROUP BY doc_id, ch, island)"""
 
 
 @query("char_run_collapse", f"WITH {RUNS} SELECT doc_id, string_agg(CASE WHEN n > 20 THEN ch ELSE repeat(ch, n::INT) END, '' ORDER BY i) AS text FROM r GROUP BY doc_id")
 def char_run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = docs(spark, sf_dir).where(F.length("text") < 3000)  # the SQL splits texts into characters, so both sides take shorter texts
-    return short.select("doc_id", T.collapse_characters(F.concat("text", F.repeat(F.substring("text", 1, 1), 30), F.lit("end"))).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", T.collapse_characters(F.concat("text", F.repeat(F.substring("text", 1, 1), 30), F.lit("end"))).alias("text"))
 
 
 @query("pattern_run_collapse")
@@ -201,8 +201,8 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("batch_groups", "SELECT source, (rn - 1) // 8 AS batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) GROUP BY ALL")
 def batch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    numbered = docs(spark, sf_dir).select("source", "doc_id", F.floor((rn - 1) / 8).alias("batch"))
+    rn = ranks.numbered(docs(spark, sf_dir).select("source", "doc_id"), ["source"], F.floor(F.col("doc_id") / 1000), ["doc_id"])
+    numbered = rn.select("source", "doc_id", F.floor((F.col("rn") - 1) / 8).alias("batch"))
     return numbered.groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
