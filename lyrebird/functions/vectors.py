@@ -172,3 +172,22 @@ def glu(kind: str, a: Column, b: Column) -> Column:
         x, y = F.least(a, F.lit(7.0)), F.greatest(F.lit(-7.0), F.least(F.lit(7.0), b))
         return x / (1 + F.exp(-1.702 * x)) * (y + 1)
     return UNARY[{"reglu": "relu", "geglu": "gelu", "swiglu": "silu", "geglu_quick": "gelu_quick"}[kind]](a) * b
+
+
+def solve_lower(matrix: Column, b: Column) -> Column:
+    """x of matrix x = b for a lower triangular matrix, an array of rows: forward substitution as a fold."""
+    start = F.array().cast("array<double>")
+    return F.aggregate(F.arrays_zip(matrix.alias("row"), b.alias("b")), start, lambda x, r: F.concat(x, F.array((r["b"] - dot(F.slice(r["row"], F.lit(1), F.size(x)), x)) / F.element_at(r["row"], F.size(x) + 1))))
+
+
+def interleaved(sections: list[Column], lengths: list[int]) -> Column:
+    """Frequencies of several axes in one array: the first axis, with places i, i + n, i + 2n, ... taken from axis i of n, up to its length."""
+    n = len(sections)
+
+    def pick(v: Column, at: Column) -> Column:
+        out = v
+        for axis in range(1, n):
+            out = F.when((at % n == axis) & (at < lengths[axis] * n), F.element_at(sections[axis], at + 1)).otherwise(out)
+        return out
+
+    return F.transform(sections[0], pick)

@@ -91,3 +91,44 @@ def cross_entropy(logits: DataFrame, target: Column) -> DataFrame:
 def block_mask(lengths: DataFrame, n: str = "n") -> DataFrame:
     """(pos, segment) of positions dealt to consecutive segments of these lengths; equal segments see each other."""
     return lengths.select(F.col("segment"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("k"), F.col("start")).select((F.col("start") + F.col("k")).alias("pos"), "segment")
+
+
+def outer(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Entries of a b^T summed over the columns both share: a (i, k, v), b (j, k, w)."""
+    return a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+
+def routed(rows: DataFrame, experts: DataFrame, expert: str) -> DataFrame:
+    """Each row's vector times the matrix of its expert: rows (i, expert, a), experts (expert, j, w) with w an array."""
+    product = F.aggregate(F.zip_with("a", "w", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return rows.join(experts, expert).select("i", "j", product.alias("v"))
+
+
+def conv_2d(a: DataFrame, kernel: list[list[float]], stride: int = 1) -> DataFrame:
+    """Entries of a valid 2-D convolution: each entry goes to the places whose window holds it."""
+    taps = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(w).alias("w")) for p, row in enumerate(kernel) for q, w in enumerate(row)]))
+    ends = a.agg(F.max("i").alias("h"), F.max("j").alias("w_"))  # one row
+    spread = a.select("i", "j", "v", taps.alias("t")).select((F.col("i") - F.col("t.p")).alias("y"), (F.col("j") - F.col("t.q")).alias("x"), (F.col("v") * F.col("t.w")).alias("v"))
+    inside = spread.crossJoin(F.broadcast(ends)).where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") + len(kernel) - 1 <= F.col("h")) & (F.col("x") + len(kernel[0]) - 1 <= F.col("w_")) & (F.col("y") % stride == 0) & (F.col("x") % stride == 0))
+    return inside.groupBy(F.floor(F.col("y") / stride).alias("i"), F.floor(F.col("x") / stride).alias("j")).agg(F.sum("v").alias("v"))
+
+
+def conv_transpose_2d(a: DataFrame, kernel: list[list[float]], stride: int) -> DataFrame:
+    taps = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(w).alias("w")) for p, row in enumerate(kernel) for q, w in enumerate(row)]))
+    spread = a.select("i", "j", "v", taps.alias("t"))
+    return spread.groupBy((F.col("i") * stride + F.col("t.p")).alias("i"), (F.col("j") * stride + F.col("t.q")).alias("j")).agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
+
+
+def window_parts(a: DataFrame, size: int) -> DataFrame:
+    """Entries with the window (wi, wj) they fall in and their place there."""
+    return a.select(F.floor(F.col("i") / size).alias("wi"), F.floor(F.col("j") / size).alias("wj"), F.pmod("i", F.lit(size)).alias("i"), F.pmod("j", F.lit(size)).alias("j"), "v")
+
+
+def window_whole(parts: DataFrame, size: int) -> DataFrame:
+    """Undoes `window_parts`."""
+    return parts.select((F.col("wi") * size + F.col("i")).alias("i"), (F.col("wj") * size + F.col("j")).alias("j"), "v")
+
+
+def with_relative_positions(scores: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """Scores (i, j, v) plus the entry of the table (d, w) for the distance i - j + n - 1."""
+    return scores.withColumn("d", F.col("i") - F.col("j") + n - 1).join(table, "d").select("i", "j", (F.col("v") + F.col("w")).alias("v"))
