@@ -165,3 +165,25 @@ def probabilities(rows: DataFrame, n: int) -> DataFrame:
     """The n most probable candidates of each step with rank, p and log p."""
     order = _step().orderBy(F.desc("p"), TOK)
     return softmax(rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).withColumn("logprob", F.log("p"))
+
+
+def suffix_matches(context: Column, breakers: list, least: int) -> Column:
+    """(token, n) where a token once followed n tokens that the context now ends with; n counts to the last breaker at most, and is `least` or more."""
+    back = F.reverse(context)
+    breaker = F.array_position(F.transform(back, lambda t: t.isin(breakers) if breakers else F.lit(False)), True)
+    limit = F.when(breaker > 0, breaker - 1).otherwise(F.size(context)).cast("int")
+
+    def at(j: Column) -> Column:
+        same = F.zip_with(F.slice(back, j + 2, F.size(back)), back, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        first = F.array_position(same, False)
+        run = F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+        return F.struct(F.element_at(back, j + 1).alias("token"), F.least(run, limit).alias("n"))
+
+    places = F.when(F.size(context) > 1, F.sequence(F.lit(0), F.size(context) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(places, at), lambda m: m["n"] >= least)
+
+
+def suffix_penalties(rows: DataFrame, key: list[str], context: str, breakers: list, multiplier: float, base: float, least: int, most_power: int = 100) -> DataFrame:
+    """(key, token, penalty): what is taken off the logit of tokens that would go on with a repeat of the sequence's end, growing with its length up to base ** most_power."""
+    found = rows.select(*key, F.explode(suffix_matches(F.col(context), breakers, least)).alias("m")).groupBy(*key, F.col("m.token").alias("token")).agg(F.max("m.n").alias("n"))
+    return found.select(*key, "token", (F.lit(multiplier) * F.pow(F.lit(base), F.least(F.col("n") - least, F.lit(most_power)))).alias("penalty"))

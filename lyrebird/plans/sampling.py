@@ -123,3 +123,15 @@ def timestamp_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of the first slots, at 80 ms a slot."""
     first = F.slice("embedding", 1, 40)
     return table(spark, sf_dir, "embeddings").select("vec_id", ((F.array_position(first, F.array_max(first)) - 1) * 80).cast("int").alias("ms"))
+
+
+SUFFIX = "t AS (SELECT conv_id, turn, list_concat(string_split(text, ' '), string_split(text, ' ')[1:3]) AS w FROM conversations WHERE text <> ''), b AS (SELECT *, list_reverse(w) AS r, coalesce(list_position(list_transform(list_reverse(w), lambda x: x IN ('the', 'and')), true) - 1, len(w)) AS most FROM t), p AS (SELECT conv_id, turn, r, most, unnest(range(2, len(r) + 1)) AS j FROM b), m AS (SELECT conv_id, turn, r[j - 1] AS token, least(most, coalesce(list_position(list_transform(range(1, (len(r) - j + 2)::BIGINT), lambda k: r[j + k - 1] = r[k]), false) - 1, len(r) - j + 1)) AS n FROM p)"
+
+
+@query("suffix_penalty", f"WITH {SUFFIX} SELECT conv_id, turn, token, round(0.8 * pow(1.75, least(max(n) - 2, 20)), 4) AS penalty FROM m WHERE n >= 2 GROUP BY ALL")
+def suffix_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn, which begins again, as the context; two words break sequences."""
+    words = F.split("text", " ")
+    turns = table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.concat(words, F.slice(words, 1, 3)).alias("w"))
+    found = S.suffix_penalties(turns, ["conv_id", "turn"], "w", ["the", "and"], 0.8, 1.75, 2, 20)
+    return found.select("conv_id", "turn", "token", F.round("penalty", 4).alias("penalty"))

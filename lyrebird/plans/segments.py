@@ -62,6 +62,12 @@ def cue_segments_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues.select("conv_id", "turn", "cue", "c.start", "c.end", "c.text", G.srt(F.col("c"), F.col("cue") + 1).alias("srt"))
 
 
+@query("subtitle_files")
+def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a turn; the tests hold the operator to literal files."""
+    return G.subtitle_file(items(spark, sf_dir), ["conv_id", "turn"], "items")
+
+
 @query("lis_repair")
 def lis_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamps = F.transform("items", lambda x, i: (x["start_time"] * 1000).cast("long") + F.when(i % 7 == 3, 5000).otherwise(0))

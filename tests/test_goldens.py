@@ -199,3 +199,24 @@ def test_custom_functions(spark):
     assert tuple(row)[:3] == (2.0, 2.0, 6.0) and row[3] == pytest.approx(0.8413447)
     with pytest.raises(ValueError, match="one to three"):
         map_custom(lambda: 0)
+
+
+def test_subtitle_file(spark):
+    items = [("一共", 0.0, 0.5), ("三百二十个，", 0.5, 1.5), ("百分之五。", 1.6, 2.0)]
+    rows = spark.createDataFrame([(1, items)], "id long, items array<struct<text:string,start_time:double,end_time:double>>")
+    body = segments.subtitle_file(rows, ["id"], "items").first().body
+    assert body == "1\n00:00:00,000 --> 00:00:01,500\n一共320个\n\n2\n00:00:01,600 --> 00:00:02,000\n5%\n\n"
+
+
+def test_suffix_penalties(spark):
+    from lyrebird.operators import sampling
+
+    def penalties(context, breakers=(), least=2):
+        rows = spark.createDataFrame([(1, list(context))], "id long, w array<int>")
+        return {r.token: round(r.penalty, 6) for r in sampling.suffix_penalties(rows, ["id"], "w", list(breakers), 1.0, 2.0, least).collect()}
+
+    assert penalties([0, 1, 2, 0, 1]) == {2: 1.0}
+    assert penalties([0, 1, 2, 3, 4, 1]) == {}
+    assert penalties([7, 0, 1, 2, 0, 1, 2]) == {0: 2.0}
+    assert penalties([0, 1, 2, 0, 1], breakers=[0]) == {} and penalties([0, 1, 2, 0, 1], breakers=[0], least=1) == {2: 1.0}
+    assert penalties([5]) == {} and penalties([]) == {}
