@@ -95,8 +95,10 @@ def probed(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarray:
     return codes
 
 
-def ranks(x: np.ndarray, y: np.ndarray, hashes: int, tables: int) -> np.ndarray:
-    """How many buckets lie nearer to x than the bucket of y, row by row, in the table where they are fewest."""
+def ranks(x: np.ndarray, y: np.ndarray, hashes: int, tables: int, query: np.ndarray | None = None) -> np.ndarray:
+    """How many buckets lie nearer to x than the bucket of y, row by row, in the table where they are fewest; rows of one `query` have one x."""
+    query = np.arange(len(x)) if query is None else query
+    order = np.argsort(query, kind="stable")
     least = np.full(len(x), np.iinfo(np.int64).max)
     for table in range(tables):
         sums, own = [], np.zeros(len(x))
@@ -106,19 +108,25 @@ def ranks(x: np.ndarray, y: np.ndarray, hashes: int, tables: int) -> np.ndarray:
             axis = np.abs(other).argmax(axis=1)
             own += signed[np.arange(len(x)), 2 * axis + (other[np.arange(len(x)), axis] < 0)]
             sums.append(signed)
-        for i in range(len(x)):
-            two = np.sort((sums[0][i][:, None] + (sums[1][i] if hashes > 1 else np.zeros(1))[None, :]).ravel())
-            last = sums[2][i] if hashes > 2 else np.zeros(1)
+        before = None
+        for i in order.tolist():
+            if query[i] != before:
+                before = query[i]
+                two = np.sort((sums[0][i][:, None] + (sums[1][i] if hashes > 1 else np.zeros(1))[None, :]).ravel())
+                last = sums[2][i] if hashes > 2 else np.zeros(1)
             least[i] = min(least[i], (len(two) - np.searchsorted(two, own[i] - last + SLACK)).sum())
     return least
 
 
-def cheapest(x: np.ndarray, y: np.ndarray, n: int) -> tuple[int, int, int]:
-    """(hashes, tables, probes) that find TARGET of the neighbours y of x, for n rows, at least cost."""
+def cheapest(x: np.ndarray, y: np.ndarray, query: np.ndarray, n: int) -> tuple[int, int, int]:
+    """(hashes, tables, probes) that find TARGET of the neighbours y of x, of one x a query, for n rows, at least cost."""
     best = None
     for hashes, tables in TABLES.items():
-        probes = int(np.quantile(ranks(x, y, hashes, tables), TARGET, method="higher")) + 1
-        share = probes / (2 * x.shape[1]) ** hashes
+        buckets_all = (2 * x.shape[1]) ** hashes
+        if best is not None and tables * (n / buckets_all + SENDING) >= best[0]:
+            continue  # dearer with a single probe
+        probes = int(np.quantile(ranks(x, y, hashes, tables, query), TARGET, method="higher")) + 1
+        share = probes / buckets_all
         cost = tables * (share * n + probes * SENDING)
         if best is None or cost < best[0]:
             best = cost, hashes, tables, probes
@@ -286,7 +294,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int | None
         at, y = true_neighbours(clean, sample.column("vec_id").to_numpy(), x, k, d)
         if not len(at):
             return none
-        hashes, tables, probes = cheapest(unit_vectors(x[at], width, None), unit_vectors(y, width, largest if uneven else None), facts.n)
+        hashes, tables, probes = cheapest(unit_vectors(x[at], width, None), unit_vectors(y, width, largest if uneven else None), at, facts.n)
 
     def place(of_queries: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

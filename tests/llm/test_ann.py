@@ -103,6 +103,7 @@ def test_ranks_count_the_nearer_buckets():
     x, y = ann.unit_vectors(rng.normal(size=(30, 8)), 8, None), ann.unit_vectors(rng.normal(size=(30, 8)), 8, None)
     for hashes in (1, 2, 3):
         rank = ann.ranks(x, y, hashes, 2)
+        assert (ann.ranks(np.repeat(x, 2, axis=0), np.repeat(y, 2, axis=0), hashes, 2, np.repeat(np.arange(30), 2)) == np.repeat(rank, 2)).all()
         for i in range(30):
             found = [ann.buckets(y[i : i + 1], t, hashes)[0] in ann.probed(x[i : i + 1], t, hashes, int(rank[i]) + 1)[0] for t in range(2)]
             assert any(found)
