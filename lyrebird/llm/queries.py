@@ -16,4 +16,4 @@ QUERIES = {
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
-SQL = {"op3_mix_sources": mixing.OP3_SQL, "op6_url_filter": urls.OP6_SQL}
+SQL = {"op3_mix_sources": mixing.OP3_SQL, "op6_url_filter": urls.OP6_SQL, "op8_chat_format": chat.OP8_SQL, "op10_substring_dedup": substrings.OP10_SQL}

@@ -316,3 +316,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+#: For tables whose doc_ids are all different.
+OP10_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), words AS (
+  SELECT doc_id, unnest(range(0, len(words))) AS place, unnest(words) AS word FROM texts
+), windows AS (
+  SELECT *, CASE WHEN count(*) OVER w = 20 THEN string_agg(word, ' ') OVER w END AS twenty FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), judged AS (
+  SELECT *, twenty IS NOT NULL AND row_number() OVER (PARTITION BY twenty ORDER BY doc_id NULLS FIRST, place) > 1 AS again FROM windows
+), covered AS (
+  SELECT *, max(again::INT) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM judged
+), counted AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS gone, string_agg(word, ' ' ORDER BY place) FILTER (WHERE NOT gone) AS kept FROM covered GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts t LEFT JOIN counted c ON t.doc_id IS NOT DISTINCT FROM c.doc_id
+"""
