@@ -46,9 +46,11 @@ def named_back(df: DataFrame, names: dict[str, str], *outputs: str) -> DataFrame
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the setting is absent."""
+    """The folder in spark.checkpoint.dir; where it is absent, one of our own in local mode only, as executors elsewhere wouldn't see it."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="lyrebird-")
     if not context.getCheckpointDir():

@@ -3,12 +3,12 @@
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 import pytest
 
 from lyrebird.llm import mixing, outliers
-from tests.llm.test_simhash import brute_components, brute_fingerprint
 from tests.llm.test_substrings import brute as brute_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,12 +67,32 @@ def test_quality(spark, folder, stages):
     assert {d for d, t, *_ in before if t and "%%%" not in t and len(t.split()) >= 50} == {r[0] for r in after}
 
 
+def brute_similar(texts):
+    """The smallest place of each text's component, texts being linked where their sets of 5-word shingles have a Jaccard similarity of 0.8."""
+    sets = []
+    for t in texts:
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(sets)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            low, high = sorted((find(i), find(j)))
+            root[high] = low
+    return [find(i) for i in range(len(sets))]
+
+
 def test_near_duplicates(stages):
+    """Five words and a similarity of 0.8, as the stage is to link them."""
     before, after = stages[1]
-    prints = {i: brute_fingerprint(r[1]) for i, r in enumerate(before)}
-    roots, best = brute_components(prints), {}
-    for i, row in enumerate(before):
-        root = roots[prints[i]]
+    best = {}
+    for root, row in zip(brute_similar([r[1] for r in before]), before, strict=True):
         best[root] = min(best.get(root, row[0]), row[0])
     assert sorted(r[0] for r in after) == sorted(best.values()) and len(after) < len(before)
     assert set(after) <= set(before)
@@ -111,3 +131,20 @@ def test_encoding_and_run(spark, folder, stages):
     assert Counter(hashlib.sha256(r[1].encode()).hexdigest() for r in before) == Counter(r[3] for r in after)
     assert order(map(tuple, corpus_pipeline.run(spark, folder).collect())) == order(after)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_table_and_extra_columns(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    extra = docs.selectExpr("*", "text AS kept", "n_chars AS size", "lang AS grp", "source AS `a.b`")
+    extra.write.parquet(f"{tmp_path}/wide/documents.parquet")
+    assert order(map(tuple, corpus_pipeline.run(spark, f"{tmp_path}/wide").collect())) == order(map(tuple, corpus_pipeline.run(spark, folder).collect()))
+
+
+def test_nulls_everywhere(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(70))
+    rows = [(None, None, None, None, None), (None, long, None, None, None), (None, long, None, None, None), (1, "", "en", "a", 0), (2, long + " more", None, "a", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert kept <= {None, 2} and kept
