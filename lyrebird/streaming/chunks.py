@@ -51,6 +51,8 @@ def windowed(events: DataFrame, late: str = "10 minutes", width: str = "40 secon
 def run_to_end(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """The chunks of the event table, streamed to the end of what is there now; sink and progress live in the shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         import tempfile
 
