@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import wave as wav
 from math import gcd
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATE, WINDOW, HOP, MELS = 16000, 400, 160, 128
@@ -132,3 +134,51 @@ def log_mel(wave: Column) -> Column:
         return waves.map(lambda w: list(log_mel_of(w)), na_action="ignore")
 
     return run(wave)
+
+
+def wav_file(wave: Column, rate: int) -> Column:
+    """The bytes of a 16-bit PCM file of one channel."""
+
+    @F.pandas_udf("binary")
+    def run(waves: pd.Series) -> pd.Series:
+        def one(own) -> bytes:
+            out = io.BytesIO()
+            with wav.open(out, "wb") as sound:
+                sound.setnchannels(1)
+                sound.setsampwidth(2)
+                sound.setframerate(rate)
+                sound.writeframes(np.rint(np.clip(np.asarray(own, dtype=np.float64), -1, 1) * 32767).astype("<i2").tobytes())
+            return out.getvalue()
+
+        return waves.map(one, na_action="ignore")
+
+    return run(wave)
+
+
+def clip(content: Column, start: float = 0.0, duration: float | None = None) -> Column:
+    """(sr, wave) of a PCM file's bytes from a second on, for so many seconds or to the end: the reader seeks, and only what is asked for becomes samples; channels are averaged."""
+
+    @F.pandas_udf("struct<sr:int,wave:array<double>>")
+    def run(files: pd.Series) -> pd.DataFrame:
+        rows = []
+        for own in files:
+            if own is None:
+                rows.append((None, None))
+                continue
+            with wav.open(io.BytesIO(own)) as sound:
+                rate, width, channels, n = sound.getframerate(), sound.getsampwidth(), sound.getnchannels(), sound.getnframes()
+                first = min(n, int(start * rate))
+                sound.setpos(first)
+                data = np.frombuffer(sound.readframes(n - first if duration is None else min(n - first, int(duration * rate))), dtype={1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
+                data = (data - 128) / 128 if width == 1 else data / (1 << (8 * width - 1))
+                rows.append((rate, data.reshape(-1, channels).mean(axis=1)))
+        return pd.DataFrame(rows, columns=["sr", "wave"])
+
+    return run(content)
+
+
+def normalised(rows: DataFrame, channels: str, rate: str, out: str = "wav", target: int = RATE) -> DataFrame:
+    """rows with what a model takes: one channel, at its rate, within [-1, 1]."""
+    mono = rows.withColumn("_mono", to_mono(F.col(channels)))
+    at_rate = mono.withColumn("_at", F.when(F.col(rate) == target, F.col("_mono")).otherwise(resample(F.col("_mono"), F.col(rate), target)))
+    return at_rate.withColumn(out, into_range(F.col("_at"))).drop("_mono", "_at")

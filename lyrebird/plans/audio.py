@@ -81,6 +81,24 @@ def largest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.max("gap").alias("gap"))
 
 
+@query("audio_sources", "SELECT vec_id, (i - 17)::INT AS i, round(round(embedding[i]::DOUBLE * 32767) / 32768, 6) AS v FROM (SELECT *, unnest(range(17, 49)) AS i FROM embeddings)")
+def audio_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as PCM files in data URLs, read from the 16th sample on for 32 samples."""
+    from lyrebird.sources.files import load_audio
+
+    refs = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.concat(F.lit("data:audio/wav;base64,"), F.base64(A.wav_file(F.col("a"), 16000))).alias("ref"))
+    read = load_audio(refs, None, 16 / 16000, 32 / 16000)
+    return read.select(F.col("id").alias("vec_id"), F.posexplode("wav").alias("i", "v")).select("vec_id", "i", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("audio_normalised", long_sql("list_transform(list_transform(a, lambda x, i: (x * 4 + a[65 - i] * 4) / 2), lambda x: x / greatest(1, list_max(list_transform(list_transform(a, lambda y, k: (y * 4 + a[65 - k] * 4) / 2), lambda z: abs(z)))))"))
+def audio_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels to one, the rate that is asked for, within range."""
+    loud = F.transform("a", lambda v: v * 4)
+    rows = vectors(spark, sf_dir).withColumns({"channels": F.array(loud, F.reverse(loud)), "sr": F.lit(16000)})
+    return long(A.normalised(rows, "channels", "sr"), F.col("wav"))
+
+
 def sine(spark: SparkSession) -> DataFrame:
     """Four tones of a second at 8 kHz."""
     wave = F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: F.sin(i * (F.col("id") + 1) * 2 * 3.141592653589793 * 110 / 8000))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lyrebird.functions import audio, text
+
 WAV = "path string, sr int, wav array<float>"
 TENSORS = "path string, name string, type int, shape array<long>, data_offset long"
 FIELDS = "path string, key string, type int, value string"
@@ -45,6 +47,24 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path, "*.wav").mapInPandas(run, WAV)
 
 
+def load_audio(refs: DataFrame, files: DataFrame | None = None, start: float = 0.0, duration: float | None = None, rate: int = audio.RATE) -> DataFrame:
+    """(id, wav) at `rate` of references (id, ref): data URLs and base64 by their payload, other text by its path among `files` (path, content).
+
+    A URL of the web is refused, as is a path that isn't there. Null references give null.
+    """
+    inline = text.is_probably_base64(F.col("ref"))
+    refused = F.raise_error(F.concat(F.lit("audio over the network isn't read: "), F.col("ref"))).cast("binary")
+    own = refs.withColumn("_own", F.when(text.is_url(F.col("ref")), refused).when(inline, F.unbase64(text.base64_payload(F.col("ref")))))
+    if files is not None:
+        named = files.select(F.regexp_replace("path", "^file:/*", "/").alias("_path"), F.col("content").alias("_content"))
+        own = own.join(named, F.when(~inline, F.col("ref")) == F.col("_path"), "left").withColumn("_own", F.coalesce("_own", "_content"))
+    there = F.when(F.col("ref").isNull(), F.lit(None).cast("binary")).otherwise(F.coalesce("_own", F.raise_error(F.concat(F.lit("no such audio: "), F.col("ref"))).cast("binary")))
+    read = own.select("id", audio.clip(there, start, duration).alias("c"))
+    wave_ = F.when(F.col("c.sr") == rate, F.col("c.wave")).otherwise(audio.resample(F.coalesce("c.wave", F.array().cast("array<double>")), F.coalesce("c.sr", F.lit(rate)), rate))
+    at_rate = read.select("id", F.when(F.col("c.wave").isNotNull(), wave_).alias("_at"))
+    return at_rate.select("id", audio.into_range(F.col("_at")).alias("wav"))
+
+
 # The layout of the model container: magic, and the codes and formats of its scalar types.
 MAGIC = b"GGUF"
 SCALARS = {0: "<B", 1: "<b", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 7: "<?", 10: "<Q", 11: "<q", 12: "<d"}

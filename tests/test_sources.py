@@ -1,3 +1,4 @@
+import base64
 import json
 import struct
 import wave
@@ -60,3 +61,23 @@ def test_stream_equals_batch(spark, tmp_path):
         own = [float(i) for i in range(200) if i % 7 == session]
         expected += [(session, k, 5, sum(own[5 * k : 5 * k + 5])) for k in range(len(own) // 5)]
     assert found == sorted(expected)
+
+
+def test_load_audio_by_path_payload_and_seek(spark, tmp_path):
+    import wave
+
+    from pyspark.errors import PySparkException
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as sound:
+        sound.setnchannels(2)
+        sound.setsampwidth(2)
+        sound.setframerate(8)
+        sound.writeframes(struct.pack("<16h", *[v for i in range(8) for v in (i * 1000, i * 3000)]))
+    content = (tmp_path / "a.wav").read_bytes()
+    refs = spark.createDataFrame([(1, str(tmp_path / "a.wav")), (2, "data:audio/wav;base64," + base64.b64encode(content).decode()), (3, None)], "id int, ref string")
+    found = {r.id: r.wav for r in files.load_audio(refs, files._binary(spark, str(tmp_path), "*.wav"), 0.25, 0.5, 8).collect()}
+    expected = [i * 2000 / 32768 for i in range(2, 6)]
+    assert found == {1: expected, 2: expected, 3: None}
+    for bad in ("https://host/a.wav", str(tmp_path / "none.wav")):
+        with pytest.raises(PySparkException):
+            files.load_audio(spark.createDataFrame([(1, bad)], "id int, ref string"), files._binary(spark, str(tmp_path), "*.wav"), rate=8).collect()
