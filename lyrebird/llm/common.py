@@ -71,13 +71,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches put together to tables of some MB."""
+def together(batches: Iterator[pa.RecordBatch], most: int = GATHERED) -> Iterator[pa.Table]:
+    """Batches put together to tables of about `most` bytes."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= GATHERED:
+        if size >= most:
             yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
