@@ -17,8 +17,8 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
 
 
-def grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.array_ngrams(table(spark, sf_dir, "documents").select(F.split("text", " ").alias("t")), "t", 1, 2)
+def grams(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    return K.array_ngrams(table(spark, sf_dir, "documents").where(which).select(F.split("text", " ").alias("t")), "t", 1, 2)
 
 
 @query("ngram_counts", f"WITH {GRAMS} SELECT n, gram, nxt AS next, times FROM c")
@@ -26,10 +26,10 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.count_ngrams(grams(spark, sf_dir))
 
 
-@query("ngram_merge", f"WITH {GRAMS} SELECT n, gram, nxt AS next, 2 * times AS times FROM c")
+@query("ngram_merge", f"WITH {GRAMS} SELECT n, gram, nxt AS next, times FROM c")
 def ngram_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = K.count_ngrams(grams(spark, sf_dir))
-    return K.merge_counts(counts, counts)
+    """The caches of two halves of the documents make that of all."""
+    return K.merge_counts(*[K.count_ngrams(grams(spark, sf_dir, f"coalesce(doc_id % 2, 0) = {half}")) for half in (0, 1)])
 
 
 @query("ngram_draft", f"WITH {GRAMS}, b AS (SELECT n, gram, arg_max(nxt, {{'t': times, 'x': nxt}}) AS draft, max(times) AS top, sum(times) AS total FROM c GROUP BY n, gram) SELECT n, gram, draft FROM b WHERE total >= 2 AND 100 * top >= CASE n WHEN 1 THEN 66 ELSE 50 END * total")

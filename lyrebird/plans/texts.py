@@ -60,11 +60,10 @@ def tokenize_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
-@query("tokenize_cjk_mixed", f"SELECT turn, count(*) AS n, sum(len(regexp_extract_all(text || '中文 mixed字', '[{CJK}]|[{K}'']+')) - 1)::BIGINT AS tokens FROM conversations GROUP BY turn")
+@query("tokenize_cjk_mixed", f"SELECT conv_id, turn, array_to_string(regexp_extract_all(regexp_replace(text || '中文 mixed字', '([{CJK}])', ' \\1 ', 'g'), '[{CJK}]|[{K}'']+'), '|') AS tokens FROM conversations")
 def tokenize_cjk_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL's plain class takes "mixed字" as one run, the operator as two
     mixed = T.mixed_tokens(F.concat("text", F.lit("中文 mixed字")))
-    return table(spark, sf_dir, "conversations").groupBy("turn").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(mixed) - 2).cast("long").alias("tokens"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(mixed, "|").alias("tokens"))
 
 
 @query("align_prompt", f"SELECT doc_id, array_to_string({GENERAL}, '<timestamp><timestamp>') || '<timestamp><timestamp>' AS prompt FROM documents")
