@@ -64,13 +64,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/lyrebird-{uuid.uuid4().hex}"
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df written once as Parquet in the shared folder, or in `folder`, and read again.
+
+    Unlike a checkpoint, which keeps the size estimated from its plan, the table read has the size of its
+    files. In loops, estimates multiply from step to step until planning alone takes minutes.
+    """
+    path = f"{folder or shared_folder(df.sparkSession)}/lyrebird-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of steps that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def together(batches: Iterator[pa.RecordBatch], most: int = GATHERED) -> Iterator[pa.Table]:
     """Batches put together to tables of about `most` bytes."""
     held, size = [], 0
@@ -140,24 +150,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps. Each step sends a row per edge at most, the
     minimum of a node's neighbours is pre-aggregated before the shuffle, and the step's result is
-    checkpointed. Null ends are ignored, loops and repeats are harmless; no edges give no rows.
+    written. Null ends are ignored, loops and repeats are harmless; no edges give no rows.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    edges = cut(edges)
+    spark = edges.sparkSession
+    steps = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    edges = written(edges, steps)
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
         # large star: of each node, the larger neighbours go to the smallest of node and neighbours
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), steps)
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        large = cut(large)
+        large = written(large, steps)
         # small star: of each node, the smaller neighbours and the node itself go to the smallest
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
+        least = written(down.groupBy("u").agg(F.min("v").alias("m")), steps)
         moved = down.join(least, "u")
         small = moved.select(F.col("m").alias("a"), F.col("v").alias("b")).union(moved.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        small = cut(small.where("a < b").distinct())
+        small = written(small.where("a < b").distinct(), steps)
         # stars only: each larger end has one smaller end, and no smaller end is a larger one
         same = small.count() == edges.count() and small.join(edges, ["a", "b"], "left_anti").isEmpty()
         edges = small
@@ -166,4 +178,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components: not stable after {rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return roots.union(edges.select(F.col("b").alias("node"), F.col("a").alias("component")))
+    found = written(roots.union(edges.select(F.col("b").alias("node"), F.col("a").alias("component"))))
+    dropped(spark, steps)
+    return found

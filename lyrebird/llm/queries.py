@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lyrebird.llm import ann, bpe, chat, importance, infill, lm, mixing, outliers, simhash, substrings, token_cache, urls
+from lyrebird.llm import ann, bpe, chat, importance, infill, jaccard, lm, mixing, outliers, simhash, substrings, token_cache, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
     "op12_importance_resampling": importance.op12_importance_resampling,
+    "op13_jaccard_join": jaccard.op13_jaccard_join,
 }
 SQL = {"op3_mix_sources": mixing.OP3_SQL, "op6_url_filter": urls.OP6_SQL, "op8_chat_format": chat.OP8_SQL, "op10_substring_dedup": substrings.OP10_SQL, "op11_fill_in_middle": infill.OP11_SQL}
