@@ -19,9 +19,9 @@ most, each linked to the smallest. Nothing is dropped.
 With a similarity given, texts are linked by the exact Jaccard similarity of their sets of word
 shingles instead: texts that share 80% of their shingles mostly differ in 3 to 11 fingerprint bits and
 often in more, too far for blocks of bits. Candidates share one of BANDS bands of ROWS MinHash values
-(a pair at 0.8 is missed once in 20 million); lengths and one bit of each MinHash value discard most
-of the others, and whatever is left is verified on the shingles. Each band's members meet four of
-them first. Pairs inside one component tell nothing more; all others are compared, none is capped.
+(a pair at 0.8 is missed once in 20 million); lengths, parities and one bit of each MinHash value discard
+most of the others, and whatever is left is verified on the shingles. Pairs inside one component tell
+nothing more; all others are compared as `similar.linked` says, none is capped.
 
 Null and empty texts have fingerprint zero and are linked like any other. A component's id is its
 smallest doc_id that isn't null. Very long texts are hashed whole, in one row. Rows are kept one for
@@ -41,8 +41,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import apart, components, cut, named_back, read, small_batches
-from lyrebird.llm.substrings import BASE_1, _Hashes, mixed, rolled
+from lyrebird.llm.common import apart, components, cut, named_back, read, small_batches, written
+from lyrebird.llm.similar import linked, node_of, sets_of, shingles, signature, similar_parity, similar_sizes
+from lyrebird.llm.substrings import BASE_1, _Hashes, mixed
 
 SHINGLE = 3
 SEED = 42
@@ -52,6 +53,7 @@ CELL = 16
 #: MinHash values of a text: BANDS times ROWS, which finds any similarity from LEAST_SIMILARITY on.
 BANDS, ROWS = 32, 4
 LEAST_SIMILARITY = 0.75
+SKETCH = ("s0", "s1", "s2", "s3", "m0", "m1")
 
 
 def signed(bits: int) -> int:
@@ -130,18 +132,6 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def text_key(text: bytes) -> int:
-    """One number for all texts with the same lower-case words, zero for none."""
-    words = text.lower().split()
-    return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
-
-
-def shingles(text: bytes, width: int, hashes: _Hashes) -> np.ndarray:
-    """The distinct hashes of a text's shingles; of fewer words than `width`, of all of them."""
-    words = hashes.of(text.lower())
-    return np.unique(mixed(rolled(words, min(width, len(words)), BASE_1))) if len(words) else words
-
-
 def minhashes(found: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(found), 512):
@@ -150,88 +140,55 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp (the text's key), n (its shingles), keys of its bands, and s0 and s1, one bit of each MinHash value."""
+    """doc_id, fp (the number of the text's set), n (its shingles), keys of its bands, s0 to s3 (the set's signature), and m0 and m1, one bit of each MinHash value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            sets = [shingles(t, width, hashes) for t in texts]
+            sets = [shingles(t or b"", width, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             least = np.array([minhashes(s) for s in sets], dtype=np.uint64).reshape(len(sets), BANDS, ROWS)
             code = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sets), 1))
             for row in range(ROWS):
                 code = mixed(code * BASE_1 + least[:, :, row])
             bits = np.packbits((mixed(least.reshape(len(sets), -1)) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
             keys = [c if len(s) else c[:0] for c, s in zip(code.view(np.int64), sets, strict=True)]
-            fp = np.array([text_key(t) for t in texts], dtype=np.uint64).view(np.int64)
-            columns = [pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "n", "bands", "s0", "s1"])
+            parity = np.array([signature(s) for s in sets], dtype=np.int64).reshape(-1, 4)
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, parity.T), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "n", "bands", *SKETCH])
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, n long, bands array<long>, s0 long, s1 long")
+    return rows.mapInArrow(run, "doc_id long, fp long, n long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def _key_column(text: Column) -> Column:
+def _key_column(text: Column, width: int) -> Column:
     @F.pandas_udf("long")
     def key_of(text: pd.Series) -> pd.Series:
-        return pd.Series([signed(text_key((t or "").encode())) for t in text], dtype="int64")
-
-    return key_of(text.cast("string"))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text keys whose sets of shingles are similar."""
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-    texts = small_batches(docs).select(_key_column(F.col("text")).alias("fp"), F.col("text").cast("string").alias("text")).join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
-            sets = [shingles(t, width, hashes).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+        return pd.Series([node_of(shingles((t or "").encode(), width, hashes)) for t in text], dtype="int64")
 
-    sets = cut(texts.mapInArrow(run, "fp long, shingles array<long>"))
-    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    share = both / (F.size("set_a") + F.size("set_b") - both)
-    return pairs.join(left, "a").join(right, "b").where(share >= similarity).select("a", "b")
+    return key_of(text.cast("string"))
 
 
 def similar_components(distinct: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, component) of the text keys that are linked by similarity; distinct: fp, n, bands, s0, s1 of each."""
-    p = (1 - similarity) / 2
+    """(node, component) of the sets that are linked by similarity; distinct: fp, n, bands and the sketch of each."""
+    p, percent = (1 - similarity) / 2, round(100 * similarity, 6)
     most_bits = int(np.ceil(BANDS * ROWS * p + 6 * np.sqrt(BANDS * ROWS * p * (1 - p))))
 
-    def may_be(x: str, y: str) -> Column:
-        lengths = F.least(f"{x}.n", f"{y}.n") / F.greatest(f"{x}.n", f"{y}.n")
-        return (lengths >= similarity) & (distance(F.col(f"{x}.s0"), F.col(f"{y}.s0")) + distance(F.col(f"{x}.s1"), F.col(f"{y}.s1")) <= most_bits)
-
-    def ordered(rows: DataFrame) -> DataFrame:
-        return cut(rows.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct())
-
-    members = distinct.select(F.explode("bands").alias("key"), F.struct("fp", "n", "s0", "s1").alias("x"))
-    shared = cut(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "key"))
-    mix = F.xxhash64("x.fp")
-    heads = shared.groupBy("key").agg(F.array_distinct(F.array(F.min("x"), F.max("x"), F.min_by("x", mix), F.max_by("x", mix))).alias("heads"))
-    stars = ordered(shared.join(heads, "key").select("x", F.explode("heads").alias("y")).where("x.fp != y.fp").where(may_be("x", "y")))
-    links = cut(verified(stars, docs, width, similarity))
-    found = components(links)
-    placed = cut(shared.join(found, F.col("x.fp") == found["node"], "left").select("key", "x", F.coalesce("component", "x.fp").alias("part")))
-    mixed_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    rest = cut(placed.join(mixed_keys, "key"))
-    other = rest.select("key", F.col("x").alias("y"), F.col("part").alias("part_y"))
-    pairs = ordered(rest.join(other, "key").where("part < part_y").where(may_be("x", "y")))
-    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return found
-    return components(links.union(verified(pairs, docs, width, similarity)))
+    def may_be(a: Column, b: Column) -> Column:
+        return similar_sizes(a, b, percent) & similar_parity(a, b, percent) & (distance(a["m0"], b["m0"]) + distance(a["m1"], b["m1"]) <= most_bits)
+
+    members = distinct.select(F.explode("bands").alias("key"), F.struct(F.col("fp").alias("node"), "n", *SKETCH).alias("x"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    lists = written(members.join(shared, "key"))
+    nodes = written(lists.select("x.node").distinct())
+    return linked(lists, may_be, sets_of(docs, nodes, width), percent)[0]
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id and `root` of each row; root, a fingerprint, names the component even where no row has a doc_id.
 
     Without a similarity, linked texts have fingerprints of SHINGLE words within MOST_BITS; with one, sets of
-    `width`-word shingles with that Jaccard similarity at least, and fp is a hash of the text's words.
+    `width`-word shingles with that Jaccard similarity at least, and fp is a number of the text's set.
     """
     if similarity is None and width != SHINGLE or similarity is not None and not LEAST_SIMILARITY <= similarity <= 1:
         raise ValueError(f"near_duplicates: {width} words, similarity {similarity}")
@@ -243,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | N
         sketched = cut(sketches(docs, width))
         prints = sketched.select("doc_id", "fp")
         classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        once = sketched.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "bands", "s0", "s1")])
+        once = sketched.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "bands", *SKETCH)])
         found = similar_components(once, docs, width, similarity)
     placed = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root")
@@ -264,7 +221,7 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, similarity: float | None
         return pd.Series([signed(fingerprint((t or "").encode())) for t in text], dtype="int64")
 
     own, names = apart(docs, "doc_id", "text")
-    fp = print_of(F.col("text").cast("string")) if similarity is None else _key_column(F.col("text"))
+    fp = print_of(F.col("text").cast("string")) if similarity is None else _key_column(F.col("text"), width)
     keyed = own.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_fp": fp})
     rows = keyed.join(kept, ["_id", "_fp"], "left_semi")
     order = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64(*own.columns))
