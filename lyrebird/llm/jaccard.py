@@ -31,10 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrebird.llm.common import may_hold, pack_filter, read, small_batches, written
-from lyrebird.llm.similar import SEEN, least_overlap, linked, node_of, sets_of, shingles, signature, similar_parity, similar_sizes
+from lyrebird.llm.similar import SEEN, least_overlap, linked, node_of, sets_of, shingles, signature, similar_parity, similar_sizes, text_mark
 from lyrebird.llm.substrings import _Hashes
 
 WIDTH, PERCENT = 3, 90
+SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
 def eligible_share(percent: int) -> int:
@@ -51,90 +52,63 @@ def can_link(n: int, percent: int) -> bool:
     return -(-percent * n // 100) < n or 100 * n // percent > n
 
 
-def prepared(docs: DataFrame, width: int, every: int) -> DataFrame:
-    """doc_id, node, n, n_eligible and the signature s0 to s3 of each row."""
+def prepared(docs: DataFrame, width: int, percent: int, every: int) -> DataFrame:
+    """doc_id, mark (of the text), node, n, n_eligible and the signature s0 to s3 of each row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                own = shingles(text or b"", width, hashes)
-                rows.append((node_of(own), len(own), int(np.count_nonzero(own & np.uint64(every - 1) == 0)), *signature(own).tolist()))
-            columns = np.array(rows, dtype=np.int64).reshape(-1, 7).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "node", "n", "n_eligible", "s0", "s1", "s2", "s3"])
-
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, n_eligible long, s0 long, s1 long, s2 long, s3 long")
-
-
-def _rows_of(docs: DataFrame, width: int, percent: int, choose) -> DataFrame:
-    """(node, key, at) of what `choose` takes from each set that can link; a task sends a set once."""
+    Where the set can link and the task hasn't met it yet, also `keys`, its eligible shingles, and `others`,
+    the first of the others where the eligible ones don't fill a prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _Hashes(), set()
-        take = choose()
         for batch in batches:
-            out = [[], [], []]
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
+            rows, keys, others = [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 own = shingles(text or b"", width, hashes)
-                if not can_link(len(own), percent):
-                    continue
-                node = node_of(own)
-                if node in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
-                keys, at = take(own)
-                for column, values in zip(out, (np.full(len(keys), node), keys.view(np.int64), at), strict=True):
-                    column.append(values)
-            flat = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in flat], ["node", "key", "at"])
-
-    return small_batches(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, key long, at long")
-
-
-def counted(docs: DataFrame, width: int, percent: int, every: int) -> DataFrame:
-    """(key, df) of the eligible shingles that more than one set has."""
-
-    def choose():
-        def take(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            keys = own[own & np.uint64(every - 1) == 0]
-            return keys, np.zeros(len(keys), dtype=np.int64)
-
-        return take
+                node, fits = node_of(own), own & np.uint64(every - 1) == 0
+                n_fit = int(np.count_nonzero(fits))
+                rows.append((node, len(own), n_fit, *signature(own).tolist()))
+                fresh = can_link(len(own), percent) and node not in seen
+                if fresh:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+                keys.append(own[fits].view(np.int64) if fresh else None)
+                others.append(own[~fits][: max(0, prefix_length(len(own), percent) - n_fit)].view(np.int64) if fresh else None)
+            columns = np.array(rows, dtype=np.int64).reshape(-1, 7).T
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (keys, others))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), *lists], ["doc_id", "mark", "node", "n", "n_eligible", *SIGNATURE, "keys", "others"])
 
-    return _rows_of(docs, width, percent, choose).groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, node long, n long, n_eligible long, s0 long, s1 long, s2 long, s3 long, keys array<long>, others array<long>")
 
 
-def prefixes(docs: DataFrame, nodes: DataFrame, width: int, percent: int, every: int) -> DataFrame:
+def prefixes(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(key, node, at): the repeated shingles of each set's prefix and their place in the order, from 0."""
-    repeated = written(counted(docs, width, percent, every))
+    eligible = rows.select(F.explode("keys").alias("key"))
+    repeated = written(eligible.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     bits, log_bits = pack_filter(repeated, "key")
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)  # 32 MB at most; where it is crowded, more rows are sent
+    shipped = rows.sparkSession.sparkContext.broadcast(bits)  # 32 MB at most; where it is crowded, more rows are sent
 
-    def choose():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shipped.value, dtype=np.uint8)
-
-        def take(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            fits = own & np.uint64(every - 1) == 0
-            mine = own[fits]
-            mine = mine[may_hold(table, log_bits, mine)]
-            n_fit = int(np.count_nonzero(fits))
-            # where the eligible ones don't fill a prefix, the first of the others do
-            others = own[~fits][: max(0, prefix_length(len(own), percent) - n_fit)]
-            return np.concatenate([mine, others]), np.concatenate([np.full(len(mine), -1), n_fit + np.arange(len(others))])
-
-        return take
-
-    sent = _rows_of(docs, width, percent, choose)
-    ranked = sent.where("at < 0").select("node", "key").distinct().join(repeated, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("own"))
+        for batch in batches:
+            keys = batch.column(1).combine_chunks() if isinstance(batch.column(1), pa.ChunkedArray) else batch.column(1)
+            flat = keys.flatten().to_numpy()
+            of = np.repeat(batch.column(0).to_numpy(), np.diff(keys.offsets.to_numpy()))
+            held = may_hold(table, log_bits, flat.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(of[held]), pa.array(flat[held])], ["node", "key"])
+
+    fresh = rows.where("keys IS NOT NULL")
+    sent = fresh.select("node", "keys").mapInArrow(run, "node long, key long")
+    # tasks that share a set send it more than once
+    ranked = sent.join(repeated, "key").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("own"))
     placed = ranked.join(nodes.select("node", "n", "n_eligible"), "node")
     alone = (F.col("n_eligible") - F.size("own")).cast("int")  # shingles that no other set has come first
     room = (F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1).cast("int") - alone
     first = placed.where(room > 0).select("node", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), room)).alias("i", "one"))
-    return first.select("one.key", "node", (F.col("alone") + F.col("i")).cast("long").alias("at")).union(sent.where("at >= 0").select("key", "node", "at").distinct())
+    rest = fresh.select("node", "n_eligible", F.posexplode("others").alias("i", "key")).select("key", "node", (F.col("n_eligible") + F.col("i")).alias("at"))
+    return first.select("one.key", "node", (F.col("alone") + F.col("i")).cast("long").alias("at")).union(rest.distinct())
 
 
 def admits(percent: int):
@@ -155,16 +129,16 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         raise ValueError(f"similar_sets: {percent} percent")
     every = eligible_share(percent)
     docs = docs.select("doc_id", "text")
-    rows = written(prepared(docs, width, every))
-    nodes = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "n_eligible", "s0", "s1", "s2", "s3")]))
-    keyed = written(prefixes(docs, nodes, width, percent, every))
+    rows = written(prepared(docs, width, percent, every))
+    nodes = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "n_eligible", *SIGNATURE)]))
+    keyed = written(prefixes(rows, nodes, percent))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     kept = keyed.join(shared, "key").join(nodes, "node")
-    lists = written(kept.select("key", F.struct("node", "n", "at", "s0", "s1", "s2", "s3").alias("x")))
+    lists = written(kept.select("key", F.struct("node", "n", "at", *SIGNATURE).alias("x")))
     if lists.isEmpty():
         found, links = rows.select("node", F.col("node").alias("component")).limit(0), None
     else:
-        sets = sets_of(docs, written(lists.select("x.node").distinct()), width)
+        sets = sets_of(docs, rows, written(lists.select("x.node").distinct()), width)
         found, links = linked(lists, admits(percent), sets, percent)
     return rows.select("doc_id", "node", "n"), found, links
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lyrebird.llm.common import apart, components, cut, named_back, read, small_batches, written
-from lyrebird.llm.similar import linked, node_of, sets_of, shingles, signature, similar_parity, similar_sizes
+from lyrebird.llm.similar import linked, node_of, sets_of, shingles, signature, similar_parity, similar_sizes, text_mark
 from lyrebird.llm.substrings import BASE_1, _Hashes, mixed
 
 SHINGLE = 3
@@ -140,12 +140,12 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp (the number of the text's set), n (its shingles), keys of its bands, s0 to s3 (the set's signature), and m0 and m1, one bit of each MinHash value."""
+    """doc_id, mark (of the text), fp (the number of the text's set), n (its shingles), keys of its bands, s0 to s3 (the set's signature), and m0 and m1, one bit of each MinHash value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            sets = [shingles(t or b"", width, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [shingles(t or b"", width, hashes) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             least = np.array([minhashes(s) for s in sets], dtype=np.uint64).reshape(len(sets), BANDS, ROWS)
             code = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sets), 1))
             for row in range(ROWS):
@@ -154,10 +154,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             keys = [c if len(s) else c[:0] for c, s in zip(code.view(np.int64), sets, strict=True)]
             parity = np.array([signature(s) for s in sets], dtype=np.int64).reshape(-1, 4)
             columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, parity.T), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "n", "bands", *SKETCH])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "mark", "fp", "n", "bands", *SKETCH])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, n long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long, n long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _key_column(text: Column, width: int) -> Column:
@@ -169,8 +169,8 @@ def _key_column(text: Column, width: int) -> Column:
     return key_of(text.cast("string"))
 
 
-def similar_components(distinct: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, component) of the sets that are linked by similarity; distinct: fp, n, bands and the sketch of each."""
+def similar_components(distinct: DataFrame, docs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, component) of the sets that are linked by similarity; distinct: fp, n, bands and the sketch of each; rows: (mark, node) of docs."""
     p, percent = (1 - similarity) / 2, round(100 * similarity, 6)
     most_bits = int(np.ceil(BANDS * ROWS * p + 6 * np.sqrt(BANDS * ROWS * p * (1 - p))))
 
@@ -181,7 +181,7 @@ def similar_components(distinct: DataFrame, docs: DataFrame, width: int, similar
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     lists = written(members.join(shared, "key"))
     nodes = written(lists.select("x.node").distinct())
-    return linked(lists, may_be, sets_of(docs, nodes, width), percent)[0]
+    return linked(lists, may_be, sets_of(docs, rows, nodes, width), percent)[0]
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | N
         prints = sketched.select("doc_id", "fp")
         classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
         once = sketched.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "bands", *SKETCH)])
-        found = similar_components(once, docs, width, similarity)
+        found = similar_components(once, docs, sketched.select("mark", F.col("fp").alias("node")), width, similarity)
     placed = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     # without its known layout, so that the rows of a hot fingerprint can be dealt to several tasks

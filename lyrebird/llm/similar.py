@@ -68,26 +68,36 @@ def similar_parity(a: Column, b: Column, percent: int) -> Column:
     return differing <= a["n"] + b["n"] - 2 * least_overlap(a["n"], b["n"], percent)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, members): the sorted hashes of the sets of `nodes` (node), written once. A task sends a set once."""
-    bits, log_bits = pack_filter(nodes, "node")
+def text_mark(text: Column) -> Column:
+    """A number of a text by which rows are told apart before their texts are looked at."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, members): the sorted hashes of the sets of `nodes` (node), written once. A task sends a set once.
+
+    rows: (mark, node) of each row of docs; only texts whose mark belongs to one of the nodes are looked at.
+    """
+    bits, log_bits = pack_filter(rows.join(nodes.select("node"), "node", "left_semi").select("mark").distinct(), "mark")
     shipped = docs.sparkSession.sparkContext.broadcast(bits)  # 32 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table, seen = _Hashes(), np.frombuffer(shipped.value, dtype=np.uint8), set()
         for batch in batches:
-            sets = [shingles(t or b"", width, hashes) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            ids = np.array([node_of(s) for s in sets], dtype=np.int64)
-            chosen = []
-            for i in np.flatnonzero(may_hold(table, log_bits, ids.view(np.uint64))).tolist():
-                if ids[i] not in seen:
+            own = may_hold(table, log_bits, batch.column(0).to_numpy().view(np.uint64))
+            ids, sets = [], []
+            for text in batch.column(1).filter(pa.array(own)).cast(pa.binary()).to_pylist():
+                members = shingles(text or b"", width, hashes)
+                node = node_of(members)
+                if node not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
-                    seen.add(ids[i])
-                    chosen.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[chosen]), pa.array([sets[i].view(np.int64) for i in chosen], pa.list_(pa.int64()))], ["node", "members"])
+                    seen.add(node)
+                    ids.append(node)
+                    sets.append(members.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "members"])
 
-    texts = small_batches(docs).select(F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(text_mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
     sent = texts.mapInArrow(run, "node long, members array<long>").join(nodes.select("node"), "node", "left_semi")
     return written(sent.groupBy("node").agg(F.first("members").alias("members")))
 
