@@ -140,7 +140,9 @@ def placeholder_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tokens = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3 == 0).alias("hole"), F.col("l_quantity").alias("v"))
     k = F.when(F.col("hole"), F.sum(F.col("hole").cast("int")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
-    features = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("k")).withColumn("feature", F.col("l_orderkey") % 7 + F.col("k") / 10.0)
+    # a sequence has as many features as placeholders, however many there are
+    holes = tokens.where("hole").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("holes"))
+    features = holes.select("l_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("holes"))).alias("k")).withColumn("feature", F.col("l_orderkey") % 7 + F.col("k") / 10.0)
     return tokens.withColumn("k", k).join(features, ["l_orderkey", "k"], "left").select("l_orderkey", "l_linenumber", "hole", F.when(F.col("hole"), F.col("feature")).otherwise(F.col("v")).cast("double").alias("v"))
 
 

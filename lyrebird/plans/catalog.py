@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from lyrebird.plans import arrays, audio, evaluation, names, records, relational, runs, sampling, segments, sessions, tensors, texts, vectors  # noqa: F401
+    from lyrebird.plans import arrays, audio, evaluation, names, records, relational, runs, sampling, segments, sessions, stores, tensors, texts, vectors  # noqa: F401
