@@ -2,7 +2,8 @@
 
 The vocabulary's byte strings are written as printable characters, one per byte, and become the
 pieces of a sentencepiece BPE model whose scores are the negative ranks and whose normaliser is the
-identity. Each match of the split pattern is encoded by itself; ids decode by the inverse mapping.
+identity. Each match of the split pattern is encoded by itself. Ids decode to the model's own pieces, and
+their characters to bytes by the inverse of the alphabet; the rank file takes no part in that.
 
 Null texts are encoded as empty: no ids. Rows are kept one for one, repeated rows included, and any
 other columns pass through; a column named like an output is replaced. Tables without rows give none.
@@ -105,19 +106,31 @@ def encode(docs: DataFrame, vocabulary: list[bytes], pattern: str, text: str = "
     return base.mapInArrow(run, schema)
 
 
-def spell_out(ids: bytes | None, vocabulary: list[bytes]) -> bytes:
-    """The bytes that ids, as `Encoder.encode` gives them, stand for."""
-    return b"".join(map(vocabulary.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+def bytes_of_pieces(proto: bytes) -> list[bytes]:
+    """The byte string of each piece of a serialised model, by the inverse of the alphabet; the unknown piece has none."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.ParseFromString(proto)
+    inverse = {ord(c): b for b, c in enumerate(byte_alphabet())}
+    plain = pb.ModelProto.SentencePiece.NORMAL
+    return [p.piece.translate(inverse).encode("latin-1") if p.type == plain else b"" for p in model.pieces]
 
 
-def decode(encoded: DataFrame, vocabulary: list[bytes], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """encoded plus the bytes that its ids stand for; null ids decode to nothing."""
-    shipped = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+def spell_out(ids: bytes | None, pieces: list[bytes]) -> bytes:
+    """The bytes that ids, as `Encoder.encode` gives them, stand for; pieces: those of `bytes_of_pieces`."""
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+
+
+def decode(encoded: DataFrame, proto: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """encoded plus the bytes that its ids stand for in a serialised model; null ids decode to nothing."""
+    shipped = encoded.sparkSession.sparkContext.broadcast(proto)
     kept = [c for c in encoded.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = bytes_of_pieces(shipped.value)
         for batch in batches:
-            texts = [spell_out(x, shipped.value) for x in batch.column(kept.index(ids)).to_pylist()]
+            texts = [spell_out(x, pieces) for x in batch.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.binary())], [*kept, out])
 
     base = small_batches(encoded).select(*[F.col(f"`{c}`") for c in kept])
@@ -126,11 +139,10 @@ def decode(encoded: DataFrame, vocabulary: list[bytes], ids: str = "ids", out: s
 
 def round_trip(docs: DataFrame, vocabulary: list[bytes], pattern: str) -> DataFrame:
     """doc_id, ids and decoded of every row: `encode`, then `decode` from the ids, by one Python worker a task."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model_proto(vocabulary), vocabulary))  # as large as the vocabulary file
+    shipped = docs.sparkSession.sparkContext.broadcast(model_proto(vocabulary))  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        proto, pieces = shipped.value
-        encoder = Encoder(proto, pattern)
+        encoder, pieces = Encoder(shipped.value, pattern), bytes_of_pieces(shipped.value)
         for batch in batches:
             ids = [encoder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             decoded = [spell_out(x, pieces) for x in ids]

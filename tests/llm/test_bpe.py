@@ -40,4 +40,17 @@ def test_round_trip_of_a_table(spark, docs, corpus, vocabulary, library):
 def test_other_columns_pass_and_outputs_replace(spark, docs, no_docs, vocabulary):
     clashing = docs.withColumnRenamed("size", "ids")
     assert bpe.encode(clashing, vocabulary, public_tokenizers.PATTERN).columns == ["doc_id", "lang", "source", "ids"]
-    assert bpe.decode(bpe.encode(no_docs, vocabulary, public_tokenizers.PATTERN), vocabulary).count() == 0
+    assert bpe.decode(bpe.encode(no_docs, vocabulary, public_tokenizers.PATTERN), bpe.model_proto(vocabulary)).count() == 0
+
+
+def test_decoding_inverts_the_models_pieces(spark, docs, corpus, vocabulary, monkeypatch):
+    proto = bpe.model_proto(vocabulary)
+    assert bpe.bytes_of_pieces(proto) == [*vocabulary, b""]
+    back = bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), proto).select("decoded").collect()
+    assert sorted(bytes(r.decoded) for r in back) == sorted((r[1] or "").encode() for r in corpus)
+    wrong = bpe.byte_alphabet()
+    wrong[97], wrong[98] = wrong[98], wrong[97]  # the alphabet of decoding only: the round trip must notice
+    monkeypatch.setattr(bpe, "byte_alphabet", lambda: wrong)
+    assert bpe.bytes_of_pieces(proto) != [*vocabulary, b""]
+    ids = struct.pack("<I", vocabulary.index(b"a"))
+    assert bpe.spell_out(ids, bpe.bytes_of_pieces(proto)) == b"b"
