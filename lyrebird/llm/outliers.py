@@ -10,10 +10,10 @@ are made consistent for normal data, and FLOOR, the least spread that counts as
 coordinate, so a statistic that is zero almost everywhere can't reject by itself for a trifle.
 Documents farther than the chi-square quantile at 1 - TAIL are rejected.
 
-All documents that pass the base rules take part in each step. A step is one aggregation: distances
-fall into fine bins, and each group's bins carry counts, sums and sums of products, so a hot source
-is summed where it lies and the nearest share ends at a bin's edge. Only a group's numbers meet in
-one task. Groups with fewer than LEAST documents are estimated together with such groups of their
+All documents that pass the base rules take part in each step, equal vectors as one row with a weight.
+A step counts the distances in fine bins, which gives each start the bin where its nearest share ends,
+and then sums the vectors up to there. So a hot source is counted and summed where it lies, a task
+holds a count for each bin and sums for each start only, and no more than a group's bins meet in one task. Groups with fewer than LEAST documents are estimated together with such groups of their
 language, and languages with fewer, together; where even these are fewer, nothing is rejected.
 
 Null texts have no words and fail the base rules; very long ones are counted whole, in one row. Null languages and sources are values like others.
@@ -167,9 +167,9 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 SUMS = [*[f"s{i}" for i in range(P)], *[f"m{i}_{j}" for i, j in PAIRS]]
 
 
-def sums_of(vector: Column) -> list[Column]:
+def sums_of(vector: Column, weight: Column) -> list[Column]:
     x = [vector[i] for i in range(P)]
-    return [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i, j in PAIRS]]
+    return [F.sum(weight).cast("double").alias("n"), *[F.sum(weight * v).alias(f"s{i}") for i, v in enumerate(x)], *[F.sum(weight * x[i] * x[j]).alias(f"m{i}_{j}") for i, j in PAIRS]]
 
 
 def estimated(moments: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def estimated(moments: DataFrame) -> DataFrame:
 
 def median_start(rows: DataFrame) -> DataFrame:
     """MODEL, trial 0, from medians and quartile ranges, found in fine bins of each coordinate."""
-    bins = rows.select("fit", F.posexplode("vector").alias("j", "x")).groupBy("fit", "j", F.floor(F.col("x") * FINE).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = rows.select("fit", "weight", F.posexplode("vector").alias("j", "x")).groupBy("fit", "j", F.floor(F.col("x") * FINE).alias("bin")).agg(F.sum("weight").alias("n"))
     upto = Window.partitionBy("fit", "j").orderBy("bin")
     share = F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("fit", "j"))
     at = bins.withColumn("share", share).groupBy("fit", "j").agg(*[F.min(F.when(F.col("share") >= q, F.col("bin"))).alias(name) for name, q in (("low", 0.25), ("mid", 0.5), ("high", 0.75))])
@@ -209,25 +209,35 @@ def median_start(rows: DataFrame) -> DataFrame:
 
 def subset_starts(rows: DataFrame) -> DataFrame:
     """MODEL, trials from 1, of about SUBSET rows of each group, picked by a hash of vector and trial."""
-    sizes = cut(rows.groupBy("fit").agg(F.count(F.lit(1)).alias("size")))
+    sizes = cut(rows.groupBy("fit").agg(F.sum("weight").alias("size")))
     trials = F.filter(F.sequence(F.lit(1), F.lit(STARTS - 1)), lambda t: F.pmod(F.xxhash64("vector", t), F.col("size")) < SUBSET)
-    picked = rows.join(bounded(sizes), "fit").select("fit", "vector", F.explode(trials).alias("trial"))
-    return estimated(picked.groupBy("fit", "trial").agg(*sums_of(F.col("vector"))).withColumn("share", F.lit(1.0)))
+    picked = rows.join(bounded(sizes), "fit").select("fit", "vector", "weight", F.explode(trials).alias("trial"))
+    return estimated(picked.groupBy("fit", "trial").agg(*sums_of(F.col("vector"), F.col("weight"))).withColumn("share", F.lit(1.0)))
 
 
 def with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """The rows under each trial of their group, with their distance and other columns of the model."""
     distance = squared_distance(F.col("vector"), F.col("centre"), F.col("inverse"))
-    return rows.join(bounded(model), "fit").select("fit", "trial", "vector", F.greatest(distance, F.lit(0.0)).alias("distance"))
+    return rows.join(bounded(model), "fit").withColumn("distance", F.greatest(distance, F.lit(0.0))).drop("centre", "inverse", "log_det")
+
+
+def last_bins(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """model plus `last`, the bin of distances in which the nearest SHARE of a group's rows ends, and `share`, that of the rows up to its end."""
+    bins = with_distance(rows, model).groupBy("fit", "trial", bin_of("distance").alias("bin")).agg(F.sum("weight").alias("n"))
+    own = Window.partitionBy("fit", "trial")
+    upto = F.sum("n").over(own.orderBy("bin")) / F.sum("n").over(own)
+    ends = bins.withColumn("upto", upto).where(F.col("upto") >= SHARE).groupBy("fit", "trial").agg(F.min(F.struct(F.col("bin").alias("last"), F.col("upto").alias("share"))).alias("end"))
+    return model.join(ends.select("fit", "trial", "end.last", "end.share"), ["fit", "trial"])
+
+
+def bin_of(distance: str) -> Column:
+    return F.floor(F.log2(1 + F.col(distance)) * BINS)
 
 
 def concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
     """MODEL of the nearest SHARE of each group's rows under each of its trials: one concentration step."""
-    binned = with_distance(rows, model).withColumn("bin", F.floor(F.log2(1 + F.col("distance")) * BINS))
-    sums = binned.groupBy("fit", "trial", "bin").agg(*sums_of(F.col("vector")))
-    own = Window.partitionBy("fit", "trial")
-    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    near = sums.withColumns({"before": before, "all": F.sum("n").over(own)}).where(F.col("before") < SHARE * F.col("all"))
-    return estimated(near.groupBy("fit", "trial").agg(F.max("all").alias("all"), *[F.sum(c).alias(c) for c in ("n", *SUMS)]).withColumn("share", F.col("n") / F.col("all")))
+    near = with_distance(rows, cut(last_bins(rows, model))).where(bin_of("distance") <= F.col("last"))
+    return estimated(near.groupBy("fit", "trial", "share").agg(*sums_of(F.col("vector"), F.col("weight"))))
 
 
 def lowest(model: DataFrame, trials: int) -> DataFrame:
@@ -239,12 +249,17 @@ def lowest(model: DataFrame, trials: int) -> DataFrame:
 def reweighted(rows: DataFrame, model: DataFrame) -> DataFrame:
     """MODEL of the rows within the chi-square quantile WITHIN of a model."""
     near = with_distance(rows, model).where(F.col("distance") <= chi_square_quantile(WITHIN, P))
-    return estimated(near.groupBy("fit", "trial").agg(*sums_of(F.col("vector"))).withColumn("share", F.lit(WITHIN)))
+    return estimated(near.groupBy("fit", "trial").agg(*sums_of(F.col("vector"), F.col("weight"))).withColumn("share", F.lit(WITHIN)))
+
+
+def weighted(rows: DataFrame) -> DataFrame:
+    """The different vectors of each group with `weight`, how many rows have them; copies are added up before the shuffle."""
+    return rows.groupBy("fit", "vector").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def fit(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """MODEL of each group of documents that pass the base rules."""
-    rows = cut(stats.where(~F.col("base_failed")).join(bounded(groups), "grp").where("fit is not null").select("fit", "vector"))
+    rows = cut(weighted(stats.where(~F.col("base_failed")).join(bounded(groups), "grp").where("fit is not null").select("fit", "vector")))
     model = cut(median_start(rows).union(subset_starts(rows)))
     for _ in range(FIRST_STEPS):
         model = cut(concentrated(rows, model))

@@ -77,7 +77,7 @@ def test_lowest_determinant_where_the_medians_fail(spark):
     assert np.allclose(ours, plain, rtol=0.2, atol=0.3)
     limit = outliers.chi_square_quantile(1 - 1e-4, outliers.P)
     assert (plain[:far] > limit).all() and (ours[:far] > limit).all() and (ours[far:] <= limit).mean() > 0.99
-    fitted = rows.withColumnRenamed("grp", "fit").select("fit", "vector")
+    fitted = outliers.weighted(rows.withColumnRenamed("grp", "fit"))
     medians = outliers.median_start(fitted)
     for _ in range(4):
         medians = outliers.cut(outliers.concentrated(fitted, medians))
@@ -150,3 +150,22 @@ def test_repeats_go_from_a_clean_source(spark):
     for r in planted:
         assert not r.base_failed and 0.4 <= r.n_dup_lines / r.n_lines <= 0.45 and 0.4 <= r.n_repeat_words / r.n_words <= 0.45
     assert [r.doc_id for r in judged if not r.kept] == sorted(r.doc_id for r in planted)
+
+
+def test_copies_count_as_often_as_they_occur(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, outliers.P)) + 5
+    times = rng.integers(1, 9, 200)
+    spread = [("g", v.tolist()) for v, n in zip(x, times) for _ in range(n)]
+    rows = outliers.weighted(spark.createDataFrame(spread, "fit string, vector array<double>").repartition(3)).cache()
+    assert rows.count() == 200 and rows.agg({"weight": "sum"}).first()[0] == times.sum()
+    every = np.repeat(x, times, axis=0)
+    model = outliers.cut(outliers.median_start(rows))
+    row = model.first()
+    far = distances(every, np.array(row.centre), np.linalg.inv(np.array(row.inverse).reshape(outliers.P, outliers.P)))
+    bins = np.floor(np.log2(1 + far) * outliers.BINS)
+    last = np.sort(bins)[int(np.ceil(outliers.SHARE * len(every))) - 1]
+    near = every[bins <= last]
+    found = outliers.concentrated(rows, model).first()
+    assert np.allclose(found.centre, near.mean(axis=0))
+    assert np.allclose(np.linalg.inv(np.array(found.inverse).reshape(outliers.P, outliers.P)), regularised(near, len(near) / len(every)))
