@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lyrebird.operators import tokens as K
-from lyrebird.plans.catalog import query
+from lyrebird.plans.catalog import SQL, query
 from lyrebird.session import table
 
 WORDS = "w AS (SELECT doc_id, unnest(range(0, len(string_split(text, ' ')))) AS pos, unnest(string_split(text, ' ')) AS word FROM documents)"
@@ -119,3 +119,24 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lyrebird.streaming.chunks import run_to_end
 
     return run_to_end(spark, sf_dir, 5)
+
+
+@query(
+    "shard_rows",
+    "WITH RECURSIVE t AS (SELECT l_suppkey AS g, l_quantity::BIGINT AS size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS pos FROM lineitem), p AS (SELECT g, (sum(size) OVER (PARTITION BY g ORDER BY pos))::BIGINT AS s, size FROM t), r AS (SELECT g, 0::BIGINT AS e, min(s) AS s, 0 AS shard FROM p GROUP BY g UNION ALL SELECT g, e, s, shard FROM (SELECT r.g, arg_min(p.s - p.size, p.s) AS e, min(p.s) AS s, any_value(r.shard) + 1 AS shard FROM r JOIN p ON p.g = r.g AND p.s > greatest(r.e + 500, r.s) GROUP BY r.g)) SELECT r.g AS l_suppkey, r.shard, r.e AS began, coalesce(lead(r.e) OVER (PARTITION BY r.g ORDER BY r.e), x.total) - r.e AS size FROM r JOIN (SELECT g, max(s) AS total FROM p GROUP BY g) x ON x.g = r.g",
+)
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's items dealt to shards of 500 units at most, by doubling of pointers."""
+    from lyrebird.operators.shards import greedy_shards
+
+    items = table(spark, sf_dir, "lineitem")
+    found = greedy_shards(items, "l_suppkey", F.floor(F.col("l_orderkey") / 10_000), ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "l_quantity", 500)
+    return found.select(F.col("g").alias("l_suppkey"), "shard", "began", "size")
+
+
+@query("stream_session_ttl", SQL["session_ttl"])
+def stream_session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`session_ttl` from a stream with state, timers and a restart between events and finish."""
+    from lyrebird.streaming.sessions import closed
+
+    return closed(spark, sf_dir)
