@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, MapType
 
 KEY, TOK, X = "vec_id", "tok", "x"
 
@@ -167,23 +169,50 @@ def probabilities(rows: DataFrame, n: int) -> DataFrame:
     return softmax(rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).withColumn("logprob", F.log("p"))
 
 
-def suffix_matches(context: Column, breakers: list, least: int) -> Column:
-    """(token, n) where a token once followed n tokens that the context now ends with; n counts to the last breaker at most, and is `least` or more."""
-    back = F.reverse(context)
-    breaker = F.array_position(F.transform(back, lambda t: t.isin(breakers) if breakers else F.lit(False)), True)
-    limit = F.when(breaker > 0, breaker - 1).otherwise(F.size(context)).cast("int")
-
-    def at(j: Column) -> Column:
-        same = F.zip_with(F.slice(back, j + 2, F.size(back)), back, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        first = F.array_position(same, False)
-        run = F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
-        return F.struct(F.element_at(back, j + 1).alias("token"), F.least(run, limit).alias("n"))
-
-    places = F.when(F.size(context) > 1, F.sequence(F.lit(0), F.size(context) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(places, at), lambda m: m["n"] >= least)
+def repeat_lengths(codes: list[int]) -> list[int]:
+    """For each place of a list, how many elements from there on equal those from its start; each is compared a constant number of times."""
+    n = len(codes)
+    found = [n] + [0] * (n - 1)
+    low = high = 0
+    for i in range(1, n):
+        run = min(found[i - low], high - i) if i < high else 0
+        while i + run < n and codes[run] == codes[i + run]:
+            run += 1
+        if i + run > high:
+            low, high = i, i + run
+        found[i] = run
+    return found
+
+
+def suffix_matches(context: pd.Series, breakers: set, least: int) -> pd.Series:
+    """For each context a dict from token to n, the most tokens that it once followed and that the context now ends with.
+
+    n counts to the last breaker at most and is `least` or more. Null tokens equal none and are never reported;
+    null and short contexts have no matches.
+    """
+    out = []
+    for tokens in context:
+        best: dict = {}
+        if tokens is not None and len(tokens) > 1:
+            back = list(tokens)[::-1]
+            seen: dict = {}
+            codes = [~i if t is None or t != t else seen.setdefault(t, len(seen)) for i, t in enumerate(back)]
+            limit = next((i for i, t in enumerate(back) if t in breakers), len(back))
+            for token, code, run in zip(back, codes, repeat_lengths(codes)[1:]):
+                n = min(run, limit)
+                if n >= least and code >= 0 and n > best.get(token, -1):
+                    best[token] = n
+        out.append(best)
+    return pd.Series(out, dtype=object)
 
 
 def suffix_penalties(rows: DataFrame, key: list[str], context: str, breakers: list, multiplier: float, base: float, least: int, most_power: int = 100) -> DataFrame:
-    """(key, token, penalty): what is taken off the logit of tokens that would go on with a repeat of the sequence's end, growing with its length up to base ** most_power."""
-    found = rows.select(*key, F.explode(suffix_matches(F.col(context), breakers, least)).alias("m")).groupBy(*key, F.col("m.token").alias("token")).agg(F.max("m.n").alias("n"))
+    """(key, token, penalty): what is taken off the logit of tokens that would go on with a repeat of the sequence's end, growing with its length up to base ** most_power.
+
+    Linear in the length of a sequence, which is one row; rows with equal keys count as one sequence's alternatives, of
+    which the longest match is taken.
+    """
+    token = rows.schema[context].dataType.elementType
+    matches = F.pandas_udf(lambda c: suffix_matches(c, set(breakers), least), MapType(token, IntegerType()))
+    found = rows.select(*key, F.explode(matches(F.col(context))).alias("token", "n")).groupBy(*key, "token").agg(F.max("n").alias("n"))
     return found.select(*key, "token", (F.lit(multiplier) * F.pow(F.lit(base), F.least(F.col("n") - least, F.lit(most_power)))).alias("penalty"))

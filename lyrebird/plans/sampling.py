@@ -135,3 +135,15 @@ def suffix_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.concat(words, F.slice(words, 1, 3)).alias("w"))
     found = S.suffix_penalties(turns, ["conv_id", "turn"], "w", ["the", "and"], 0.8, 1.75, 2, 20)
     return found.select("conv_id", "turn", "token", F.round("penalty", 4).alias("penalty"))
+
+
+REPEATS = "t AS (SELECT doc_id, list_concat(string_split(text, ' '), string_split(text, ' ')[1:3]) AS w FROM documents WHERE text <> ''), b AS (SELECT doc_id, list_reverse(w) AS r, coalesce(list_position(list_transform(list_reverse(w), lambda x: x IN ('the', 'and')), true) - 1, len(w)) AS most FROM t), p AS (SELECT doc_id, r, most, unnest(list_filter(range(2, len(r)), lambda j: r[j] = r[1] AND r[j + 1] = r[2])) AS j FROM b WHERE most >= 2), m AS (SELECT doc_id, r[j - 1] AS token, least(most, coalesce(list_position(list_transform(range(1, (len(r) - j + 2)::BIGINT), lambda k: r[j + k - 1] = r[k]), false) - 1, len(r) - j + 1)) AS n FROM p)"
+
+
+@query("suffix_penalty_documents", f"WITH {REPEATS} SELECT doc_id, token, round(0.8 * pow(1.75, least(max(n) - 2, 20)), 4) AS penalty FROM m WHERE n >= 2 GROUP BY ALL")
+def suffix_penalty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, which begins again, as the context."""
+    words = F.split("text", " ")
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.concat(words, F.slice(words, 1, 3)).alias("w"))
+    found = S.suffix_penalties(docs, ["doc_id"], "w", ["the", "and"], 0.8, 1.75, 2, 20)
+    return found.select("doc_id", "token", F.round("penalty", 4).alias("penalty"))

@@ -220,3 +220,17 @@ def test_suffix_penalties(spark):
     assert penalties([7, 0, 1, 2, 0, 1, 2]) == {0: 2.0}
     assert penalties([0, 1, 2, 0, 1], breakers=[0]) == {} and penalties([0, 1, 2, 0, 1], breakers=[0], least=1) == {2: 1.0}
     assert penalties([5]) == {} and penalties([]) == {}
+    assert penalties([3, None, 3, None], least=1) == {}
+
+
+def test_repeat_lengths():
+    import random
+
+    from lyrebird.operators import sampling
+
+    rng = random.Random(5)
+    for _ in range(300):
+        codes = [rng.randrange(2) for _ in range(rng.randrange(1, 30))]
+        plain = [next((k for k in range(len(codes) - i) if codes[k] != codes[i + k]), len(codes) - i) for i in range(len(codes))]
+        assert sampling.repeat_lengths(codes) == plain
+    assert sampling.repeat_lengths([1] * 200_000)[1] == 199_999
