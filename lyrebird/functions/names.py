@@ -47,9 +47,8 @@ def looked_up(rows: DataFrame, known: DataFrame, asked: str) -> DataFrame:
     general = F.regexp_replace(F.col(asked), r"\.\d+\.", ".{n}.")
     suffix = F.regexp_extract(F.col(asked), r"(\.weight|\.bias)?$", 1)
     keyed = rows.withColumns({"_whole": general, "_bare": F.regexp_replace(general, r"(\.weight|\.bias)$", ""), "_n": number, "_suffix": suffix})
-    small = F.broadcast(known)  # a table of name patterns
-    whole = keyed.join(small.select(F.col("pattern").alias("_whole"), F.col("known").alias("_k1")), "_whole", "left")
-    both = whole.join(small.select(F.col("pattern").alias("_bare"), F.col("known").alias("_k2")), "_bare", "left")
+    whole = keyed.join(known.select(F.col("pattern").alias("_whole"), F.col("known").alias("_k1")), "_whole", "left")
+    both = whole.join(known.select(F.col("pattern").alias("_bare"), F.col("known").alias("_k2")), "_bare", "left")
     found = F.coalesce("_k1", F.concat("_k2", "_suffix"))
     return both.withColumn("name", F.replace(found, F.lit("{n}"), F.col("_n"))).select(*rows.columns, "name")
 
