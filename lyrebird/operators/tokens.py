@@ -126,3 +126,21 @@ def shards(tensors: DataFrame, group: str, order: str, size: str, most: int) ->
         return F.when(full, F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), t[size].cast("long").alias("open"))).otherwise(F.struct(s["done"].alias("done"), grown.cast("long").alias("open")))
 
     return listed.select(group, F.aggregate("t", start, step, lambda s: F.concat(s["done"], F.array(s["open"]))).alias("sizes"))
+
+
+def best_prefixes(words: DataFrame, dictionary: DataFrame, least: int = 2) -> DataFrame:
+    """(word, left, right): each different word cut after its best entry of (entry, score).
+
+    The best entry is the prefix of `least` characters or more with the highest score, the longer one among equals;
+    of words without an entry, and of those no longer than `least`, the whole word is the left part. Only different
+    words are spread to their prefixes, no longer than the dictionary's longest entry; entries that occur
+    repeatedly count with their highest score. Null words and entries are left out.
+    """
+    entries = dictionary.where(F.char_length("entry") >= least).groupBy("entry").agg(F.max("score").alias("score"))
+    longest = entries.agg(F.coalesce(F.max(F.char_length("entry")), F.lit(0)).alias("longest"))  # one row
+    own = words.select("word").where("word is not null").distinct()
+    lengths = F.sequence(F.lit(least), F.greatest(F.least(F.char_length("word"), F.col("longest")), F.lit(least)))
+    long = own.where(F.char_length("word") > least).crossJoin(F.broadcast(longest))
+    spread = long.select("word", F.explode(lengths).alias("k")).select("word", F.expr("left(word, k)").alias("entry"))
+    best = spread.join(entries, "entry").groupBy("word").agg(F.max_by("entry", F.struct("score", F.char_length("entry"))).alias("left"))
+    return own.join(best, "word", "left").withColumn("left", F.coalesce("left", "word")).select("word", "left", F.expr("substring(word, char_length(left) + 1)").alias("right"))

@@ -140,3 +140,14 @@ def stream_session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lyrebird.streaming.sessions import closed
 
     return closed(spark, sf_dir)
+
+
+@query(
+    "dictionary_prefixes",
+    "WITH w AS (SELECT unnest(string_split(text, ' ')) AS word FROM documents), u AS (SELECT word, count(*) AS n FROM w GROUP BY word), d AS (SELECT word AS entry, n AS score FROM u WHERE n >= 3 AND length(word) >= 2), c AS (SELECT word, entry, score FROM u LEFT JOIN d ON length(word) > 2 AND starts_with(word, entry)), b AS (SELECT word, coalesce(arg_max(entry, {'s': score, 'l': length(entry)}), word) AS l FROM c GROUP BY word) SELECT word, l AS left_part, substr(word, length(l) + 1) AS right_part FROM b",
+)
+def dictionary_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of the documents cut after its best left part, from a dictionary of the words that occur three times or more."""
+    split = words(spark, sf_dir).select("word")
+    dictionary = split.groupBy(F.col("word").alias("entry")).agg(F.count(F.lit(1)).alias("score")).where("score >= 3")
+    return K.best_prefixes(split, dictionary).select("word", F.col("left").alias("left_part"), F.col("right").alias("right_part"))

@@ -234,3 +234,14 @@ def test_repeat_lengths():
         plain = [next((k for k in range(len(codes) - i) if codes[k] != codes[i + k]), len(codes) - i) for i in range(len(codes))]
         assert sampling.repeat_lengths(codes) == plain
     assert sampling.repeat_lengths([1] * 200_000)[1] == 199_999
+
+
+def test_best_prefixes(spark):
+    from lyrebird.operators import tokens
+
+    words = spark.createDataFrame([(w,) for w in ["학교에서", "학교", "학생", "ab", "abcd", "xyz", "", None, "학교에서"]], "word string")
+    entries = spark.createDataFrame([("학교", 0.5), ("학교", 0.9), ("학교에", 0.9), ("학", 2.0), ("ab", 0.1), ("abc", 0.05), (None, 9.0)], "entry string, score double")
+    found = {r.word: (r.left, r.right) for r in tokens.best_prefixes(words, entries).collect()}
+    assert found == {"학교에서": ("학교에", "서"), "학교": ("학교", ""), "학생": ("학생", ""), "ab": ("ab", ""), "abcd": ("ab", "cd"), "xyz": ("xyz", ""), "": ("", "")}
+    assert tokens.best_prefixes(words, entries.limit(0)).where("left = word").count() == 7
+    assert tokens.best_prefixes(words.limit(0), entries).count() == 0
