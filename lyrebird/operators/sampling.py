@@ -216,3 +216,56 @@ def suffix_penalties(rows: DataFrame, key: list[str], context: str, breakers: li
     matches = F.pandas_udf(lambda c: suffix_matches(c, set(breakers), least), MapType(token, IntegerType()))
     found = rows.select(*key, F.explode(matches(F.col(context))).alias("token", "n")).groupBy(*key, "token").agg(F.max("n").alias("n"))
     return found.select(*key, "token", (F.lit(multiplier) * F.pow(F.lit(base), F.least(F.col("n") - least, F.lit(most_power)))).alias("penalty"))
+
+
+def merged_by_prefix(pieces: list[str], p: list[float | None]) -> list[float | None]:
+    """Probabilities after candidates of which one's piece begins another's are merged, in order, into the likelier of two; merged and empty places are None.
+
+    A piece looks up its own beginnings, so the work is by characters and not by pairs of candidates.
+    """
+    p, at, longer = list(p), {}, {}
+    for i, piece in enumerate(pieces):
+        at.setdefault(piece, []).append(i)
+    for i, piece in enumerate(pieces):
+        for n in range(1, len(piece) + 1):
+            for shorter in at.get(piece[:n], ()):
+                if shorter != i:
+                    longer.setdefault(shorter, []).append(i)
+    for i in sorted(longer):
+        for j in longer[i]:
+            if p[i] is None:
+                break
+            if p[j] is not None:
+                target, source = (j, i) if p[j] > p[i] else (i, j)
+                p[target], p[source] = p[target] + p[source], None
+    return p
+
+
+def infill(rows: DataFrame, end: int, threshold: float = 0.2) -> DataFrame:
+    """(step, tok, p) of candidates with `piece` and `eog` (ends the text), for filling a gap.
+
+    A step keeps only its ending candidates where these weigh more than a third of the mean of all candidates' share of text. Else candidates with a
+    common beginning are merged, the likeliest first, and those that fall below `threshold`, and then below one part in the
+    number of those left plus one, go; ending ones stay. Where no text is left, `end` alone remains, with p 1. Ending
+    candidates, null and empty pieces are not merged. A step's candidates, a vocabulary at most, are merged in one task.
+    """
+    p = softmax(rows.select(KEY, TOK, X, F.coalesce("eog", F.lit(False)).alias("eog"), F.coalesce("piece", F.lit("")).alias("piece")))
+    ending = F.sum(F.when(F.col("eog"), F.col("p")).otherwise(0.0)).over(_step())
+    text = F.sum(F.when(F.col("eog"), 0.0).otherwise(F.col("p"))).over(_step())
+    ended = p.withColumn("stop", 3 * ending * F.count(F.lit(1)).over(_step()) > text)
+
+    def merge(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values([X, TOK], ascending=[False, True], ignore_index=True)
+        if not own["stop"].iloc[0]:
+            live = [float(v) if x > float("-inf") else None for v, x in zip(own["p"], own[X])]
+            own["p"] = [v or 0.0 for v in merged_by_prefix(["" if e else s for e, s in zip(own["eog"], own["piece"])], live)]
+        return own[[KEY, TOK, "p", "eog", "stop"]]
+
+    schema = f"{KEY} {rows.schema[KEY].dataType.simpleString()}, {TOK} {rows.schema[TOK].dataType.simpleString()}, p double, eog boolean, stop boolean"
+    kept = ended.groupBy(KEY).applyInPandas(merge, schema).where(F.when(F.col("stop"), F.col("eog")).otherwise(F.col("eog") | (F.col("p") >= threshold)))
+    left = F.sum((~F.col("eog")).cast("int")).over(_step())
+    shared = kept.withColumns({"left": left, "p": F.col("p") / F.sum("p").over(_step())}).where("stop or left = 0 or eog or p >= 1 / (left + 1)")
+    again = shared.withColumn("p", F.col("p") / F.sum("p").over(_step()))
+    bare = ended.where("not stop").select(KEY).distinct().join(again.where("not stop and left > 0").select(KEY).distinct(), KEY, "left_anti")
+    only = bare.select(KEY, F.lit(end).cast(rows.schema[TOK].dataType).alias(TOK), F.lit(1.0).alias("p"))
+    return again.where("stop or left > 0").select(KEY, TOK, "p").union(only)

@@ -17,13 +17,13 @@ def ngrams(tokens: DataFrame, key: str, order: str, token: str, least: int, most
 
 
 def array_ngrams(rows: DataFrame, tokens: str, least: int, most: int) -> DataFrame:
-    """`ngrams` of sequences that are arrays: built inside the array and exploded once."""
+    """`ngrams` of sequences that are arrays: shifted copies side by side, exploded once, without a function called for each place."""
     t = F.col(tokens)
-
-    def of(n: int) -> Column:
-        return F.transform(F.slice(t, n + 1, F.greatest(F.size(t) - n, F.lit(0))), lambda x, i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i + 1, F.lit(n)), " ").alias("gram"), x.alias("next")))
-
-    return rows.select(F.explode(F.concat(*map(of, range(least, most + 1)))).alias("g")).select("g.n", "g.gram", "g.next")
+    back = [F.concat(F.array_repeat(F.lit(None).cast("string"), i), t) for i in range(most)]
+    wide = rows.select(*[c.alias(f"b{i}") for i, c in enumerate(back, 1)], F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))).alias("next"))
+    places = wide.select(F.inline(F.arrays_zip("next", *[f"b{i}" for i in range(1, most + 1)]))).where("next is not null")
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[F.col(f"b{i}") for i in range(n, 0, -1)]).alias("gram"), F.col(f"b{n}").isNotNull().alias("whole")) for n in range(least, most + 1)])
+    return places.select("next", F.explode(grams).alias("g")).where("g.whole").select("g.n", "g.gram", "next")
 
 
 def count_ngrams(grams: DataFrame) -> DataFrame:

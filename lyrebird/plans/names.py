@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,3 +174,30 @@ def incremental_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", decoded_pieces(F.col("text")).alias("pieces"))
     shown = pieces.select("doc_id", N.shown_pieces(F.col("pieces")).alias("s"))
     return shown.select("doc_id", F.array_join("s", "").alias("shown"), F.lit(0).alias("held"))
+
+
+NAMED = "lower(p_type) AS t, replace(p_name, ' ', '_') AS m, lower(p_brand) AS b"
+
+
+@query(
+    "wildcard_names",
+    f"WITH p AS (SELECT p_partkey AS id, p_size::VARCHAR AS s, {NAMED}, ['.weight', '.bias', ''][(p_partkey % 3 + 1)::INT] AS x FROM part), e AS (SELECT DISTINCT t, m, b FROM p WHERE id % 11 = 0), a AS (SELECT DISTINCT t, m, b FROM p WHERE id % 4 = 0), w AS (SELECT DISTINCT t, b FROM p WHERE id % 9 = 0), c AS (SELECT DISTINCT t, m FROM p WHERE id % 7 = 0), d AS (SELECT DISTINCT m, b FROM p WHERE id % 2 = 0) "
+    "SELECT id AS p_partkey, CASE WHEN e.t IS NOT NULL AND x = '.weight' THEN 'whole.' || s WHEN a.t IS NOT NULL THEN 'blk.' || s || '.' || p.t || '_' || p.m || '_' || p.b || x WHEN w.t IS NOT NULL THEN 'kind.' || p.m || '.' || s || x WHEN c.t IS NOT NULL THEN 'end.' || p.b || '.' || p.t || x WHEN d.m IS NOT NULL THEN 'tail.' || p.m || '.' || p.b || x END AS name FROM p "
+    "LEFT JOIN e USING (t, m, b) LEFT JOIN a USING (t, m, b) LEFT JOIN w USING (t, b) LEFT JOIN c USING (t, m) LEFT JOIN d USING (m, b)",
+)
+def wildcard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensor names of every part looked up in the patterns that five rules make of the parts."""
+    from lyrebird.operators.patterns import wildcard_lookup
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("s"), F.lower("p_type").alias("t"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("m"), F.lower("p_brand").alias("b"))
+    suffix = F.array(F.lit(".weight"), F.lit(".bias"), F.lit(""))[(F.col("p_partkey") % 3).cast("int")]
+    asked = parts.select("p_partkey", F.concat(F.concat_ws(".", F.lit("model.layers"), "s", "t", "m", "b"), suffix).alias("asked"))
+    rules = [
+        (11, "model.layers.*.{t}.{m}.{b}.weight", "whole.{{0}}"),
+        (4, "model.layers.*.{t}.{m}.{b}", "blk.{{0}}.{t}_{m}_{b}"),
+        (9, "model.layers.*.{t}.*.{b}", "kind.{{1}}.{{0}}"),
+        (7, "**.{t}.{m}.*", "end.{{0}}.{t}"),
+        (2, "**.{m}.{b}", "tail.{m}.{b}"),
+    ]
+    made = [parts.where(F.col("p_partkey") % every == 0).select(*[F.format_string(re.sub(r"\{\{(\d)\}\}", r"{\1}", re.sub(r"(?<!\{)\{[tmb]\}", "%s", form)), *re.findall(r"(?<!\{)\{([tmb])\}", form)).alias(c) for form, c in ((pattern, "pattern"), (known, "known"))]) for every, pattern, known in rules]
+    return wildcard_lookup(asked, reduce(DataFrame.union, made), "asked").select("p_partkey", "name")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lyrebird.operators import sketches
 from lyrebird.plans.catalog import query
 from lyrebird.session import table
+from lyrebird.sources import scratch
 
 
 @query("outer_joins", "SELECT c_custkey, o_orderkey, coalesce(o_totalprice, 0) AS price FROM customer FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey")
@@ -66,6 +68,23 @@ def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.percentile_approx("value", 0.5, 10000).alias("median"))
 
 
+@query("sketch_store", "SELECT event_type, count(*) AS n, true AS users_near, true AS p05_near, true AS p50_near, true AS p95_near FROM events GROUP BY event_type")
+def sketch_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by day of two halves of the events, written, read back and merged; counts are within three standard errors, ranks within two hundredths."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    home = scratch.shared(spark, "sketches")
+    for half in (0, 1):
+        sketches.sketched(events.where(F.coalesce(F.col("event_id") % 2, F.lit(0)) == half), ["event_type", "day"], "user_id", "value").write.mode("append").parquet(home)
+    shares = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    found = sketches.estimated(sketches.merged(spark.read.parquet(home), ["event_type"]), ["event_type"], shares)
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"), F.count("value").alias("values"))
+    low_high = [F.count(F.when(F.col("value") < F.col(s), 1)).alias(f"{s}_low") for s in shares] + [F.count(F.when(F.col("value") <= F.col(s), 1)).alias(f"{s}_high") for s in shares]
+    ranks = events.join(found.select("event_type", *shares), "event_type").groupBy("event_type").agg(*low_high)
+    near = [((F.col(f"{s}_low") / F.col("values") <= share + 0.02) & (F.col(f"{s}_high") / F.col("values") >= share - 0.02)).alias(f"{s}_near") for s, share in shares.items()]
+    users = (F.abs(F.col("users") - F.col("exact")) <= F.greatest(3 * sketches.ERROR * F.col("exact"), F.lit(1))).alias("users_near")
+    return found.join(exact, "event_type").join(ranks, "event_type").select("event_type", "n", users, *near)
+
+
 @query("distinct_aggregates", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderstatus) AS states FROM orders GROUP BY 1")
 def distinct_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderstatus").alias("states"))

@@ -147,3 +147,20 @@ def suffix_penalty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.concat(words, F.slice(words, 1, 3)).alias("w"))
     found = S.suffix_penalties(docs, ["doc_id"], "w", ["the", "and"], 0.8, 1.75, 2, 20)
     return found.select("doc_id", "token", F.round("penalty", 4).alias("penalty"))
+
+
+PIECES = "t AS (SELECT range::INT AS tok, CASE WHEN range = 63 THEN '' ELSE bin(range + 1) END AS piece FROM range(64))"
+MERGED = (
+    f"{SOFT}, {PIECES}, d AS (SELECT vec_id, 3 * sum(p) FILTER (tok = 63) * count(*) > sum(p) FILTER (tok <> 63) AS stop, list(p ORDER BY tok) AS p FROM s GROUP BY vec_id), y AS (SELECT vec_id, tok, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, tok) AS r FROM s), z AS (SELECT a.tok AS i, b.tok AS j FROM t a JOIN t b ON a.tok <> b.tok AND a.piece <> '' AND starts_with(b.piece, a.piece)), "
+    "o AS (SELECT a.vec_id, i + 1 AS i, j + 1 AS j, row_number() OVER (PARTITION BY a.vec_id ORDER BY a.r, b.r) AS k FROM z JOIN y a ON a.tok = i JOIN y b ON b.tok = j AND b.vec_id = a.vec_id), "
+    "f AS (SELECT vec_id, 0::BIGINT AS k, p FROM d WHERE NOT stop UNION ALL SELECT f.vec_id, o.k, CASE WHEN p[i] < 0 OR p[j] < 0 THEN p ELSE list_transform(p, lambda v, n: CASE WHEN n = (CASE WHEN p[j] > p[i] THEN j ELSE i END) THEN p[i] + p[j] WHEN n = i OR n = j THEN -1 ELSE v END) END FROM f JOIN o ON o.vec_id = f.vec_id AND o.k = f.k + 1), "
+    "g AS (SELECT vec_id, unnest(range(64))::INT AS tok, unnest(p) AS p FROM f WHERE k = (SELECT max(k) FROM o)), h AS (SELECT *, count(*) FILTER (tok <> 63) OVER w AS n, p / sum(p) OVER w AS q FROM g WHERE p >= 0.2 OR tok = 63 WINDOW w AS (PARTITION BY vec_id)), "
+    "r AS (SELECT vec_id, tok, q / sum(q) OVER (PARTITION BY vec_id) AS p FROM h WHERE n > 0 AND (tok = 63 OR q >= 1 / (n + 1))) SELECT vec_id, tok, round(p, 6) AS p FROM r UNION ALL SELECT vec_id, 63, 1.0 FROM d WHERE stop UNION ALL SELECT vec_id, 63, 1.0 FROM h GROUP BY vec_id HAVING max(n) = 0"
+)
+
+
+@query("infill_merge", f"WITH RECURSIVE {MERGED}")
+def infill_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates merged by common beginnings; a token's piece is its number in binary, and the last token ends the text."""
+    rows = logits(spark, sf_dir).withColumns({"piece": F.bin(F.col("tok") + 1), "eog": F.col("tok") == 63})
+    return S.infill(rows, 63).select("vec_id", "tok", F.round("p", 6).alias("p"))

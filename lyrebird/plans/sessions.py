@@ -151,3 +151,14 @@ def dictionary_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = words(spark, sf_dir).select("word")
     dictionary = split.groupBy(F.col("word").alias("entry")).agg(F.count(F.lit(1)).alias("score")).where("score >= 3")
     return K.best_prefixes(split, dictionary).select("word", F.col("left").alias("left_part"), F.col("right").alias("right_part"))
+
+
+LATE = "b AS (SELECT min(ts) AS low, max(ts) AS high FROM events), a AS (SELECT ts, floor((epoch_us(ts) - epoch_us(low)) / (epoch_us(high) - epoch_us(low) + 1) * 4) + (event_id % 10 = 0)::INT AS k FROM events, b), m AS (SELECT k, max(ts) AS top FROM a GROUP BY k), e AS (SELECT x.k, max(y.top) - INTERVAL 3 HOUR AS ended FROM m x LEFT JOIN m y ON y.k < x.k GROUP BY x.k), w AS (SELECT k, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS began FROM a), j AS (SELECT began, coalesce(began + INTERVAL 2 HOUR <= ended, false) AS late FROM w JOIN e USING (k))"
+
+
+@query("stream_windows", f"WITH {LATE} SELECT began, sum((NOT late)::INT)::BIGINT AS n, sum(late::INT)::BIGINT AS n_late FROM j GROUP BY began")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-hour windows that begin each hour, from a stream of five arrivals with stragglers; rows too late are counted apart."""
+    from lyrebird.streaming.windows import of_events
+
+    return of_events(spark, sf_dir)
