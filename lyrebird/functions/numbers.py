@@ -28,7 +28,6 @@ IDIOMS = """
 二三其意 无银三百两 八九不离十 百分之百 年三十 烂七八糟 一点一滴 路易十六 九三学社 五四运动 入木三分 九九八十一 三七二十一
 十二五 十三五 十四五 十五五 十六五 十七五 十八五
 """.split()
-EXAMPLES = ["幺九二点幺六八点幺点幺", "三五百人", "五六十", "三四十万", "十五六", "四十五六万", "一百六七", "二零二五年十月", "百分之五十", "三分之二", "十点二十分", "一心一意", "乱七八糟", "几百人", "五比三", "八千克", "两千零五", "没有数字"]
 
 SOME = "[一二两三四五六七八九]"
 NUMBER = "[零一二两三四五六七八九十百千万]"

@@ -1,4 +1,4 @@
-"""Waveform queries; embeddings and a synthetic sine stand in for audio."""
+"""Waveform queries; embeddings stand in for audio."""
 
 from __future__ import annotations
 
@@ -99,21 +99,28 @@ def audio_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(A.normalised(rows, "channels", "sr"), F.col("wav"))
 
 
-def sine(spark: SparkSession) -> DataFrame:
-    """Four tones of a second at 8 kHz."""
-    wave = F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: F.sin(i * (F.col("id") + 1) * 2 * 3.141592653589793 * 110 / 8000))
-    return spark.range(4).select("id", F.lit(8000).alias("sr"), wave.alias("wave"))
+def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as 64 samples at 8 kHz."""
+    return table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.lit(8000).alias("sr"), F.col("embedding").cast("array<double>").alias("wave"))
 
 
-@query("resample_small")
+@query("resample_small", "SELECT vec_id, 2 * len(embedding) AS n FROM embeddings WHERE embedding IS NOT NULL")
 def resample_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tones at twice the rate; the tests compare with the tones themselves."""
-    doubled = sine(spark).select("id", A.resample(F.col("wave"), F.col("sr")).alias("wave"))
-    return doubled.select("id", F.posexplode("wave").alias("i", "v"))
+    """Samples of every vector at twice the rate; the tests compare the samples with tones."""
+    doubled = waves(spark, sf_dir).select("vec_id", A.resample(F.col("wave"), F.col("sr")).alias("wave"))
+    return doubled.select("vec_id", F.size("wave").cast("long").alias("n"))
+
+
+@query("resample_samples")
+def resample_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples themselves, a row each."""
+    doubled = waves(spark, sf_dir).select("vec_id", A.resample(F.col("wave"), F.col("sr")).alias("wave"))
+    return doubled.select("vec_id", F.posexplode("wave").alias("i", "v"))
 
 
 @query("logmel_small")
 def logmel_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of the tones, a row for each filter."""
-    mel = sine(spark).select("id", F.posexplode(A.log_mel(A.resample(F.col("wave"), F.col("sr")))).alias("mel", "v"))
-    return mel.select("id", "mel", F.size("v").alias("frames"), F.round(F.array_max("v"), 6).alias("most"))
+    """Features of every vector said 32 times over, a row for each filter; the tests hold them to a plain transform of a tone."""
+    own = waves(spark, sf_dir).withColumn("wave", F.flatten(F.array_repeat("wave", 32)))
+    mel = own.select("vec_id", F.posexplode(A.log_mel(A.resample(F.col("wave"), F.col("sr")))).alias("mel", "v"))
+    return mel.select("vec_id", "mel", F.size("v").alias("frames"), F.round(F.array_max("v"), 6).alias("most"))

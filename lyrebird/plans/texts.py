@@ -168,9 +168,10 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.table_cell(F.col("text")).alias("cell"))
 
 
-@query("feat_lengths", "SELECT range AS n, (floor((floor((floor((range % 100 - 1) / 2.0) + 1 - 1) / 2.0) + 1 - 1) / 2.0) + 1 + floor(range / 100.0) * 13)::BIGINT AS frames FROM range(5000)")
+@query("feat_lengths", "SELECT doc_id, (floor((floor((floor((n % 100 - 1) / 2.0) + 1 - 1) / 2.0) + 1 - 1) / 2.0) + 1 + floor(n / 100.0) * 13)::BIGINT AS frames FROM (SELECT doc_id, length(text) AS n FROM documents)")
 def feat_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(5000).select(F.col("id").alias("n"), T.feature_length(F.col("id")).cast("long").alias("frames"))
+    """Frames of a clip as long as each text."""
+    return docs(spark, sf_dir).select("doc_id", T.feature_length(F.char_length("text").cast("long")).cast("long").alias("frames"))
 
 
 MEL_SQL = """WITH p AS (SELECT range AS j, (range * (15 + ln(8.0) / (ln(6.4) / 27))) / 129 AS m FROM range(130)), f AS (SELECT j, CASE WHEN m >= 15 THEN 1000 * exp(ln(6.4) / 27 * (m - 15)) ELSE m * 200 / 3 END AS hz FROM p),
@@ -240,17 +241,42 @@ def itn_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", digits(spoken).alias("text"))
 
 
-@query("itn_value_fold", "SELECT range AS n, range AS v FROM range(1, 10000)")
+@query("itn_value_fold", "SELECT o_orderkey, o_orderkey % 9999 + 1 AS v FROM orders")
 def itn_value_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers spelt in Chinese come back as values."""
+    """Numbers made from every order's key, spelt in Chinese, come back as values."""
     from lyrebird.functions.numbers import spelt, value
 
-    return spark.range(1, 10000).select(F.col("id").alias("n"), value(spelt(F.col("id"))).alias("v"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", value(spelt(F.col("o_orderkey") % 9999 + 1)).alias("v"))
 
 
-@query("itn_full")
+@query(
+    "itn_full",
+    "WITH p AS (SELECT o_orderkey AS k, o_orderkey % 8999 + 2 AS n, o_orderkey // 7 % 998 + 2 AS m, o_orderkey // 9 % 23 + 1 AS h, o_orderkey // 5 % 59 + 1 AS s, o_orderkey // 11 % 7 + 2 AS d, o_orderdate AS t FROM orders) SELECT k AS o_orderkey, '订单' || CASE k % 10 "
+    "WHEN 0 THEN n || '米' WHEN 1 THEN n || '%' WHEN 2 THEN n || '/' || m WHEN 3 THEN n || ':' || m WHEN 4 THEN lpad(h::VARCHAR, 2, '0') || ':' || lpad(s::VARCHAR, 2, '0') WHEN 5 THEN year(t) || '年' || month(t) || '月' || day(t) || '日' "
+    "WHEN 6 THEN n || '.' || lpad(s::VARCHAR, 2, '0') WHEN 7 THEN (10000000 + k)::VARCHAR WHEN 8 THEN d * 100 || '~' || (d + 1) * 100 || '人' ELSE n || 'kg' END || '。' AS written FROM p",
+)
 def itn_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole sentences; the expected texts are in the tests."""
-    from lyrebird.functions.numbers import EXAMPLES, normalise
-
-    return spark.createDataFrame([(x,) for x in EXAMPLES], "text string").select("text", normalise(F.col("text")).alias("written"))
+    """A sentence for every order with a number of one of ten kinds made from its key or date, spelt and written as digits again."""
+    from lyrebird.functions.numbers import normalise, spelt
+
+    k = F.col("o_orderkey")
+    part = lambda every, count, least: F.floor(k / every) % count + least
+    spoken = lambda n: F.translate(n.cast("string"), "0123456789", "零一二三四五六七八九")
+    n, m, h, s, d = spelt(k % 8999 + 2), spelt(part(7, 998, 2)), spelt(part(9, 23, 1)), part(5, 59, 1), part(11, 7, 2)
+    date = F.col("o_orderdate")
+    forms = [
+        F.concat(n, F.lit("米")),
+        F.concat(F.lit("百分之"), n),
+        F.concat(m, F.lit("分之"), n),
+        F.concat(n, F.lit("比"), m),
+        F.concat(h, F.lit("点"), spelt(s), F.lit("分")),
+        F.concat(spoken(F.year(date)), F.lit("年"), spelt(F.month(date)), F.lit("月"), spelt(F.day(date)), F.lit("日")),
+        F.concat(n, F.lit("点"), spoken(F.lpad(s.cast("string"), 2, "0"))),
+        spoken(k + 10_000_000),
+        F.concat(spoken(d), spoken(d + 1), F.lit("百人")),
+        F.concat(n, F.lit("千克")),
+    ]
+    chosen = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        chosen = F.when(k % 10 == i, form).otherwise(chosen)
+    return table(spark, sf_dir, "orders").select("o_orderkey", normalise(F.concat(F.lit("订单"), chosen, F.lit("。"))).alias("written"))
