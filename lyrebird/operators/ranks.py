@@ -53,3 +53,18 @@ def quantiles(rows: DataFrame, group: str, value: str, width: float, shares: lis
     found = ordered.select(F.col(group).alias("_g"), F.col("_own").alias("_r"), value).join(ends, F.col("_g").eqNullSafe(F.col("_group")) & (F.col("_r") == F.col("_rank")))
     weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_at") - F.col("_rank")))
     return found.groupBy(F.col("_g").alias(group), "share").agg(F.sum(F.col(value) * weight).alias("quantile"))
+
+
+def sliding_mean(rows: DataFrame, group: list[str], bin_of: Column, order: list[str], value: str, width: int, name: str = "mean", block: int = 1024) -> DataFrame:
+    """rows with the mean of `value` over the row and up to `width` - 1 before it in its group, nulls left out.
+
+    Rows are numbered through bins and cut into blocks; the rows that a block's first ones look back to are copied into it, so
+    a group of any size is spread over tasks and only every block's last `width` - 1 rows are copied.
+    """
+    block = max(block, width)
+    placed = numbered(rows, group, bin_of, [F.col(c) for c in order], "_at").withColumn("_at", F.col("_at") - 1)
+    own = F.floor(F.col("_at") / block)
+    into = F.when(F.col("_at") % block > block - width, F.array(own, own + 1)).otherwise(F.array(own))
+    copied = placed.select("*", own.alias("_own"), F.explode(into).alias("_block"))
+    before = Window.partitionBy(*group, "_block").orderBy("_at").rowsBetween(1 - width, 0)
+    return copied.withColumn(name, F.avg(value).over(before)).where(F.col("_own") == F.col("_block")).select(*[F.col(f"`{c}`") for c in rows.columns], name)

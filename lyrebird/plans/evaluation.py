@@ -33,8 +33,9 @@ def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("perplexity_strided", f"WITH {NLL}, w AS (SELECT vec_id, avg(nll) OVER (PARTITION BY vec_id % 10 ORDER BY vec_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS m FROM n) SELECT vec_id, round(exp(m), 5) AS ppl FROM w")
 def perplexity_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity over a sliding stretch of each sequence; vec_id % 10 stands for the sequence."""
-    window = Window.partitionBy(F.col("vec_id") % 10).orderBy("vec_id").rowsBetween(-15, 0)
-    return nlls(spark, sf_dir).select("vec_id", F.round(F.exp(F.avg("nll").over(window)), 5).alias("ppl"))
+    rows = nlls(spark, sf_dir).select((F.col("vec_id") % 10).alias("sequence"), "vec_id", "nll")
+    means = ranks.sliding_mean(rows, ["sequence"], F.floor(F.col("vec_id") / 10_000), ["vec_id"], "nll", 16)
+    return means.select("vec_id", F.round(F.exp("mean"), 5).alias("ppl"))
 
 
 KL = f"{SOFT}, b AS (SELECT vec_id, tok, ln(p) AS base, x * 0.8 AS y FROM s), c AS (SELECT *, max(y) OVER (PARTITION BY vec_id) AS m FROM b), d AS (SELECT vec_id, tok, base, y - m - ln(sum(exp(y - m)) OVER (PARTITION BY vec_id)) AS other FROM c), k AS (SELECT vec_id, sum(CASE WHEN base > -16 THEN exp(base) * (base - other) ELSE 0 END) AS kl FROM d GROUP BY vec_id)"

