@@ -252,7 +252,7 @@ def itn_value_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "itn_full",
     "WITH p AS (SELECT o_orderkey AS k, o_orderkey % 8999 + 2 AS n, o_orderkey // 7 % 998 + 2 AS m, o_orderkey // 9 % 23 + 1 AS h, o_orderkey // 5 % 59 + 1 AS s, o_orderkey // 11 % 7 + 2 AS d, o_orderdate AS t FROM orders) SELECT k AS o_orderkey, '订单' || CASE k % 10 "
-    "WHEN 0 THEN n || '米' WHEN 1 THEN n || '%' WHEN 2 THEN n || '/' || m WHEN 3 THEN n || ':' || m WHEN 4 THEN lpad(h::VARCHAR, 2, '0') || ':' || lpad(s::VARCHAR, 2, '0') WHEN 5 THEN year(t) || '年' || month(t) || '月' || day(t) || '日' "
+    "WHEN 0 THEN n || '人' WHEN 1 THEN n || '%' WHEN 2 THEN n || '/' || m WHEN 3 THEN n || ':' || m WHEN 4 THEN lpad(h::VARCHAR, 2, '0') || ':' || lpad(s::VARCHAR, 2, '0') WHEN 5 THEN year(t) || '年' || month(t) || '月' || day(t) || '日' "
     "WHEN 6 THEN n || '.' || lpad(s::VARCHAR, 2, '0') WHEN 7 THEN CASE WHEN (10000000 + k)::VARCHAR LIKE '%7788%' THEN translate((10000000 + k)::VARCHAR, '0123456789', '零一二三四五六七八九') ELSE (10000000 + k)::VARCHAR END WHEN 8 THEN d * 100 || '~' || (d + 1) * 100 || '人' ELSE n || 'kg' END || '。' AS written FROM p",
 )
 def itn_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +265,7 @@ def itn_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, m, h, s, d = spelt(k % 8999 + 2), spelt(part(7, 998, 2)), spelt(part(9, 23, 1)), part(5, 59, 1), part(11, 7, 2)
     date = F.col("o_orderdate")
     forms = [
-        F.concat(n, F.lit("米")),
+        F.concat(n, F.lit("人")),
         F.concat(F.lit("百分之"), n),
         F.concat(m, F.lit("分之"), n),
         F.concat(n, F.lit("比"), m),
