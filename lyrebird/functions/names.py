@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import codecs
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,15 +94,56 @@ def sliding(rows: DataFrame, time: str, width: str, step: str) -> DataFrame:
     return rows.groupBy(F.window(time, width, step).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
 
 
+def _shown(row: pa.ListScalar) -> list[str]:
+    """The pieces of one row, decoded one after another."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    return [*(decoder.decode(p or b"") for p in row.as_py()), decoder.decode(b"", final=True)]
+
+
+def shown_of(rows: pa.ListArray) -> pa.ListArray:
+    """`shown_pieces` of a batch: pieces of sound rows are cut anew at the last whole character, only others are decoded piece by piece."""
+    lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rows.flatten()
+    raw = b"".join(flat.fill_null(b"").to_pylist()) if flat.null_count else None
+    sizes = pc.binary_length(flat).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if raw is None:
+        begin = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset] if len(flat) else 0
+        raw = flat.buffers()[2].to_pybytes()[begin : begin + int(sizes.sum())] if len(flat) and flat.buffers()[2] else b""
+    ends = np.cumsum(sizes)
+    last = np.cumsum(lengths)
+    tops = np.append(0, ends)[last]
+    starts = np.append(0, tops[:-1])
+    sound = np.ones(len(rows), dtype=bool)
+    for i, (a, b) in enumerate(zip(starts.tolist(), tops.tolist(), strict=True)):
+        try:
+            raw[a:b].decode("utf-8")
+        except UnicodeDecodeError:
+            sound[i] = False
+    offsets = np.append(0, np.cumsum(lengths + ~rows.is_null().to_numpy(zero_copy_only=False)))  # a row's pieces, and what was held at the end
+    if sound.all():
+        held = np.append(np.frombuffer(raw, dtype=np.uint8), np.uint8(0))
+        cut = ends.copy()
+        for _ in range(3):
+            cut -= (held[cut] & 0xC0) == 0x80
+        whole = np.insert(cut, last[~rows.is_null().to_numpy(zero_copy_only=False)], tops[~rows.is_null().to_numpy(zero_copy_only=False)])
+        texts = pa.StringArray.from_buffers(len(whole), pa.py_buffer(np.append(0, whole).astype(np.int32).tobytes()), pa.py_buffer(raw))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts, mask=rows.is_null())
+    if len(rows) > 1:
+        return pa.concat_arrays([shown_of(pa.concat_arrays([rows.slice(a, b - a)])) for a, b in zip(*_runs(sound), strict=True)])
+    return pa.array([_shown(rows[0])], pa.list_(pa.string()))
+
+
+def _runs(sound: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where stretches of sound rows, and single others, begin and end."""
+    cuts = np.flatnonzero(~(sound[1:] & sound[:-1])) + 1
+    return [0, *cuts.tolist()], [*cuts.tolist(), len(sound)]
+
+
 def shown_pieces(pieces: Column) -> Column:
     """What an incremental UTF-8 decoder shows for each piece of bytes, and at the end for what it held; wrong bytes show as U+FFFD."""
 
-    @F.pandas_udf("array<string>")
-    def run(rows: pd.Series) -> pd.Series:
-        def one(own: list) -> list[str]:
-            decoder = codecs.getincrementaldecoder("utf-8")("replace")
-            return [*(decoder.decode(p or b"") for p in own), decoder.decode(b"", final=True)]
-
-        return rows.map(lambda r: one(list(r)), na_action="ignore")
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
+        return shown_of(rows)
 
     return run(pieces)

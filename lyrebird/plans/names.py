@@ -163,9 +163,10 @@ def correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoded_pieces(text: Column) -> Column:
     """Pieces of three bytes of a text, as a token stream would bring them."""
-    raw = F.encode(text, "UTF-8")
     n = F.ceil(F.octet_length(text) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, i * 3 + 1, F.lit(3))))
+    # bound to a variable: within the inner function the bytes would be made anew for each piece
+    cut = F.transform(F.array(F.encode(text, "UTF-8")), lambda raw: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, i * 3 + 1, F.lit(3))))
+    return F.when(n > 0, cut[0])
 
 
 @query("incremental_text", "SELECT doc_id, text AS shown, 0 AS held FROM documents WHERE length(text) > 0")

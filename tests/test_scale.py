@@ -32,3 +32,21 @@ def test_cosine_nearest_matches_brute_force(spark, monkeypatch):
         assert [i for i, _ in got[q]] == order
         assert all(math.isclose(v, c[i], abs_tol=1e-12) for i, v in got[q])
     assert [(i, c) for i, c in got[150]] == [(7, 0.0), (100, 0.0), (0, None), (1, None), (2, None)]
+
+
+def test_long_texts_are_encoded_once(spark):
+    import pyarrow as pa
+
+    from lyrebird.functions.names import _shown, shown_of
+    from lyrebird.plans.names import decoded_pieces
+
+    raw = "aé漢😀b".encode()
+    own = [[raw[i : i + k] for i in range(0, len(raw), k)] for k in range(1, 6)]
+    own += [None, [], [b"ab", None, b"\xe6\xbc"], [b"\xff", b"x"], [b"\xc3", b"\xa9"], [b"ok"]]
+    rows = pa.array(own, pa.list_(pa.binary()))
+    expected = [None if r is None else _shown(s) for r, s in zip(own, rows, strict=True)]
+    assert shown_of(rows).to_pylist() == expected
+    assert shown_of(rows.slice(2, 4)).to_pylist() == expected[2:6]
+    made = spark.createDataFrame([("é" * 7,), ("",), (None,)], "text string").select(decoded_pieces(F.col("text")).alias("p"))
+    assert [r.p if r.p is None else b"".join(map(bytes, r.p)).decode() for r in made.collect()] == ["é" * 7, None, None]
+    assert "transform(array(" in plan(made)  # made once a text, outside the function of a piece
