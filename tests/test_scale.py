@@ -50,3 +50,26 @@ def test_long_texts_are_encoded_once(spark):
     made = spark.createDataFrame([("é" * 7,), ("",), (None,)], "text string").select(decoded_pieces(F.col("text")).alias("p"))
     assert [r.p if r.p is None else b"".join(map(bytes, r.p)).decode() for r in made.collect()] == ["é" * 7, None, None]
     assert "transform(array(" in plan(made)  # made once a text, outside the function of a piece
+
+
+def seconds(df) -> float:
+    import time
+
+    began = time.time()
+    df.write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_normalised_waves_take_linear_time(spark):
+    from lyrebird.functions import audio as A
+
+    wave = F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: (i % 7 - 3).cast("double"))
+    rows = spark.range(1, numPartitions=1).select(F.lit(16000).alias("sr"), F.array(wave, F.reverse(wave)).alias("channels"))
+    out = A.normalised(rows, "channels", "sr").select("wav")
+    found = out.first().wav
+    w = [i % 7 - 3 for i in range(1, 3001)]
+    mono = [(x + y) / 2 for x, y in zip(w, w[::-1], strict=True)]
+    peak = max(1, *map(abs, mono))
+    assert found == [v / peak for v in mono]
+    assert seconds(out) < 5  # with the peak found for each sample, and the channels made for each, it takes minutes
+    assert A and spark.sql("SELECT CAST(NULL AS array<double>) AS w").select(A.into_range(F.col("w")).alias("r")).first().r is None
