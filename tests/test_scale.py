@@ -73,3 +73,17 @@ def test_normalised_waves_take_linear_time(spark):
     assert found == [v / peak for v in mono]
     assert seconds(out) < 5  # with the peak found for each sample, and the channels made for each, it takes minutes
     assert A and spark.sql("SELECT CAST(NULL AS array<double>) AS w").select(A.into_range(F.col("w")).alias("r")).first().r is None
+
+
+def test_norms_take_linear_time(spark):
+    from lyrebird.functions import vectors as V
+
+    a = F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda i: (i % 5 - 2).cast("double"))
+    rows = spark.range(1, numPartitions=1).select(a.alias("a"))
+    for make in (V.layer_norm, V.rms_norm, V.l2_norm, V.softmax, lambda c: V.normalise(c, 2), lambda c: V.group_norm(c, 10000)):
+        assert seconds(rows.select(make(F.col("a")).alias("v"))) < 8  # 400 million steps where a sum is formed for each element
+    x = [i % 5 - 2 for i in range(1, 20001)]
+    mean = sum(x) / len(x)
+    scale = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x) + 1e-5)
+    found = rows.select(V.layer_norm(F.col("a")).alias("v")).first().v
+    assert all(math.isclose(v, (w - mean) / scale, abs_tol=1e-9) for v, w in zip(found, x, strict=True))
