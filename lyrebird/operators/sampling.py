@@ -6,9 +6,12 @@ work by windows over one step, whose candidates are a vocabulary at most; ties g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType
@@ -241,6 +244,26 @@ def merged_by_prefix(pieces: list[str], p: list[float | None]) -> list[float | N
     return p
 
 
+def _whole_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches of rows in order of KEY as tables that end where a step ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(KEY).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        cuts = np.flatnonzero(key[1:] != key[:-1])
+        if held and held[-1].column(KEY)[-1] != batch.column(KEY)[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(cuts):
+            end = int(cuts[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, end)])
+            held, batch = [], batch.slice(end)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def infill(rows: DataFrame, end: int, threshold: float = 0.2) -> DataFrame:
     """(step, tok, p) of candidates with `piece` and `eog` (ends the text), for filling a gap.
 
@@ -249,20 +272,31 @@ def infill(rows: DataFrame, end: int, threshold: float = 0.2) -> DataFrame:
     number of those left plus one, go; ending ones stay. Where no text is left, `end` alone remains, with p 1. Ending
     candidates, null and empty pieces are not merged. A step's candidates, a vocabulary at most, are merged in one task.
     """
-    p = softmax(rows.select(KEY, TOK, X, F.coalesce("eog", F.lit(False)).alias("eog"), F.coalesce("piece", F.lit("")).alias("piece")))
+    # dealt by step, so that a step's rows stay in one task through the windows and follow each other there
+    p = softmax(rows.repartition(KEY).select(KEY, TOK, X, F.coalesce("eog", F.lit(False)).alias("eog"), F.coalesce("piece", F.lit("")).alias("piece")))
     ending = F.sum(F.when(F.col("eog"), F.col("p")).otherwise(0.0)).over(_step())
     text = F.sum(F.when(F.col("eog"), 0.0).otherwise(F.col("p"))).over(_step())
     ended = p.withColumn("stop", 3 * ending * F.count(F.lit(1)).over(_step()) > text)
 
-    def merge(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([X, TOK], ascending=[False, True], ignore_index=True)
-        if not own["stop"].iloc[0]:
-            live = [float(v) if x > float("-inf") else None for v, x in zip(own["p"], own[X])]
-            own["p"] = [v or 0.0 for v in merged_by_prefix(["" if e else s for e, s in zip(own["eog"], own["piece"])], live)]
-        return own[[KEY, TOK, "p", "eog", "stop"]]
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _whole_steps(batches):
+            key = own.column(KEY).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            step = np.append(0, np.cumsum(key[1:] != key[:-1])) if len(key) else key
+            x = own.column(X).to_numpy()
+            own = own.take(pa.array(np.lexsort((own.column(TOK).to_numpy(), -x, step))))  # steps keep their places
+            pieces = np.array(own.column("piece").to_pylist(), dtype=object)
+            pieces[own.column("eog").to_numpy()] = ""
+            p, x, stop = own.column("p").to_numpy().copy(), own.column(X).to_numpy(), own.column("stop").to_numpy()
+            cuts = [*np.flatnonzero(np.append(True, step[1:] != step[:-1])).tolist(), len(step)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if not stop[a]:
+                    live = [v if y > float("-inf") else None for v, y in zip(p[a:b].tolist(), x[a:b].tolist(), strict=True)]
+                    p[a:b] = [v or 0.0 for v in merged_by_prefix(pieces[a:b].tolist(), live)]
+            yield from own.set_column(own.column_names.index("p"), "p", pa.array(p)).select([KEY, TOK, "p", "eog", "stop"]).to_batches()
 
     schema = f"{KEY} {rows.schema[KEY].dataType.simpleString()}, {TOK} {rows.schema[TOK].dataType.simpleString()}, p double, eog boolean, stop boolean"
-    kept = ended.groupBy(KEY).applyInPandas(merge, schema).where(F.when(F.col("stop"), F.col("eog")).otherwise(F.col("eog") | (F.col("p") >= threshold)))
+    merged = ended.select(KEY, TOK, X, "p", "eog", "piece", "stop").sortWithinPartitions(KEY).mapInArrow(merge, schema)
+    kept = merged.where(F.when(F.col("stop"), F.col("eog")).otherwise(F.col("eog") | (F.col("p") >= threshold)))
     left = F.sum((~F.col("eog")).cast("int")).over(_step())
     shared = kept.withColumns({"left": left, "p": F.col("p") / F.sum("p").over(_step())}).where("stop or left = 0 or eog or p >= 1 / (left + 1)")
     again = shared.withColumn("p", F.col("p") / F.sum("p").over(_step()))

@@ -87,3 +87,44 @@ def test_norms_take_linear_time(spark):
     scale = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x) + 1e-5)
     found = rows.select(V.layer_norm(F.col("a")).alias("v")).first().v
     assert all(math.isclose(v, (w - mean) / scale, abs_tol=1e-9) for v, w in zip(found, x, strict=True))
+
+
+def test_batches_of_waves_and_items_are_bounded(spark, tmp_path):
+    from lyrebird.plans import audio, segments
+
+    rows = [(i, i % 7, [0.1] * 64) for i in range(1000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, 0, "user", "one two") for i in range(1000)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+
+    @F.pandas_udf("long")
+    def batch(v):
+        return v * 0 + len(v)
+
+    for make, key in ((audio.waves, "vec_id"), (segments.items, "conv_id")):
+        assert make(spark, str(tmp_path)).select(batch(F.col(key)).alias("n")).agg(F.max("n")).first()[0] <= 128
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_steps_of_a_gap_are_merged_many_at_a_time(spark):
+    from lyrebird.operators import sampling as S
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # steps lie across batches
+    data = [(step, tok, (tok * 37 + step * 11) % 19 / 3.0, bin(tok + 1)[2:], tok == 9) for step in range(12) for tok in range(10)]
+    rows = spark.createDataFrame(data, "vec_id long, tok int, x double, piece string, eog boolean")
+    found = S.infill(rows, 9, 0.05)
+    assert "FlatMapGroups" not in plan(found)  # a call for each step
+    got = {(r.vec_id, r.tok): r.p for r in found.collect()}
+    for step in range(12):
+        own = sorted((r for r in data if r[0] == step), key=lambda r: (-r[2], r[1]))
+        total = sum(math.exp(r[2]) for r in own)
+        p = [math.exp(r[2]) / total for r in own]
+        ending = sum(v for v, r in zip(p, own, strict=True) if r[4])
+        if 3 * ending * len(own) > 1 - ending:
+            continue
+        p = S.merged_by_prefix(["" if r[4] else r[3] for r in own], p)
+        left = [(r[1], v or 0.0, r[4]) for v, r in zip(p, own, strict=True) if r[4] or (v or 0.0) >= 0.05]
+        n, total = sum(not e for _, _, e in left), sum(v for _, v, _ in left)
+        left = [(t, v / total) for t, v, e in left if e or v / total >= 1 / (n + 1)]
+        total = sum(v for _, v in left)
+        assert all(math.isclose(got[(own[0][0], t)], v / total) for t, v in left) if n else got[(own[0][0], 9)] == 1.0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
