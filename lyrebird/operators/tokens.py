@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,22 +56,72 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
+def _prefixes(rows: DataFrame, key: str, tokens: str, lengths: Column) -> DataFrame:
+    """(key, n, own, len, h): the hashes h of a sequence's first `len` tokens, for each of the lengths up to its first null; own is that of the longest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, asked = batch.column(1), batch.column(2)
+            sizes, counts = (c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (hashes, asked))
+            flat = hashes.flatten()
+            start = np.cumsum(sizes) - sizes
+            place = (np.arange(len(flat)) - np.repeat(start, sizes)).astype(np.uint64)
+            x = flat.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            for by, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(by))) * np.uint64(factor)
+            sums = np.append(np.uint64(0), np.cumsum(x ^ (x >> np.uint64(31)), dtype=np.uint64))
+            nulls = np.append(0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False)))
+            row = np.repeat(np.arange(len(sizes)), counts)
+            length = asked.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            fits = length <= sizes[row]
+            row, length = row[fits], length[fits]
+            known = nulls[start[row] + length] == nulls[start[row]]
+            row, length = row[known], length[known]
+            h = sums[start[row] + length] - sums[start[row]]
+            own = sums[start[row] + sizes[row]] - sums[start[row]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(sizes[row]), pa.array(own.view(np.int64)), pa.array(length.astype(np.int32)), pa.array(h.view(np.int64))], [key, "n", "own", "len", "h"])
+
+    hashed = F.transform(tokens, lambda t: F.when(t.isNotNull(), F.xxhash64(t)))
+    return rows.select(key, hashed.alias("t"), lengths.cast("array<int>").alias("lengths")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, n long, own long, len int, h long")
+
+
+def _powers(size: Column, least: Column) -> Column:
+    """The powers of two from the last one up to `least` to the last one up to `size`."""
+    return F.transform(F.sequence(F.floor(F.log2(least)).cast("int"), F.floor(F.log2(size)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+
 def best_slot(requests: DataFrame, slots: DataFrame, least: float) -> DataFrame:
     """For requests (req, tokens) the slot (slot, cached) with the longest common prefix, where it covers the share `least` of the request.
 
-    A slot that matches shares the first `least` of the request's tokens, so slots are listed under their
-    prefixes of 1, 2, 4, ... tokens, and a request looks under the longest such prefix that it needs.
-    Slots with equal tokens are one class, with its two smallest slots; a request never gets its own.
+    Of slots that share as much the smallest wins; a request never gets its own. Slots are listed under the hashes of
+    their prefixes of 1, 2, 4, ... tokens. The longest of these that a request shares with another slot brackets the
+    common prefix, and only in such brackets slots are listed under all lengths. So lists hold a number and
+    an id, no tokens, and no pairs of a list are formed. Prefixes are equal where length and 64-bit hash are.
     """
-    grouped = slots.groupBy("cached").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
-    after = slots.join(grouped.where("first < last").select("cached", "first"), "cached").where("slot > first").groupBy("cached").agg(F.min("slot").alias("second"))
-    classes = grouped.join(after, "cached", "left").select("cached", "first", "second")
-    powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.size("cached"))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
-    listed = classes.where(F.size("cached") > 0).select("*", F.explode(powers).alias("k")).withColumn("h", F.xxhash64("k", F.slice("cached", F.lit(1), F.col("k"))))
+    slots, requests = slots.where("slot is not null and size(cached) > 0"), requests.where("req is not null and size(tokens) > 0")
+    listed = _prefixes(slots, "slot", "cached", _powers(F.size("cached"), F.lit(1))).select("slot", "len", "h")
     needed = F.least(F.size("tokens"), F.floor(F.size("tokens") * least).cast("int") + 1)
-    asked = requests.where(F.size("tokens") > 0).withColumn("k", F.pow(F.lit(2), F.floor(F.log2(needed))).cast("int")).withColumn("h", F.xxhash64("k", F.slice("tokens", F.lit(1), F.col("k"))))
-    joined = asked.select("req", "tokens", "h").join(listed.select("cached", "first", "second", "h"), "h").withColumn("slot", F.when(F.col("first") != F.col("req"), F.col("first")).otherwise(F.col("second"))).where("slot is not null")
-    scored = joined.withColumn("share", common_prefix(F.col("tokens"), F.col("cached")) / F.size("tokens")).where(F.col("share") > least)
+    asked = _prefixes(requests, "req", "tokens", _powers(F.size("tokens"), needed))
+
+    def shared(asks: DataFrame, lists: DataFrame) -> DataFrame:
+        """The longest of each request's prefixes that another slot has, and the smallest slot that has it."""
+        groups = lists.groupBy("len", "h").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
+        met = asks.join(groups, ["len", "h"]).where("first != req or last != req")
+        return met.groupBy("req", "n", "own").agg(F.max_by(F.struct("len", "h", "first"), "len").alias("p")).select("req", "n", "own", "p.*")
+
+    low = shared(asked, listed)
+    between = lambda lens: F.flatten(F.transform(lens, lambda k: F.sequence(k + 1, 2 * k - 1)))
+    opened = low.where("len > 1").select("len", "h").distinct()
+    spans = listed.join(opened, ["len", "h"]).groupBy("slot").agg(F.collect_set("len").alias("lens"))
+    within = _prefixes(slots.join(spans, "slot"), "slot", "cached", between(F.col("lens"))).select("slot", "len", "h")
+    asking = requests.join(low.where("len > 1").groupBy("req").agg(F.collect_set("len").alias("lens")), "req")
+    high = shared(_prefixes(asking, "req", "tokens", between(F.col("lens"))), within)
+    best = low.union(high).groupBy("req", "n", "own").agg(F.max_by(F.struct("len", "h", "first"), "len").alias("p")).select("req", "n", "p.*")
+    enough = best.withColumn("share", F.col("len") / F.col("n")).where(F.col("share") > least)
+    # a prefix's smallest slot is asked for its second one
+    first = enough.where("first = req").select("len", "h", "req", "share")
+    second = first.join(listed.union(within), ["len", "h"]).where("slot != req").groupBy("req", "share").agg(F.min("slot").alias("slot"))
+    scored = enough.where("first != req").select("req", "share", F.col("first").alias("slot")).unionByName(second)
     return scored.groupBy("req").agg(F.max_by("slot", F.struct(F.col("share"), (-F.col("slot")).alias("s"))).alias("slot"), F.max("share").alias("share"))
 
 

@@ -128,3 +128,24 @@ def test_steps_of_a_gap_are_merged_many_at_a_time(spark):
         total = sum(v for _, v in left)
         assert all(math.isclose(got[(own[0][0], t)], v / total) for t, v in left) if n else got[(own[0][0], 9)] == 1.0
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_slots_are_found_without_their_tokens(spark):
+    import random
+
+    from lyrebird.operators import tokens as K
+
+    draw = random.Random(5)
+    texts = [[draw.choice("ab") for _ in range(draw.randint(1, 40))] for _ in range(120)]
+    texts += [texts[i][: draw.randint(1, 30)] + ["c"] * draw.randint(0, 9) for i in range(60)] + [texts[0]] * 3 + [[]]
+    split = spark.createDataFrame(list(enumerate(texts)), "i long, t array<string>").repartition(3)
+    found = K.best_slot(split.select(F.col("i").alias("req"), F.col("t").alias("tokens")), split.select(F.col("i").alias("slot"), F.col("t").alias("cached")), 0.1)
+    got = {r.req: (r.slot, r.share) for r in found.collect()}
+    expected = {}
+    for i, x in enumerate(texts):
+        best = max(((sum(1 for _ in __import__("itertools").takewhile(lambda p: p[0] == p[1], zip(x, y))), -j) for j, y in enumerate(texts) if j != i), default=(0, 0))
+        if x and best[0] / len(x) > 0.1:
+            expected[i] = (-best[1], best[0] / len(x))
+    assert got == expected
+    text = plan(found)
+    assert not any("tokens" in line or "cached" in line for line in text.splitlines() if "Sort [" in line and "h#" in line)  # lists hold hashes and ids only
