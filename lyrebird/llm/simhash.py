@@ -177,7 +177,8 @@ def similar_components(distinct: DataFrame, docs: DataFrame, rows: DataFrame, wi
     def may_be(a: Column, b: Column) -> Column:
         return similar_sizes(a, b, percent) & similar_parity(a, b, percent) & (distance(a["m0"], b["m0"]) + distance(a["m1"], b["m1"]) <= most_bits)
 
-    members = distinct.select(F.explode("bands").alias("key"), F.struct(F.col("fp").alias("node"), "n", *SKETCH).alias("x"))
+    spread = distinct.select("fp", "n", *SKETCH, F.posexplode("bands").alias("at", "key"))
+    members = spread.select("key", F.struct(F.col("fp").alias("node"), "n", "at", *SKETCH).alias("x"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     lists = written(members.join(shared, "key"))
     nodes = written(lists.select("x.node").distinct())

@@ -7,7 +7,9 @@ list is never expanded into all its pairs:
 1. in each list that mixes components, every node meets HEADS nodes of the list, the same ones in
    most lists of a group, in ROUNDS rounds; later rounds meet the list's largest component only;
 2. then the nodes outside a list's largest component meet all nodes of other components, dealt in
-   chunks of CHUNK of them. Pairs that the filters discard never become rows.
+   chunks of CHUNK of them. Pairs that the filters discard never become rows, and similar nodes, which
+   share most of their lists, become a row in the first list they share, not in each: a node
+   knows the first EARLY of its lists, and a pair that has met in one of these is passed over.
 
 A list of k nodes of which u stay outside takes k * HEADS * ROUNDS + k * u looks at two sizes and 256
 bits each, and what passes is verified once on the sets. Nothing is capped.
@@ -26,6 +28,8 @@ from lyrebird.llm.common import components, may_hold, pack_filter, small_batches
 from lyrebird.llm.substrings import BASE_1, _Hashes, mixed, rolled
 
 HEADS, ROUNDS, CHUNK = 2, 2, 1000
+#: Lists of a node, the first in its order, that tell whether a pair has met before.
+EARLY = 8
 #: Nodes whose rows a task remembers, so as to send each once.
 SEEN = 1 << 18
 
@@ -113,11 +117,28 @@ def _ordered(met: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def met_once(rows: DataFrame, admits: Admits) -> DataFrame:
+    """(x, y): the nodes outside their list's largest part and those of other parts that `admits` lets pass; rows: key, x, part, top, outside.
+
+    Where both have an earlier list in common, they are left to that one: it is open too, as their parts differ.
+    """
+    chunks = F.ceil(F.col("outside") / CHUNK).cast("int")
+    order = rows.groupBy(F.col("x.node").alias("_node")).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("x.at").alias("at"), "key"))), 1, EARLY).alias("f"))
+    own = rows.join(order.select("_node", F.col("f.key").alias("first")), F.col("x.node") == F.col("_node"))
+    place = F.array_position("first", F.col("key")).cast("int")
+    own = own.withColumn("early", F.when(place > 0, F.slice("first", F.lit(1), place - 1)).otherwise(F.col("first")))
+    left = own.where("part != top").select("key", F.pmod(F.xxhash64("x.node"), chunks).cast("int").alias("chunk"), "x", "part", "early")
+    right = own.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.col("x").alias("y"), F.col("part").alias("other"), (F.col("part") == F.col("top")).alias("inside"), F.col("early").alias("early_y"))
+    # of two that are both outside the smaller one asks
+    asks = F.col("inside") | (F.col("x.node") < F.col("y.node"))
+    return left.join(right, ["key", "chunk"]).where("part != other").where(asks & admits(F.col("x"), F.col("y")) & ~F.arrays_overlap("early", "early_y")).select("x", "y")
+
+
 def linked(lists: DataFrame, admits: Admits, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """(node, component) of nodes with links, and the links (a, b) that were verified, None where no list has two nodes.
 
-    lists: key, x, where x is a struct of node and what `admits` needs of it; `admits` says of two such
-    structs whether they may be similar.
+    lists: key, x, where x is a struct of node, `at` and what `admits` needs of it; `admits` says of two such
+    structs whether they may be similar. By `at` a node's lists have the same order as those of any other node.
     """
     found, links, tried = None, None, None
     for turn in range(ROUNDS + 1):
@@ -141,10 +162,7 @@ def linked(lists: DataFrame, admits: Admits, sets: DataFrame, percent: int) -> t
             met = rows.join(ends, "key").select("x", "part", F.explode("heads").alias("head")).select("x", "part", F.col("head.x").alias("y"), F.col("head.part").alias("other"))
             met = met.where("part != other").where(admits(F.col("x"), F.col("y")))
         else:
-            chunks = F.ceil(F.col("outside") / CHUNK).cast("int")
-            left = rows.where(outside).select("key", F.pmod(F.xxhash64("x.node"), chunks).cast("int").alias("chunk"), "x", "part")
-            right = rows.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.col("x").alias("y"), F.col("part").alias("other"))
-            met = left.join(right, ["key", "chunk"]).where("part != other").where(admits(F.col("x"), F.col("y")))
+            met = met_once(rows, admits)
         pairs = _ordered(met)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():

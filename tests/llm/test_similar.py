@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from lyrebird.llm import simhash
+from lyrebird.llm import simhash, similar
 
 
 def words_of(text):
@@ -70,3 +70,19 @@ def test_minhash_agreement_follows_similarity():
     x = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
     a, b = simhash.minhashes(x[:3600]), simhash.minhashes(x[400:])
     assert abs((a == b).mean() - 0.8) < 0.12
+
+
+def test_a_pair_meets_in_one_of_its_lists(spark, monkeypatch):
+    """Unlinked nodes that share many lists: a row a pair, not one for each list; no pair is lost."""
+    monkeypatch.setattr(similar, "CHUNK", 7)
+    rng = random.Random(6)
+    held = {i: sorted(rng.sample(range(30), 24 if i < 40 else 2)) for i in range(50)}
+    sizes = {k: sum(k in keys for keys in held.values()) for k in range(30)}
+    data = [(k, (i, k), i, 3, sizes[k] - (3 in held and k in held[3])) for i, keys in held.items() for k in keys]
+    rows = spark.createDataFrame(data, "key long, x struct<node: long, at: long>, part long, top long, outside long").repartition(3)
+    met = [tuple(sorted((r.x.node, r.y.node))) for r in similar.met_once(rows, lambda a, b: a["at"] == b["at"]).collect()]
+    assert set(met) == {(i, j) for i, j in combinations(range(50), 2) if set(held[i]) & set(held[j])}
+    dense = [p for p in met if p[1] < 40]
+    assert len(dense) == len(set(dense))
+    first = similar.met_once(rows, lambda a, b: a["at"] == b["at"]).selectExpr("least(x.node, y.node) a", "greatest(x.node, y.node) b", "x.at").groupBy("a", "b").min("at").collect()
+    assert all(r[2] == min(set(held[r.a]) & set(held[r.b])) for r in first)  # where filters by place hold
