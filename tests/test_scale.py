@@ -149,3 +149,13 @@ def test_slots_are_found_without_their_tokens(spark):
     assert got == expected
     text = plan(found)
     assert not any("tokens" in line or "cached" in line for line in text.splitlines() if "Sort [" in line and "h#" in line)  # lists hold hashes and ids only
+
+
+def test_repeated_patterns_do_not_look_ahead_everywhere(spark):
+    from lyrebird.functions import text as T
+
+    texts = [p * n + e for p in ("a", "ab", "a\nb😀", "x" * 9 + "y" * 11, "z" * 10 + "y" * 11) for n in (1, 19, 20, 21, 39, 40) for e in ("", "tail", "a" * 20 + "end")]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    made = rows.select(T.collapse_patterns(F.col("text")).alias("new"), F.regexp_replace("text", r"(?s)(?=.{40})(.{1,20}?)\1{19,}", "$1").alias("plain"))
+    assert all(r.new == r.plain for r in made.collect())
+    assert "(?s)(?=" not in str(T.collapse_patterns(F.col("text")))
