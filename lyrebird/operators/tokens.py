@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lyrebird.operators.ranks import numbered
 
+#: Bytes of text whose n-grams make one partition, and whose n-grams are counted at a time in a task.
+PART_BYTES, HELD_BYTES = 2 << 20, 4 << 20
+
 
 def ngrams(tokens: DataFrame, key: str, order: str, token: str, least: int, most: int) -> DataFrame:
     """(n, gram, next): each run of n tokens of a sequence and the token after it."""
@@ -30,21 +34,66 @@ def array_ngrams(rows: DataFrame, tokens: str, least: int, most: int) -> DataFra
     return places.select("next", F.explode(grams).alias("g")).where("g.whole").select("g.n", "g.gram", "next")
 
 
+def parts_of(texts: DataFrame, text: str) -> int:
+    """Partitions for the n-grams of texts, one for each PART_BYTES."""
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, -(-size // PART_BYTES))
+
+
+def _counted(texts: pa.StringArray, least: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of texts, by numbers of words; a run of n words has a number too, so that longer ones are pairs of numbers."""
+    words = pc.split_pattern(texts, " ")
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    names, word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    run, spelt, v = word, names, max(1, len(names))
+    for n in range(1, most + 1):
+        at = np.flatnonzero(place >= n)
+        pairs = pa.array(run[at - 1] * v + word[at]).dictionary_encode()
+        found, which = pairs.dictionary.to_numpy(zero_copy_only=False), pairs.indices.to_numpy(zero_copy_only=False)
+        gram, following = spelt.take(pa.array(found // v)), names.take(pa.array(found % v))
+        if n >= least:
+            times = np.bincount(which, minlength=len(found)).astype(np.int64)
+            counts = pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), gram, following, pa.array(times)], ["n", "gram", "next", "times"])
+            yield from (counts.slice(k, 50_000) for k in range(0, len(found), 50_000))
+        run = np.full(len(word), -1)
+        run[at], spelt = which, pc.binary_join_element_wise(gram, following, " ")
+
+
+def text_ngrams(texts: DataFrame, text: str, least: int, most: int) -> DataFrame:
+    """(n, gram, next, times): the n-grams of texts split at each space, counted a few megabytes at a time; `merge_counts` adds these counts up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                held.append(batch.column(0).slice(k, 100).drop_null())
+                size += held[-1].nbytes
+                if size >= HELD_BYTES:
+                    yield from _counted(pa.concat_arrays(held), least, most)
+                    held, size = [], 0
+        if held:
+            yield from _counted(pa.concat_arrays(held), least, most)
+
+    return texts.select(F.col(text).cast("string")).mapInArrow(run, "n int, gram string, next string, times long")
+
+
 def count_ngrams(grams: DataFrame) -> DataFrame:
     return grams.groupBy("n", "gram", "next").agg(F.count(F.lit(1)).alias("times"))
 
 
-def merge_counts(*caches: DataFrame) -> DataFrame:
-    """Caches added up."""
+def merge_counts(parts: int, *caches: DataFrame) -> DataFrame:
+    """Caches added up, in so many partitions: nearly all n-grams are rare, so adding up before they are dealt would only fill memory."""
     union = caches[0]
     for cache in caches[1:]:
         union = union.unionByName(cache)
-    return union.groupBy("n", "gram", "next").agg(F.sum("times").alias("times"))
+    return union.repartition(parts, "n", "gram", "next").groupBy("n", "gram", "next").agg(F.sum("times").alias("times"))
 
 
-def drafts(counts: DataFrame, least: list[int], percent: list[int]) -> DataFrame:
+def drafts(counts: DataFrame, parts: int, least: list[int], percent: list[int]) -> DataFrame:
     """(n, gram, draft): the commonest next token where a gram occurs often and points clearly enough; thresholds by n from 1."""
-    best = counts.groupBy("n", "gram").agg(F.max_by("next", F.struct("times", "next")).alias("draft"), F.max("times").alias("top"), F.sum("times").alias("total"))
+    best = counts.repartition(parts, "n", "gram").groupBy("n", "gram").agg(F.max_by("next", F.struct("times", "next")).alias("draft"), F.max("times").alias("top"), F.sum("times").alias("total"))
     n = F.col("n")
     return best.where((F.col("total") >= F.array(*map(F.lit, least))[n - 1]) & (100 * F.col("top") >= F.array(*map(F.lit, percent))[n - 1] * F.col("total"))).select("n", "gram", "draft")
 

@@ -17,32 +17,44 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
 
 
-def grams(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
-    return K.array_ngrams(table(spark, sf_dir, "documents").where(which).select(F.split("text", " ").alias("t")), "t", 1, 2)
+def grams(spark: SparkSession, sf_dir: str, which: str = "true") -> tuple[DataFrame, int]:
+    """Counts of the documents' n-grams, not added up yet, and the partitions to deal those of all documents to."""
+    docs = table(spark, sf_dir, "documents")
+    return K.text_ngrams(docs.where(which), "text", 1, 2), K.parts_of(docs, "text")
 
 
 @query("ngram_counts", f"WITH {GRAMS} SELECT n, gram, nxt AS next, times FROM c")
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.count_ngrams(grams(spark, sf_dir))
+    counts, parts = grams(spark, sf_dir)
+    return K.merge_counts(parts, counts)
 
 
 @query("ngram_merge", f"WITH {GRAMS} SELECT n, gram, nxt AS next, times FROM c")
 def ngram_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The caches of two halves of the documents make that of all."""
-    return K.merge_counts(*[K.count_ngrams(grams(spark, sf_dir, f"coalesce(doc_id % 2, 0) = {half}")) for half in (0, 1)])
+    halves = [grams(spark, sf_dir, f"coalesce(doc_id % 2, 0) = {half}") for half in (0, 1)]
+    return K.merge_counts(halves[0][1], *[K.merge_counts(parts, counts) for counts, parts in halves])
 
 
 @query("ngram_draft", f"WITH {GRAMS}, b AS (SELECT n, gram, arg_max(nxt, {{'t': times, 'x': nxt}}) AS draft, max(times) AS top, sum(times) AS total FROM c GROUP BY n, gram) SELECT n, gram, draft FROM b WHERE total >= 2 AND 100 * top >= CASE n WHEN 1 THEN 66 ELSE 50 END * total")
 def ngram_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.drafts(K.count_ngrams(grams(spark, sf_dir)), [2, 2], [66, 50])
+    counts, parts = grams(spark, sf_dir)
+    return K.drafts(K.merge_counts(parts, counts), parts, [2, 2], [66, 50])
 
 
 @query("ngram_lookup", f"WITH {GRAMS}, d AS (SELECT n, gram, arg_max(nxt, {{'t': times, 'x': nxt}}) AS draft FROM c GROUP BY n, gram), q AS (SELECT doc_id, arg_max(b1, pos) AS b1, arg_max(b2, pos) AS b2 FROM (SELECT doc_id, pos, word AS b1, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b2 FROM w) GROUP BY doc_id) SELECT q.doc_id, coalesce(two.draft, one.draft) AS draft FROM q LEFT JOIN d two ON two.n = 2 AND two.gram = q.b2 || ' ' || q.b1 LEFT JOIN d one ON one.n = 1 AND one.gram = q.b1")
 def ngram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next word of each document: by its last two words, else by the last."""
-    found = K.drafts(K.count_ngrams(grams(spark, sf_dir)), [1, 1], [0, 0])
+    from lyrebird.sources.scratch import shared
+
     ends = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("t"))
     asked = ends.where("t is not null").select("doc_id", F.element_at("t", -1).alias("one"), F.concat(F.try_element_at("t", F.lit(-2)), F.lit(" "), F.element_at("t", -1)).alias("two"))
+    wanted = asked.select(F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("one").alias("gram")), F.struct(F.lit(2).alias("n"), F.col("two").alias("gram")))).alias("w")).select("w.*").distinct()
+    counts, parts = grams(spark, sf_dir)
+    hits = K.merge_counts(parts, counts).repartition(parts, "n", "gram").join(wanted, ["n", "gram"], "left_semi")
+    home = shared(spark, "drafts")
+    K.drafts(hits, parts, [1, 1], [0, 0]).write.parquet(home)
+    found = spark.read.schema("n int, gram string, draft string").parquet(home)
     one, two = (found.where(F.col("n") == n).select(F.col("gram").alias(c), F.col("draft").alias(f"draft_{c}")) for n, c in ((1, "one"), (2, "two")))
     return asked.join(two, "two", "left").join(one, "one", "left").select("doc_id", F.coalesce("draft_two", "draft_one").alias("draft"))
 

@@ -159,3 +159,26 @@ def test_repeated_patterns_do_not_look_ahead_everywhere(spark):
     made = rows.select(T.collapse_patterns(F.col("text")).alias("new"), F.regexp_replace("text", r"(?s)(?=.{40})(.{1,20}?)\1{19,}", "$1").alias("plain"))
     assert all(r.new == r.plain for r in made.collect())
     assert "(?s)(?=" not in str(T.collapse_patterns(F.col("text")))
+
+
+def test_ngrams_are_counted_by_numbers_and_dealt_by_size(spark, monkeypatch):
+    from lyrebird.operators import tokens as K
+
+    texts = ["a b a b a", "", None, " ", "a  b", "é 😀 é", "x", "a b a"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    expected = {}
+    for words in [t.split(" ") for t in texts if t is not None]:
+        for n in (1, 2, 3):
+            for i in range(n, len(words)):
+                key = (n, " ".join(words[i - n : i]), words[i])
+                expected[key] = expected.get(key, 0) + 1
+    for held in (1, 1 << 20):
+        monkeypatch.setattr(K, "HELD_BYTES", held)
+        counts = K.merge_counts(3, K.text_ngrams(docs, "text", 1, 3))
+        assert {(r.n, r.gram, r.next): r.times for r in counts.collect()} == expected
+    again = K.merge_counts(3, counts, counts)
+    assert {(r.n, r.gram, r.next): r.times for r in again.collect()} == {k: 2 * v for k, v in expected.items()}
+    assert plan(counts).index("Aggregate") < plan(counts).index("Exchange") and "Aggregate" not in plan(counts).split("Exchange")[1]  # nothing is added up before the rows are dealt
+    assert K.parts_of(docs, "text") == 1
+    monkeypatch.setattr(K, "PART_BYTES", 4)
+    assert K.parts_of(docs, "text") == 8  # 30 bytes
