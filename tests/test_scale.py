@@ -182,3 +182,26 @@ def test_ngrams_are_counted_by_numbers_and_dealt_by_size(spark, monkeypatch):
     assert K.parts_of(docs, "text") == 1
     monkeypatch.setattr(K, "PART_BYTES", 4)
     assert K.parts_of(docs, "text") == 8  # 30 bytes
+
+
+def test_shards_are_followed_within_bins(spark):
+    from lyrebird.operators.shards import greedy_shards, heads
+
+    rng = np.random.default_rng(5)
+    sizes = {g: rng.integers(1, top, 3000).astype(float) for g, top in (("a", 4), ("b", 12), ("c", 40))}
+    sizes["a"][[7, 500, 501]] = [2000.0, 11.0, 700.0]  # beyond a shard, and beyond a bin of 640
+    sizes["b"][0] = 0.4  # no whole number
+    data = [(g, i, float(x)) for g, own in sizes.items() for i, x in enumerate(own)]
+    items = spark.createDataFrame(data, "g string, i long, size double").repartition(3)
+    expected = []
+    for g, own in sizes.items():
+        filled, total, shard = 0, 0, 0
+        for x in [int(x) for x in own if int(x) > 0]:
+            if filled and filled + x > 10:
+                expected.append((g, shard, total - filled, filled))
+                filled, shard = 0, shard + 1
+            filled, total = filled + x, total + x
+        expected.append((g, shard, total - filled, filled))
+    assert sorted(map(tuple, greedy_shards(items, "g", F.floor(F.col("i") / 100), ["i"], "size", 10).collect())) == sorted(expected)
+    sums = spark.range(100_000).selectExpr("id div 50000 AS g", "id % 50000 AS before", "id % 50000 + 1 AS upto")
+    assert heads(sums, 10).count() == 2 * 79 * 10  # pointers are doubled between these only, before between all items
