@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lyrebird.operators.shards import greedy_shards
@@ -37,6 +38,43 @@ def test_touch_lookup_late_rows_and_restart(spark, tmp_path):
     assert (3, "closed", 2, 2.0) in send((3, 9200, "finish", None))
 
 
+def test_spans_of_users_are_joined_apart():
+    rng = random.Random(5)
+    users = [(True, 0), (True, -3), (True, 2**53 + 1), (True, 2**53 + 2), (False, 0)]
+    spans = [(*rng.choice(users), began, began + rng.choice([0, 0, 40]), 1, 0.5) for began in (rng.randrange(3000) for _ in range(200))]
+    found = sessions.joined(pd.DataFrame(spans, columns=list(sessions.SPAN)).astype(sessions.SPAN), 9)
+    assert list(found.dtypes) == list(sessions.SPAN.values())
+    for known, user in users:
+        plain = []
+        for began, last in sorted(s[2:4] for s in spans if s[:2] == (known, user)):
+            if plain and began - plain[-1][1] < 9:
+                plain[-1] = (plain[-1][0], max(plain[-1][1], last), plain[-1][2] + 1, plain[-1][3] + 0.5)
+            else:
+                plain.append((began, last, 1, 0.5))
+        own = found[(found["known"] == known) & (found["user_id"] == user)]
+        assert list(own[["began", "last", "n", "total"]].itertuples(index=False, name=None)) == plain
+
+
+def test_users_share_a_key_of_the_state(spark, tmp_path, monkeypatch):
+    """Users of one key, among them none and large ids, keep sessions of their own, in one list and under one timer."""
+    monkeypatch.setattr(sessions, "BUCKETS", 1)
+    home, asked = str(tmp_path / "home"), str(tmp_path / "asked")
+    spark.createDataFrame([], sessions.REQUESTS).write.parquet(asked)
+    requests = spark.readStream.schema(sessions.REQUESTS).parquet(asked)
+    large = 2**53 + 1
+
+    def send(*rows):
+        frame = spark.createDataFrame([(u, START + timedelta(seconds=s), k, v) for u, s, k, v in rows], sessions.REQUESTS)
+        frame.coalesce(1).write.mode("append").parquet(asked)
+        sessions.run(requests, home)
+        return sorted((str(r[0]), *r[1:]) for r in spark.read.schema(sessions.OUTPUT).parquet(f"{home}/out").select("user_id", "outcome", "n", "total").collect())
+
+    found = send((None, 0, "event", 1.0), (0, 10, "event", None), (large, 20, "event", 4.0), (large + 1, 30, "event", 8.0), (None, 40, "event", 2.0), (large, 50, "lookup", None), (7, 50, "lookup", None))
+    assert found == sorted([(str(large), "found", 1, 4.0), ("7", "missing", 0, 0.0)])
+    closed = [r for r in send((None, 60, "finish", None), (large + 1, 70, "event", 16.0), (large + 1, 80, "finish", None), (0, 90, "lookup", None)) if r not in found]
+    assert closed == sorted([("None", "closed", 2, 3.0), (str(large + 1), "closed", 2, 24.0), ("0", "found", 1, 0.0)])
+
+
 def test_greedy_shards(spark):
     rng = random.Random(3)
     items = [(g, i, rng.choice([1, 2, 7, 30, 61, 200])) for g in range(3) for i in range(200 if g else 1)]
