@@ -17,11 +17,13 @@ other side, two fingerprints are within two bits of each other exactly if they s
 most, each linked to the smallest. Nothing is dropped.
 
 With a similarity given, texts are linked by the exact Jaccard similarity of their sets of word
-shingles instead: texts that share 80% of their shingles mostly differ in 3 to 11 fingerprint bits and
-often in more, too far for blocks of bits. Candidates share one of BANDS bands of ROWS MinHash values
-(a pair at 0.8 is missed once in 20 million); lengths, parities and one bit of each MinHash value discard
-most of the others, and whatever is left is verified on the shingles. Pairs inside one component tell
-nothing more; all others are compared as `similar.linked` says, none is capped.
+shingles. The fingerprints of the sets come first: pairs within NEAR_BITS, found by the same tables, in cells
+of two of five parts, are verified on the shingles, and those that are similar are linked. Texts that share 80% of their shingles mostly
+differ in 3 to 11 fingerprint bits and often in more, too far for blocks of bits, so the others follow:
+they share one of BANDS bands of ROWS MinHash values (a pair at 0.8 is missed once in 20 million);
+lengths, parities and one bit of each MinHash value discard most of the rest, and whatever is left is
+verified likewise. Pairs inside one component, by fingerprints or by bands, tell nothing more; all others are
+compared as `similar.linked` says, none is capped.
 
 Null and empty texts have fingerprint zero and are linked like any other. A component's id is its
 smallest doc_id that isn't null. Very long texts are hashed whole, in one row. Rows are kept one for
@@ -42,12 +44,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lyrebird.llm.common import apart, components, cut, named_back, read, small_batches, written
-from lyrebird.llm.similar import linked, node_of, sets_of, shingles, signature, similar_parity, similar_sizes, text_mark
+from lyrebird.llm.similar import linked, node_of, sets_of, shingles, signature, similar_parity, similar_sizes, text_mark, verified
 from lyrebird.llm.substrings import BASE_1, _Hashes, mixed
 
 SHINGLE = 3
 SEED = 42
 MOST_BITS = 2
+#: The same for sets of shingles whose similarity is verified afterwards; farther ones meet in bands.
+NEAR_BITS = 3
 PIVOTS = 32
 CELL = 16
 #: MinHash values of a text: BANDS times ROWS, which finds any similarity from LEAST_SIMILARITY on.
@@ -66,6 +70,14 @@ REFERENCES = [0, *[signed(1 << i) for i in range(64)], *[signed(random.Random(7)
 _FACTORS, _SHIFTS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
+    votes = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 4096):
+        votes += np.unpackbits(hashes[k : k + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint16)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes) -> int:
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
     if not words:
@@ -78,10 +90,7 @@ def fingerprint(text: bytes) -> int:
     starts = (ends - lengths)[: 1 - SHINGLE].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
-    votes = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(hashes), 4096):
-        votes += np.unpackbits(hashes[k : k + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -99,15 +108,18 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def placed(distinct: DataFrame) -> DataFrame:
-    """(fp, table, which, key): each distinct fingerprint in six cells, with its distances to the random references.
+def placed(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(fp, table, which, key): each distinct fingerprint in its cells, six for two bits, with its distances to the random references.
 
-    A cell's key comes from the coordinates of two quarters: distances to the references with one bit set, less that to zero.
+    A cell's key comes from the coordinates of two of most_bits + 2 parts, quarters for two bits: distances to the references
+    with one bit set, less that to zero. Most_bits changed bits leave two parts as they are.
     """
     coordinates = F.array(*[distance(F.col("fp"), F.lit(r)).cast("byte") for r in REFERENCES])
     own = distinct.select("fp", coordinates.alias("all"))
     own = own.select("fp", F.slice("all", 66, PIVOTS).alias("table"), F.transform(F.slice("all", 2, 64), lambda c: c - F.col("all")[0]).alias("over"))
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.xxhash64(F.slice("over", 16 * a + 1, 16), F.slice("over", 16 * b + 1, 16)).alias("key")) for k, (a, b) in enumerate(combinations(range(4), 2))]))
+    ends = [64 * k // (most_bits + 2) for k in range(most_bits + 3)]
+    parts = [F.slice("over", a + 1, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.xxhash64(*two).alias("key")) for k, two in enumerate(combinations(parts, 2))]))
     return own.select("fp", "table", cells.alias("cell")).select("fp", "table", "cell.which", "cell.key")
 
 
@@ -118,13 +130,13 @@ def met(members: DataFrame) -> DataFrame:
     return left.join(right, ["which", "key"]).where("a < b").select("a", "b", gap.alias("gap"))
 
 
-def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
-    """(a, b): enough pairs of the distinct fingerprints `fp` within MOST_BITS to connect all that are linked."""
-    members = placed(distinct)
+def links(distinct: DataFrame, cell: int = CELL, most_bits: int = MOST_BITS) -> DataFrame:
+    """(a, b): enough pairs of the distinct fingerprints `fp` within most_bits to connect all that are linked; of more than two bits, those in crowded cells within two."""
+    members = placed(distinct, most_bits)
     sizes = cut(members.groupBy("which", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     crowded = sizes.where(F.col("size") > cell).select("which", "key")
     sparse = members.join(sizes.where(F.col("size") <= cell), ["which", "key"])
-    pairs = met(sparse).where(F.col("gap") <= MOST_BITS).where(distance(F.col("a"), F.col("b")) <= MOST_BITS).select("a", "b")
+    pairs = met(sparse).where(F.col("gap") <= most_bits).where(distance(F.col("a"), F.col("b")) <= most_bits).select("a", "b")
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
     listed = members.join(crowded, ["which", "key"]).select("fp").distinct().select("fp", F.explode(near).alias("reference"))
     shared = listed.groupBy("reference").agg(F.collect_set("fp").alias("members")).where("size(members) > 1")
@@ -140,7 +152,7 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, mark (of the text), fp (the number of the text's set), n (its shingles), keys of its bands, s0 to s3 (the set's signature), and m0 and m1, one bit of each MinHash value."""
+    """doc_id, mark (of the text), fp (the number of the text's set), its n shingles and their fingerprint `near`, keys of its bands, s0 to s3 (the set's signature), and m0 and m1, one bit of each MinHash value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -153,11 +165,12 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             bits = np.packbits((mixed(least.reshape(len(sets), -1)) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
             keys = [c if len(s) else c[:0] for c, s in zip(code.view(np.int64), sets, strict=True)]
             parity = np.array([signature(s) for s in sets], dtype=np.int64).reshape(-1, 4)
-            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, parity.T), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "mark", "fp", "n", "bands", *SKETCH])
+            near = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(near), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, parity.T), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "mark", "fp", "n", "near", "bands", *SKETCH])
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long, n long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long, n long, near long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _key_column(text: Column, width: int) -> Column:
@@ -169,8 +182,18 @@ def _key_column(text: Column, width: int) -> Column:
     return key_of(text.cast("string"))
 
 
+def near_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes `fp` whose fingerprints `near` are within NEAR_BITS, of those with equal ones the smallest and each other."""
+    classes = written(distinct.where("n > 0").groupBy("near").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("size")))
+    found = links(classes.select(F.col("near").alias("fp")), most_bits=NEAR_BITS)
+    left, right = (classes.select(F.col("near").alias(c), F.col("least").alias(f"node_{c}")) for c in "ab")
+    farther = found.join(left, "a").join(right, "b").select("node_a", "node_b")
+    equal = distinct.where("n > 0").join(classes.where("size > 1").select("near", "least"), "near").where("fp != least").select("fp", "least")
+    return farther.union(equal).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_components(distinct: DataFrame, docs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, component) of the sets that are linked by similarity; distinct: fp, n, bands and the sketch of each; rows: (mark, node) of docs."""
+    """(node, component) of the sets that are linked by similarity; distinct: fp, n, near, bands and the sketch of each; rows: (mark, node) of docs."""
     p, percent = (1 - similarity) / 2, round(100 * similarity, 6)
     most_bits = int(np.ceil(BANDS * ROWS * p + 6 * np.sqrt(BANDS * ROWS * p * (1 - p))))
 
@@ -181,8 +204,10 @@ def similar_components(distinct: DataFrame, docs: DataFrame, rows: DataFrame, wi
     members = spread.select("key", F.struct(F.col("fp").alias("node"), "n", "at", *SKETCH).alias("x"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     lists = written(members.join(shared, "key"))
-    nodes = written(lists.select("x.node").distinct())
-    return linked(lists, may_be, sets_of(docs, rows, nodes, width), percent)[0]
+    near = written(near_pairs(distinct))
+    nodes = written(lists.select("x.node").union(near.select("a")).union(near.select("b")).distinct())
+    sets = sets_of(docs, rows, nodes, width)
+    return linked(lists, may_be, sets, percent, (near, written(verified(near, sets, percent))))[0]
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -201,7 +226,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | N
         sketched = cut(sketches(docs, width))
         prints = sketched.select("doc_id", "fp")
         classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        once = sketched.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "bands", *SKETCH)])
+        once = sketched.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "near", "bands", *SKETCH)])
         found = similar_components(once, docs, sketched.select("mark", F.col("fp").alias("node")), width, similarity)
     placed = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root")

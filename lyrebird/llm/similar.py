@@ -134,13 +134,16 @@ def met_once(rows: DataFrame, admits: Admits) -> DataFrame:
     return left.join(right, ["key", "chunk"]).where("part != other").where(asks & admits(F.col("x"), F.col("y")) & ~F.arrays_overlap("early", "early_y")).select("x", "y")
 
 
-def linked(lists: DataFrame, admits: Admits, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def linked(lists: DataFrame, admits: Admits, sets: DataFrame, percent: int, before: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(node, component) of nodes with links, and the links (a, b) that were verified, None where no list has two nodes.
 
+    before: pairs (a, b) that were tried already, and the links among them.
+
     lists: key, x, where x is a struct of node, `at` and what `admits` needs of it; `admits` says of two such
     structs whether they may be similar. By `at` a node's lists have the same order as those of any other node.
     """
-    found, links, tried = None, None, None
+    tried, links = before or (None, None)
+    found = None if links is None else components(links)
     for turn in range(ROUNDS + 1):
         if found is None:
             placed = lists.select("key", "x", F.col("x.node").alias("part"))

@@ -59,6 +59,40 @@ def test_edited_copies_go(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_fingerprints_link_near_copies_before_bands(spark, monkeypatch):
+    """The stage's pairs within NEAR_BITS, against brute force; they are verified and linked where no band is looked at."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
+    texts = [" ".join(rng.choices(vocabulary, k=300)) for _ in range(20)]
+    for i in range(60):
+        words = texts[i % 20].split()
+        words[rng.randrange(300)] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", texts[0]])], "doc_id long, text string")
+    once = simhash.sketches(docs, 5).drop("doc_id", "mark").distinct()
+    rows = [(r.fp, r.near) for r in once.where("n > 0").collect()]
+    within = {tuple(sorted((a, b))) for (a, x), (b, y) in combinations(rows, 2) if ((x ^ y) & (2**64 - 1)).bit_count() <= simhash.NEAR_BITS}
+    found = {(r.a, r.b) for r in simhash.near_pairs(once).collect()}
+    root = {}
+    for pairs in (found, within):
+        parent = {n: n for n, _ in rows}
+
+        def find(n, parent=parent):
+            while parent[n] != n:
+                n = parent[n]
+            return n
+
+        for a, b in pairs:
+            parent[find(a)] = find(b)
+        root[len(root)] = {frozenset(n for n in parent if find(n) == find(m)) for m in parent}
+    assert found <= within and root[0] == root[1] and len(within) > 20
+    monkeypatch.setattr(similar, "ROUNDS", -1)  # no list is looked at
+    parts = {}
+    for r in simhash.near_duplicates(docs, 5, 0.8).where("doc_id < 80").collect():
+        parts.setdefault(r.component_id, set()).add(r.doc_id % 20)
+    assert len(parts) < 80 - 15 and all(len(p) == 1 for p in parts.values())
+
+
 def test_interface_refuses_what_it_cannot_find(no_docs):
     for width, similarity in ((5, None), (5, 0.5)):
         with pytest.raises(ValueError):
