@@ -34,10 +34,10 @@ def array_ngrams(rows: DataFrame, tokens: str, least: int, most: int) -> DataFra
     return places.select("next", F.explode(grams).alias("g")).where("g.whole").select("g.n", "g.gram", "next")
 
 
-def parts_of(texts: DataFrame, text: str) -> int:
-    """Partitions for the n-grams of texts, one for each PART_BYTES."""
+def parts_of(texts: DataFrame, text: str, each: int | None = None) -> int:
+    """Partitions for the n-grams of texts, one for each PART_BYTES or so many bytes."""
     size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, -(-size // PART_BYTES))
+    return max(1, -(-size // (each or PART_BYTES)))
 
 
 def _counted(texts: pa.StringArray, least: int, most: int) -> Iterator[pa.RecordBatch]:

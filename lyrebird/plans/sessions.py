@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lyrebird.operators import ngrams as G
 from lyrebird.operators import tokens as K
 from lyrebird.plans.catalog import SQL, query
 from lyrebird.session import table
@@ -49,11 +50,8 @@ def ngram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ends = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("t"))
     asked = ends.where("t is not null").select("doc_id", F.element_at("t", -1).alias("one"), F.concat(F.try_element_at("t", F.lit(-2)), F.lit(" "), F.element_at("t", -1)).alias("two"))
-    wanted = asked.select(F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("one").alias("gram")), F.struct(F.lit(2).alias("n"), F.col("two").alias("gram")))).alias("w")).select("w.*").distinct()
-    counts, parts = grams(spark, sf_dir)
-    hits = K.merge_counts(parts, counts).repartition(parts, "n", "gram").join(wanted, ["n", "gram"], "left_semi")
     home = shared(spark, "drafts")
-    K.drafts(hits, parts, [1, 1], [0, 0]).write.parquet(home)
+    G.drafts(*G.cache(table(spark, sf_dir, "documents"), "text"), [1, 1], [0, 0], ends=True).write.parquet(home)
     found = spark.read.schema("n int, gram string, draft string").parquet(home)
     one, two = (found.where(F.col("n") == n).select(F.col("gram").alias(c), F.col("draft").alias(f"draft_{c}")) for n, c in ((1, "one"), (2, "two")))
     return asked.join(two, "two", "left").join(one, "one", "left").select("doc_id", F.coalesce("draft_two", "draft_one").alias("draft"))
