@@ -91,13 +91,6 @@ def merge_counts(parts: int, *caches: DataFrame) -> DataFrame:
     return union.repartition(parts, "n", "gram", "next").groupBy("n", "gram", "next").agg(F.sum("times").alias("times"))
 
 
-def drafts(counts: DataFrame, parts: int, least: list[int], percent: list[int]) -> DataFrame:
-    """(n, gram, draft): the commonest next token where a gram occurs often and points clearly enough; thresholds by n from 1."""
-    best = counts.repartition(parts, "n", "gram").groupBy("n", "gram").agg(F.max_by("next", F.struct("times", "next")).alias("draft"), F.max("times").alias("top"), F.sum("times").alias("total"))
-    n = F.col("n")
-    return best.where((F.col("total") >= F.array(*map(F.lit, least))[n - 1]) & (100 * F.col("top") >= F.array(*map(F.lit, percent))[n - 1] * F.col("total"))).select("n", "gram", "draft")
-
-
 def common_prefix(a: Column, b: Column) -> Column:
     """How many leading elements of two arrays agree."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))

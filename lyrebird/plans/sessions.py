@@ -39,8 +39,7 @@ def ngram_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ngram_draft", f"WITH {GRAMS}, b AS (SELECT n, gram, arg_max(nxt, {{'t': times, 'x': nxt}}) AS draft, max(times) AS top, sum(times) AS total FROM c GROUP BY n, gram) SELECT n, gram, draft FROM b WHERE total >= 2 AND 100 * top >= CASE n WHEN 1 THEN 66 ELSE 50 END * total")
 def ngram_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, parts = grams(spark, sf_dir)
-    return K.drafts(K.merge_counts(parts, counts), parts, [2, 2], [66, 50])
+    return G.drafts(*G.cache(table(spark, sf_dir, "documents"), "text"), [2, 2], [66, 50])
 
 
 @query("ngram_lookup", f"WITH {GRAMS}, d AS (SELECT n, gram, arg_max(nxt, {{'t': times, 'x': nxt}}) AS draft FROM c GROUP BY n, gram), q AS (SELECT doc_id, arg_max(b1, pos) AS b1, arg_max(b2, pos) AS b2 FROM (SELECT doc_id, pos, word AS b1, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b2 FROM w) GROUP BY doc_id) SELECT q.doc_id, coalesce(two.draft, one.draft) AS draft FROM q LEFT JOIN d two ON two.n = 2 AND two.gram = q.b2 || ' ' || q.b1 LEFT JOIN d one ON one.n = 1 AND one.gram = q.b1")
