@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lyrebird.operators.tokens import parts_of
 
 #: Bytes of text whose windows make one part, and whose windows are counted at a time; bytes of windows, unpacked, that are added up at a time; and rows of a batch that is sent on.
-PART_BYTES, HELD_BYTES, ADDED, SENT = 8 << 20, 8 << 20, 64 << 20, 50_000
+PART_BYTES, HELD_BYTES, ADDED, SENT = 8 << 20, 4 << 20, 64 << 20, 50_000
 #: Parts of windows for one part of the best next words.
 BEST_PARTS = 4
 PACKED = "part int, data binary"
@@ -68,15 +68,15 @@ def _dealt(numbers: list[tuple[np.ndarray, np.ndarray]], words: list[tuple[pa.St
 
 
 def _opened(sent: bytes, n_numbers: int, n_words: int) -> tuple[list[np.ndarray], list[pa.StringArray]]:
-    """The columns of one value of `_dealt`."""
+    """The columns of one value of `_dealt`, numbers as narrow as they were sent."""
     data = pa.decompress(sent[8:], int.from_bytes(sent[:8], "little"), codec="zstd", asbytes=True)
     n = n_numbers + n_words
     at, columns, words = 16 * n, [], []
     for size, width in np.frombuffer(data, "<u8", 2 * n).reshape(n, 2).tolist():
-        columns.append(np.frombuffer(data, f"<u{width}", size, at).astype(np.int64))
+        columns.append(np.frombuffer(data, f"<u{width}", size, at))
         at += size * width
     for sizes in columns[n_numbers:]:
-        begin = np.append(0, np.cumsum(sizes))
+        begin = np.append(0, np.cumsum(sizes, dtype=np.int64))
         words.append(pa.StringArray.from_buffers(len(sizes), pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data[at : at + begin[-1]])))
         at += int(begin[-1])
     return columns[:n_numbers], words
@@ -173,16 +173,19 @@ def _added(values: list[bytes], k: int, of: int) -> Added:
     opened = [_unpacked(value, k, of) for value in values]
     seconds, thirds, ends, times = (np.concatenate([numbers[i] for numbers, _ in opened]) for i in range(4))
     sizes = [sum(len(words[i]) for _, words in opened) for i in range(3)]
-    coded = pa.concat_arrays([words[i] for i in range(3) for _, words in opened]).dictionary_encode()
-    names, word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pa.chunked_array([words[i] for i in range(3) for _, words in opened]).dictionary_encode().combine_chunks()
+    del opened  # which is as large as what is made of it
+    names, word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     first, second, third = np.split(word, np.cumsum(sizes)[:2])
-    v = max(1, len(names))
+    v = np.int64(max(1, len(names)))
     pairs = pa.array(np.repeat(first, seconds) * v + second).dictionary_encode()
-    distinct, pair = pairs.dictionary.to_numpy(zero_copy_only=False), pairs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct, pair = pairs.dictionary.to_numpy(zero_copy_only=False), pairs.indices.to_numpy(zero_copy_only=False)
+    del pairs
     ends = np.bincount(pair, ends, len(distinct)).astype(np.int64)
     found = pa.array(np.repeat(pair, thirds) * v + third).dictionary_encode()
     window = found.dictionary.to_numpy(zero_copy_only=False)
     n = np.bincount(found.indices.to_numpy(zero_copy_only=False), times, len(window)).astype(np.int64)
+    del found
     followed = np.bincount(window // v, n, len(distinct)).astype(np.int64)
     return Added(names, distinct // v, distinct % v, followed + ends if k == 0 else followed, ends, window // v, window % v, n)
 
@@ -209,6 +212,25 @@ def _dealt_out(parts: int, caches: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, caches).repartitionById(parts, "part")
 
 
+def merged_counts(parts: int, caches: list[DataFrame]) -> DataFrame:
+    """(n, gram, next, times): the counts of all caches added up."""
+
+    def rows(n: int, gram: pa.Array, following: pa.Array, times: pa.Array) -> Iterator[pa.RecordBatch]:
+        table = pa.table([pa.array(np.full(len(gram), n, np.int32)), gram, following, times], ["n", "gram", "next", "times"])
+        yield from table.to_batches(max_chunksize=SENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for added in _slices(batches):
+            yield from rows(2, added.grams(added.pair), added.words(added.third), pa.array(added.n))
+            held.append(_of_pairs(added))
+        if held:
+            pairs = _pairs(held)
+            yield from rows(1, pairs["gram"], pairs["next"], pairs["times"])
+
+    return _dealt_out(parts, caches).mapInArrow(run, "n int, gram string, next string, times long")
+
+
 def _best(group: np.ndarray, following: np.ndarray, names: pa.StringArray, times: np.ndarray) -> np.ndarray:
     """The place of each group's commonest next word, among equals the last in order of bytes."""
     rank = np.empty(len(names), dtype=np.int64)
@@ -263,7 +285,7 @@ def drafts(parts: int, caches: list[DataFrame], least: list[int], percent: list[
         opened = [_opened(value, 3, 2) for batch in batches for value in batch.column(1).to_pylist()]
         if not opened:
             return
-        n, top, total = (np.concatenate([numbers[i] for numbers, _ in opened]) for i in range(3))
+        n, top, total = (np.concatenate([numbers[i] for numbers, _ in opened]).astype(np.int64) for i in range(3))
         gram, following = (pa.concat_arrays([words[i] for _, words in opened]) for i in range(2))
         best = _combined(pa.table({"n": n, "gram": gram, "next": following, "top": top, "total": total}))
         best = clear(clear(best, 1), 2)

@@ -33,8 +33,8 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ngram_merge", f"WITH {GRAMS} SELECT n, gram, nxt AS next, times FROM c")
 def ngram_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The caches of two halves of the documents make that of all."""
-    halves = [grams(spark, sf_dir, f"coalesce(doc_id % 2, 0) = {half}") for half in (0, 1)]
-    return K.merge_counts(halves[0][1], *[K.merge_counts(parts, counts) for counts, parts in halves])
+    half = F.coalesce(F.col("doc_id") % 2, F.lit(0)) == 0
+    return G.merged_counts(*G.cache(table(spark, sf_dir, "documents"), "text", half, ~half))
 
 
 @query("ngram_draft", f"WITH {GRAMS}, b AS (SELECT n, gram, arg_max(nxt, {{'t': times, 'x': nxt}}) AS draft, max(times) AS top, sum(times) AS total FROM c GROUP BY n, gram) SELECT n, gram, draft FROM b WHERE total >= 2 AND 100 * top >= CASE n WHEN 1 THEN 66 ELSE 50 END * total")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lyrebird.operators import ngrams as G
 from lyrebird.plans import catalog
 
-TEXTS = ["a b a b a", "", None, " ", "a  b", "é 😀 é", "x", "a b a", "a\nb\tc  "] + [" ".join(np.random.default_rng(k).choice(["a", "b", "é", "", "zz"], k % 11 + 1)) for k in range(200)]
+TEXTS = ["a b a b a", "", None, " ", "a  b", "é 😀 é", "x", "a b a", "a\nb\tc  ", "q r " * 400] + [" ".join(np.random.default_rng(k).choice(["a", "b", "é", "", "zz"], k % 11 + 1)) for k in range(200)]
 #: Bytes counted together, bytes of a part and bytes added up together: one part, a count for each text, many parts, and slices.
 LIMITS = [(1, 1 << 20, 1 << 20), (1 << 20, 50, 1 << 20), (1 << 20, 50, 1), (100, 200, 30)]
 
@@ -40,6 +40,18 @@ def limited(monkeypatch, held, each, added):
         monkeypatch.setattr(G, name, value)
 
 
+@pytest.mark.parametrize("limits", LIMITS)
+def test_packed_windows_give_the_counts_of_both_grams(docs, monkeypatch, limits):
+    limited(monkeypatch, *limits)
+    parts, caches = G.cache(docs, "text")
+    found = G.merged_counts(parts, caches).collect()
+    assert {(r.n, r.gram, r.next): r.times for r in found} == expected() and len(found) == len(expected())
+    halves = G.cache(docs, "text", F.coalesce(F.col("text") > "b", F.lit(False)), ~F.coalesce(F.col("text") > "b", F.lit(False)))
+    assert {(r.n, r.gram, r.next): r.times for r in G.merged_counts(*halves).collect()} == expected()
+    often = G.merged_counts(parts, caches * 3).collect()
+    assert {(r.n, r.gram, r.next): r.times for r in often} == {k: 3 * v for k, v in expected().items()}
+
+
 @pytest.mark.parametrize("limits", LIMITS)
 def test_drafts_of_packed_windows(docs, monkeypatch, limits):
     limited(monkeypatch, *limits)
@@ -54,6 +66,7 @@ def test_drafts_of_packed_windows(docs, monkeypatch, limits):
 def test_drafts_of_no_texts(docs):
     for none in (docs.where("text is null"), docs.where("false")):
         assert G.drafts(*G.cache(none, "text"), [1, 1], [0, 0]).count() == 0
+        assert G.merged_counts(*G.cache(none, "text")).count() == 0
 
 
 def shuffled(spark) -> int:
@@ -65,7 +78,7 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["ngram_draft", "ngram_lookup"])
+@pytest.mark.parametrize("name", ["ngram_merge", "ngram_draft", "ngram_lookup"])
 def test_a_word_takes_few_bytes_in_the_shuffles(spark, name):
     catalog.load()
     data = "/root/testdata/sf0.001"
