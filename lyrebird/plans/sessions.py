@@ -18,16 +18,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
 
 
-def grams(spark: SparkSession, sf_dir: str, which: str = "true") -> tuple[DataFrame, int]:
-    """Counts of the documents' n-grams, not added up yet, and the partitions to deal those of all documents to."""
-    docs = table(spark, sf_dir, "documents")
-    return K.text_ngrams(docs.where(which), "text", 1, 2), K.parts_of(docs, "text")
-
-
 @query("ngram_counts", f"WITH {GRAMS} SELECT n, gram, nxt AS next, times FROM c")
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, parts = grams(spark, sf_dir)
-    return K.merge_counts(parts, counts)
+    return G.merged_counts(*G.cache(table(spark, sf_dir, "documents"), "text"))
 
 
 @query("ngram_merge", f"WITH {GRAMS} SELECT n, gram, nxt AS next, times FROM c")

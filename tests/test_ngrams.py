@@ -78,7 +78,7 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["ngram_merge", "ngram_draft", "ngram_lookup"])
+@pytest.mark.parametrize("name", ["ngram_counts", "ngram_merge", "ngram_draft", "ngram_lookup"])
 def test_a_word_takes_few_bytes_in_the_shuffles(spark, name):
     catalog.load()
     data = "/root/testdata/sf0.001"
