@@ -173,8 +173,7 @@ def decoded_pieces(text: Column) -> Column:
 def incremental_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts shown piece by piece: bytes of an unfinished character wait for the next piece, and the end flushes them."""
     pieces = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", decoded_pieces(F.col("text")).alias("pieces"))
-    shown = pieces.select("doc_id", N.shown_pieces(F.col("pieces")).alias("s"))
-    return shown.select("doc_id", F.array_join("s", "").alias("shown"), F.lit(0).alias("held"))
+    return N.shown_pieces(pieces, "doc_id", "pieces").select("doc_id", F.array_join("pieces", "").alias("shown"), F.lit(0).alias("held"))
 
 
 NAMED = "lower(p_type) AS t, replace(p_name, ' ', '_') AS m, lower(p_brand) AS b"

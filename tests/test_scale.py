@@ -52,6 +52,14 @@ def test_long_texts_are_encoded_once(spark):
     assert "transform(array(" in plan(made)  # made once a text, outside the function of a piece
 
 
+def test_incremental_text_runs_more_than_once_in_a_session(spark):
+    from lyrebird.plans.names import incremental_text
+
+    expected = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 0").collect()}
+    for _ in range(3):
+        assert {r.doc_id: r.shown for r in incremental_text(spark, "/root/testdata/sf0.001").collect()} == expected
+
+
 def seconds(df) -> float:
     import time
 
