@@ -75,6 +75,103 @@ def test_users_share_a_key_of_the_state(spark, tmp_path, monkeypatch):
     assert closed == sorted([("None", "closed", 2, 3.0), (str(large + 1), "closed", 2, 24.0), ("0", "found", 1, 0.0)])
 
 
+class Key:
+    """The state and timers of one key, with the calls made to them."""
+
+    def __init__(self):
+        self.list, self.timers, self.calls = [], set(), []
+
+    def getListState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return bool(self.list)
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.list)
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.list = rows
+
+    def clear(self):
+        self.calls.append("clear")
+        self.list = []
+
+    def listTimers(self):
+        self.calls.append("listTimers")
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("deleteTimer")
+        self.timers.discard(at)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def processor():
+    key, own = Key(), sessions.Sessions(600)
+    own.init(key)
+
+    def send(*batches):
+        key.calls = []
+        frames = [pd.DataFrame(rows, columns=["known", "user_id", "at", "kind", "value"]) for rows in batches]
+        found = list(own.handleInputRows((0,), iter(frames), None))
+        return [tuple(None if pd.isna(v) else v for v in r) for f in found for r in f.itertuples(index=False)]
+
+    def expire(ms):
+        key.calls = []
+        return [tuple(r) for f in own.handleExpiredTimer((0,), Watermark(ms), None) for r in f.itertuples(index=False)]
+
+    return key, send, expire
+
+
+def test_a_key_makes_only_the_calls_that_change_its_state():
+    """Each call waits for an answer of the JVM, so a key without sessions isn't asked for timers and nothing is written that stays as it was."""
+    key, send, expire = processor()
+    second = 1_000_000
+    assert send([(True, 1, 0, "event", 1.0), (True, 1, 900 * second, "event", 2.0)]) == []
+    assert key.calls == ["get", "registerTimer", "put"] and key.timers == {600_000}
+    assert send([(True, 1, 0, "lookup", None)]) == [(1, "found", 900 * second, 1500 * second, 1, 2.0)]
+    assert key.calls == ["get"]
+    assert expire(600_000) == [(1, "closed", 0, 600 * second, 1, 1.0)]
+    assert key.timers == {1_500_000}
+    assert send([(True, 1, 900 * second, "event", None)]) == []
+    assert key.calls == ["get", "listTimers", "put"] and key.timers == {1_500_000}
+    assert send([(True, 1, 0, "finish", None)]) == [(1, "closed", 900 * second, 1500 * second, 2, 2.0)]
+    assert key.calls == ["get", "listTimers", "deleteTimer", "clear"] and not key.timers
+    assert send([(True, 1, 0, "finish", None)]) == []
+    assert key.calls == ["get"]
+
+
+def test_odd_rows_of_a_key():
+    """No time, no value, no kind, an unknown kind, no user, repeated rows and requests, in several batches."""
+    key, send, expire = processor()
+    second = 1_000_000
+    first = [(True, 0, None, "event", 1.0), (False, 0, 5.0 * second, "event", None), (False, 0, 5.0 * second, "event", None), (True, 0, 1.0 * second, None, 1.0), (True, 0, 1.0 * second, "touch", 1.0)]
+    assert send(first, [(True, 0, 9 * second, "event", 4.0), (True, 0, 9 * second, "event", 4.0)]) == []
+    assert key.list == [(False, 0, 5 * second, 5 * second, 2, 0.0), (True, 0, 9 * second, 9 * second, 2, 8.0)] and key.timers == {605_000}
+    asked = [(u, i, 0, k, None) for k in ("lookup", "finish", "lookup") for u, i in ((False, 0), (True, 7))]
+    found = send(asked[:4], asked[4:])
+    assert found == [(None, "found", 5 * second, 605 * second, 2, 0.0), (7, "missing", None, None, 0, 0.0), (None, "closed", 5 * second, 605 * second, 2, 0.0)]
+    assert key.list == [(True, 0, 9 * second, 9 * second, 2, 8.0)] and key.timers == {609_000}
+    assert send([(True, 0, None, "event", None)], [(True, 7, 0, "finish", None)]) == []
+    assert expire(608_999) == [] and key.timers == {609_000}
+    assert expire(609_000) == [(0, "closed", 9 * second, 609 * second, 2, 8.0)] and not key.list and not key.timers
+
+
 def test_greedy_shards(spark):
     rng = random.Random(3)
     items = [(g, i, rng.choice([1, 2, 7, 30, 61, 200])) for g in range(3) for i in range(200 if g else 1)]
