stream_session_ttl: one row of the state for each user, not for each session

Symptom: closing sessions by timers is the slowest step, 20 task seconds for 1,090 keys on sf0.1 events, as a key holds some 92 open sessions.
Evidence: each session is a row of the list state, and Spark passes each such row with its schema as JSON, which Python parses anew: 99,652 rows read and 98,562 written are 21 and 11 of 95 profiled worker seconds, without the JVM's part.
Fix: a user's open sessions are arrays in one row of the list; what a key holds in memory, its timer and the results stay. State begun with the old columns can't be gone on with, as the comment at OPEN says.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1770 -> 737 s, shuffle 0.20 -> 0.20 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.23 GB, longest task 11 -> 8 s, most memory of a task 38 -> 38 MB; at 6 GB of input CPU 4853 -> 1494 s, shuffle 1.23 -> 1.23 GB, spill 0.00 -> 0.00 GB, read 1.46 -> 1.46 GB, longest task 25 -> 12 s, most memory of a task 50 -> 50 MB; with hot keys, at 1 GB of input CPU 1427 -> 724 s, shuffle 0.18 -> 0.18 GB, spill 0.00 -> 0.00 GB, read 0.21 -> 0.21 GB, longest task 33 -> 15 s, most memory of a task 235 -> 235 MB.

@@ -1,9 +1,10 @@
 """Sessions of a stream: touched by each event, looked up on request, closed by event time or on finish.
 
 Users are dealt to BUCKETS keys by hash, as a key costs several calls to the state, some milliseconds, however
-little it holds. Each key holds its users' open sessions, as (known, user_id, began, last, n, total) in list
-state: several of a user where events come late enough to fall before a younger session, never more than the
-watermark's delay has room for. A batch's events are folded into runs first and then merged with the open
+little it holds. Each key holds its users' open sessions in list state, as one row (known, user_id, began, last,
+n, total) a user, the last four arrays with a value for each session, as Spark passes each row of a list with its
+schema. A user has several where events come late enough to fall before a younger session, or where a batch brings
+more than one. A batch's events are folded into runs first and then merged with the open
 sessions, so an event between two sessions joins them. One event-time timer a key stands at its earliest
 expiry. Late events below the watermark are dropped by Spark; events without a time and unknown kinds are
 ignored; a null user is a user like others.
@@ -12,6 +13,7 @@ ignored; a null user is a user like others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,8 @@ from lyrebird.sources.scratch import shared
 
 #: Keys that users are dealt to; a key's open sessions are in memory at once. It must stay the same as long as a stream goes on.
 BUCKETS = 2048
-OPEN = "known boolean, user_id long, began long, last long, n long, total double"
+#: What a key keeps of a user; streams whose state was begun with other columns can't go on with it.
+OPEN = "known boolean, user_id long, began array<long>, last array<long>, n array<long>, total array<double>"
 OUTPUT = "user_id long, outcome string, began long, expires long, n long, total double"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 REQUESTS = "user_id long, ts timestamp, kind string, value double"
@@ -33,7 +36,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def merged(spans: list[tuple], ttl: int) -> list[tuple]:
     """Spans (began, last, n, total) of one user joined where less than ttl lies between them."""
-    found = joined(framed([(True, 0, *s) for s in spans]), ttl)
+    found = joined(unpacked([(True, 0, *zip(*spans, strict=True))] if spans else []), ttl)
     return list(found[list(SPAN)[2:]].itertuples(index=False, name=None))
 
 
@@ -42,10 +45,27 @@ SPAN = {"known": "bool", "user_id": "int64", "began": "int64", "last": "int64",
 USER = ["known", "user_id"]
 
 
-def framed(spans: list[tuple]) -> pd.DataFrame:
-    """Spans as a frame, each column made in its own type at once: a frame that guesses types and casts them takes milliseconds a key."""
-    columns = zip(*spans, strict=True) if spans else [()] * len(SPAN)
-    return pd.DataFrame({c: np.array(values, SPAN[c]) for c, values in zip(SPAN, columns, strict=True)})
+def unpacked(users: list[tuple]) -> pd.DataFrame:
+    """Spans of the rows of OPEN, each column made in its own type at once: a frame that guesses types and casts them takes milliseconds a key."""
+    known, user, *rest = zip(*users, strict=True) if users else [()] * len(SPAN)
+    sizes = [len(began) for began in rest[0]]
+    whose = {c: np.repeat(np.array(values, SPAN[c]), sizes) for c, values in zip(USER, (known, user), strict=True)}
+    return pd.DataFrame(whose | {c: np.fromiter(chain.from_iterable(values), SPAN[c], sum(sizes)) for c, values in zip(list(SPAN)[2:], rest, strict=True)})
+
+
+def packed(spans: pd.DataFrame) -> list[tuple]:
+    """Rows of OPEN of spans in the order of users."""
+    if not len(spans):
+        return []
+    known, user, *rest = (spans[c].to_numpy() for c in SPAN)
+    at = np.flatnonzero(others(known, user))
+    lists = ([own.tolist() for own in np.split(values, at[1:])] for values in rest)
+    return list(zip(known[at].tolist(), user[at].tolist(), *lists, strict=True))
+
+
+def others(known: np.ndarray, user: np.ndarray) -> np.ndarray:
+    """Which rows, one at least, are of another user than the row before."""
+    return np.append(True, (user[1:] != user[:-1]) | (known[1:] != known[:-1]))
 
 
 def joined(spans: pd.DataFrame, ttl: int) -> pd.DataFrame:
@@ -55,7 +75,7 @@ def joined(spans: pd.DataFrame, ttl: int) -> pd.DataFrame:
     columns = [spans[c].to_numpy() for c in SPAN]
     order = np.lexsort(columns[::-1])
     known, user, began, last, n, total = (values[order] for values in columns)
-    other = np.append(True, (user[1:] != user[:-1]) | (known[1:] != known[:-1]))
+    other = others(known, user)
     last = np.concatenate([np.maximum.accumulate(own) for own in np.split(last, np.flatnonzero(other)[1:])])
     at = np.flatnonzero(other | np.append(True, began[1:] - last[:-1] >= ttl))
     ends = np.append(at[1:], len(spans)) - 1
@@ -87,7 +107,7 @@ class Sessions(StatefulProcessor):
         return pd.DataFrame({"user_id": users["user_id"].astype("Int64").where(users["known"]), "outcome": "missing", "began": none, "expires": none, "n": 0, "total": 0.0})
 
     def _held(self) -> pd.DataFrame:
-        return framed(list(self.open.get()))
+        return unpacked(list(self.open.get()))
 
     def _keep(self, held: pd.DataFrame, spans: pd.DataFrame) -> None:
         """`spans` instead of `held`; a key without sessions has neither a list nor a timer."""
@@ -100,7 +120,7 @@ class Sessions(StatefulProcessor):
             if timer not in standing:
                 self.handle.registerTimer(timer)
         if len(spans):
-            self.open.put(list(zip(*(spans[c].tolist() for c in SPAN), strict=True)))
+            self.open.put(packed(spans))
         elif len(held):
             self.open.clear()
 

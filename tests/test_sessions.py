@@ -138,6 +138,10 @@ def processor():
     return key, send, expire
 
 
+def spans(key):
+    return list(sessions.unpacked(key.list).itertuples(index=False, name=None))
+
+
 def test_a_key_makes_only_the_calls_that_change_its_state():
     """Each call waits for an answer of the JVM, so a key without sessions isn't asked for timers and nothing is written that stays as it was."""
     key, send, expire = processor()
@@ -162,16 +166,30 @@ def test_odd_rows_of_a_key():
     second = 1_000_000
     first = [(True, 0, None, "event", 1.0), (False, 0, 5.0 * second, "event", None), (False, 0, 5.0 * second, "event", None), (True, 0, 1.0 * second, None, 1.0), (True, 0, 1.0 * second, "touch", 1.0)]
     assert send(first, [(True, 0, 9 * second, "event", 4.0), (True, 0, 9 * second, "event", 4.0)]) == []
-    assert key.list == [(False, 0, 5 * second, 5 * second, 2, 0.0), (True, 0, 9 * second, 9 * second, 2, 8.0)] and key.timers == {605_000}
+    assert spans(key) == [(False, 0, 5 * second, 5 * second, 2, 0.0), (True, 0, 9 * second, 9 * second, 2, 8.0)] and key.timers == {605_000}
     asked = [(u, i, 0, k, None) for k in ("lookup", "finish", "lookup") for u, i in ((False, 0), (True, 7))]
     found = send(asked[:4], asked[4:])
     assert found == [(None, "found", 5 * second, 605 * second, 2, 0.0), (7, "missing", None, None, 0, 0.0), (None, "closed", 5 * second, 605 * second, 2, 0.0)]
-    assert key.list == [(True, 0, 9 * second, 9 * second, 2, 8.0)] and key.timers == {609_000}
+    assert spans(key) == [(True, 0, 9 * second, 9 * second, 2, 8.0)] and key.timers == {609_000}
     assert send([(True, 0, None, "event", None)], [(True, 7, 0, "finish", None)]) == []
     assert expire(608_999) == [] and key.timers == {609_000}
     assert expire(609_000) == [(0, "closed", 9 * second, 609 * second, 2, 8.0)] and not key.list and not key.timers
 
 
+def test_a_user_is_one_row_of_the_state():
+    """Spark passes each row of a list with its schema, so 300 sessions of three users are three rows, in which all of them are found again."""
+    key, send, expire = processor()
+    second, large = 1_000_000, 2**53 + 1
+    users = [(False, 0), (True, 0), (True, large)]
+    assert send([(*user, 1000 * second * i, "event", 0.5) for i in reversed(range(100)) for user in users]) == []
+    assert [row[:2] for row in key.list] == users
+    assert spans(key) == [(*user, 1000 * second * i, 1000 * second * i, 1, 0.5) for user in users for i in range(100)]
+    assert sessions.packed(sessions.unpacked(key.list)) == key.list
+    assert len(expire(50_600_000)) == 51 * 3 and len(spans(key)) == 49 * 3 and key.timers == {51_600_000}
+    assert len(send([(True, large, 0, "finish", None)])) == 49 and [row[:2] for row in key.list] == users[:2]
+    assert sessions.packed(sessions.unpacked([])) == []
+
+
 def test_greedy_shards(spark):
     rng = random.Random(3)
     items = [(g, i, rng.choice([1, 2, 7, 30, 61, 200])) for g in range(3) for i in range(200 if g else 1)]
